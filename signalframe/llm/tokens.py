@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cache
 
 import numpy as np
 
@@ -18,7 +19,7 @@ _UNITS = {False: re.compile(r"\S+"), True: re.compile(r" ?[^ \n]+|\s+(?!\S)|\s")
 class Ids:
     """ids(texts) gives each text's ids, an array of unsigned 32-bit integers.
 
-    Texts repeat their words, so units are encoded once and kept, up to ``most`` of them at a time.
+    Texts repeat their words, so units are encoded once and kept, up to ``most`` of them and as many older ones.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -33,6 +34,7 @@ class Ids:
             words = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.units = _UNITS[not words]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -47,9 +49,12 @@ class Ids:
             else:
                 plain.append(i)
         new = list({u for us in units.values() for u in us if u not in kept})
-        if len(kept) + len(new) > self.most:
-            kept.clear()
-            new = list({u for us in units.values() for u in us})
+        if len(kept) + len(new) > self.most and kept:
+            self.older, self.kept = kept, {}
+            kept, new = self.kept, list({u for us in units.values() for u in us})
+        if self.older:
+            kept.update((u, self.older[u]) for u in new if u in self.older)
+            new = [u for u in new if u not in kept]
         for a in range(0, len(new), 20_000):
             kept.update(zip(new[a : a + 20_000], self.encode(new[a : a + 20_000]), strict=True))
         for i, us in units.items():
@@ -57,3 +62,9 @@ class Ids:
         for i, b in zip(plain, self.encode([texts[i] for i in plain]), strict=True):
             out[i] = np.frombuffer(b, "<u4")
         return out
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    """One per worker process, so that what a task has encoded serves the next."""
+    return Ids(path)
