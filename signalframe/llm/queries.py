@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
@@ -37,6 +41,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import decode_media, encode_media, features
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, n, media, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pcm = b"".join(b["pcm"] for b in sorted(blocks, key=lambda b: b["sample_offset"]))
+                rows.append((doc_id, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return decode_media(encode_media(table(spark, sf_dir, "documents"))).mapInArrow(digest, schema)
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import main_text
 
@@ -54,7 +75,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_toxicity, op7_token_files, op9_main_text, op10_source_mix)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_toxicity, op5_flac_media, op7_token_files, op9_main_text, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
