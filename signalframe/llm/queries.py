@@ -9,8 +9,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import cover_tree, mixing
 from .common import table
 
 
@@ -58,6 +59,16 @@ def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(table(spark, sf_dir, "documents"))).mapInArrow(digest, schema)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_copies import near_copy_groups
+
+    return near_copy_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import main_text
 
@@ -75,8 +86,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_toxicity, op5_flac_media, op7_token_files, op9_main_text, op10_source_mix)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_toxicity, op5_flac_media, op6_top_k, op7_token_files, op8_near_copies, op9_main_text, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mix": mixing.ORACLE_SQL}
+    return {"op6_top_k": cover_tree.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL}
