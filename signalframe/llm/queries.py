@@ -36,6 +36,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed
+
+    return removed(table(spark, sf_dir, "documents"), 50).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -86,7 +92,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_toxicity, op5_flac_media, op6_top_k, op7_token_files, op8_near_copies, op9_main_text, op10_source_mix)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_repeated_passages, op4_toxicity, op5_flac_media, op6_top_k, op7_token_files, op8_near_copies, op9_main_text, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
