@@ -257,3 +257,13 @@ def near_copy_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     members, groups = links(docs, k, percent)
     return members.join(groups, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with their columns, that have the smallest doc_id of their group; those that link with none stay.
+
+    Rows that share that doc_id all stay, and so do rows without a doc_id.
+    """
+    groups = near_copy_groups(docs, k, percent).filter("doc_id is not null and doc_id <> component_id")
+    gone = written(groups.select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

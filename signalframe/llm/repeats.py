@@ -41,21 +41,31 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
-    """Rows (batch, docs, text): runs of documents of about 1 MB, each document whole; the text is compressed."""
+def batches_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (batch, docs, text, rest): runs of documents of about 1 MB, each document whole; the text is compressed.
+
+    ``rest`` holds the columns ``keep`` in Arrow's format.
+    """
 
     def apply(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1)
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         data: list[bytes] = []
+        others: list[pa.RecordBatch] = []
         held = 0
 
         def row() -> pa.RecordBatch:
-            nonlocal ids, sizes, data, held, number
+            nonlocal ids, sizes, data, others, held, number
             packed = _pack(np.concatenate(ids), np.concatenate(sizes))
-            out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed], pa.binary()), pa.array([squeeze.compress(b"".join(data))], pa.binary())], ["batch", "docs", "text"])
-            ids, sizes, data, held, number = [], [], [], 0, number + 1
+            sink = pa.BufferOutputStream()
+            if keep:
+                with pa.ipc.new_stream(sink, others[0].schema) as stream:
+                    for x in others:
+                        stream.write_batch(x)
+            columns = [pa.array([number], pa.int64()), pa.array([packed], pa.binary()), pa.array([squeeze.compress(b"".join(data))], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            out = pa.RecordBatch.from_arrays(columns, ["batch", "docs", "text", "rest"])
+            ids, sizes, data, others, held, number = [], [], [], [], 0, number + 1
             return out
 
         for batch in arrow:
@@ -65,11 +75,14 @@ def batches_of(docs: DataFrame) -> DataFrame:
                 ids.append(batch.column(0).slice(i, j - i).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 sizes.append(np.diff(offsets))
                 data.append(raw.tobytes())
+                if keep:
+                    others.append(pa.RecordBatch.from_arrays(batch.columns[2:], list(keep)).slice(i, j - i))
                 held += len(raw)
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "batch long, docs binary, text binary")
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    return rows.mapInArrow(apply, "batch long, docs binary, text binary, rest binary")
 
 
 def _read(docs: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,18 +305,18 @@ def _covering(length: int):
     return compare
 
 
-def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = None) -> DataFrame:
-    """Rows (batch, docs, text, covers): batches of documents and the byte ranges in them that earlier documents hold."""
+def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (batch, docs, text, rest, covers): batches of documents and the byte ranges in them that earlier documents hold."""
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches = written(batches_of(docs), "repeat-batches")
+    batches = written(batches_of(docs, keep), "repeat-batches")
     bits = _dealt(batches, length, buckets).groupBy("bucket").applyInArrow(_settle, "batch long, bucket long, bits binary").filter("bits is not null")
     bits = written(bits, "repeat-bits").groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     found = written(_compared(batches.join(bits, "batch").select("batch", "docs", "text", "answers"), length, buckets), "repeat-segments")
     parts = found.filter("segments is not null").groupBy("bucket").applyInArrow(_covering(length), "batch long, cover binary")
     covers = written(found.filter("cover is not null").select("batch", "cover").unionByName(parts), "repeat-covers")
     covers = covers.groupBy("batch").agg(F.collect_list("cover").alias("covers"))
-    return batches.join(covers, "batch", "left").select("batch", "docs", "text", "covers")
+    return batches.join(covers, "batch", "left").select("batch", "docs", "text", "rest", "covers")
 
 
 def _kept(docs: bytes, text: bytes, covers: list[bytes] | None) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
@@ -331,10 +344,35 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def apply(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
-            for docs_, text, covers in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for docs_, text, covers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = [(None if d == NO_ID else d, n, r, s, hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes()) for d, n, r, s, kept in _kept(docs_, text, covers)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return covered_batches(docs, length).mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return covered_batches(docs, length).select("docs", "text", "covers").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The documents with their columns, each text without what earlier documents hold; n_chars, where there, follows.
+
+    What a cut leaves of a character whose bytes are partly gone goes too. Texts of which nothing is left stay, empty.
+    """
+    names = docs.columns
+
+    def apply(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            for docs_, text, rest, covers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = pa.ipc.open_stream(rest).read_all()
+                texts = [kept.tobytes().decode("utf-8", "ignore") for *_, kept in _kept(docs_, text, covers)]
+                columns = dict(zip(names, table.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+                yield from pa.table(columns).combine_chunks().to_batches()
+
+    # the texts themselves stand in the batches; the place of the column is kept by a null
+    shape = docs.withColumn("text_", F.lit(None).cast("string"))
+    keep = tuple("text_" if c == "text" else c for c in names)
+    rows = covered_batches(shape, length, keep=keep).select("docs", "text", "rest", "covers")
+    schema = docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in names else docs.schema
+    return rows.mapInArrow(apply, schema)
