@@ -6,14 +6,33 @@ import json
 import os
 import re
 from functools import cache
+from struct import pack
 
 import numpy as np
 
 #: Texts of these characters alone: beside space and line feed they hold no white space of any kind and no controls, so
 #: that cutting at white space is cutting where the tokenizer's own patterns cut. Others are encoded as a whole.
 _PLAIN = re.compile("[\x20\n\x21-\x7e\xa1-˿Ͱ-ӿぁ-ヿ一-鿿]*")
-#: A unit: in byte_level form with the one space before it, as such tokenizers join that space to what follows.
-_UNITS = {False: re.compile(r"\S+"), True: re.compile(r" ?[^ \n]+|\s+(?!\S)|\s")}
+#: Letters whose case and composition raise no question, and marks that no pattern joins to a letter.
+_L, _P = "[A-Za-zÀ-ÖØ-öø-ž]", "[.,;:!?%#$&*|]"
+#: Units: a word and the marks behind it apart, anything else up to white space as a whole; in byte-level form with the
+#: one space before it, as such tokenizers join that space to what follows.
+_UNITS = {
+    False: re.compile(rf"{_L}+(?={_P}*+(?:[ \n]|\Z))|(?<={_L}){_P}+(?=[ \n]|\Z)|\S+"),
+    True: re.compile(rf" ?{_L}+(?={_P}*+(?:[ \n]|\Z))|(?<={_L}){_P}+(?=[ \n]|\Z)| ?[^ \n]+|\s+(?!\S)|\s"),
+}
+
+
+#: Units that are one piece to the tokenizer's patterns; its model takes them at once, past the patterns.
+_ONE = re.compile(rf" ?{_L}+|{_P}+")
+
+
+def byte_letters() -> dict[str, str]:
+    """How byte-level models write UTF-8: printable bytes as themselves, the others from 256 on, in order; by character."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    letter = [other.get(b, chr(b)) for b in range(256)]
+    return {chr(c): "".join(letter[b] for b in chr(c).encode()) for c in range(0x180)}
 
 
 class Ids:
@@ -32,7 +51,7 @@ class Ids:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             words = bool(json.load(f)["model"].get("end_of_word_suffix"))
-        self.units = _UNITS[not words]
+        self.units, self.lower, self.letters = _UNITS[not words], words, str.maketrans(byte_letters())
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = most
@@ -55,8 +74,14 @@ class Ids:
         if self.older:
             kept.update((u, self.older[u]) for u in new if u in self.older)
             new = [u for u in new if u not in kept]
-        for a in range(0, len(new), 20_000):
-            kept.update(zip(new[a : a + 20_000], self.encode(new[a : a + 20_000]), strict=True))
+        model, rest = self.tokenizer.model, []
+        for u in new:
+            if _ONE.fullmatch(u):
+                kept[u] = pack("<" + "I" * len(found := model.tokenize((u.lower() if self.lower else u).translate(self.letters))), *[t.id for t in found])
+            else:
+                rest.append(u)
+        for a in range(0, len(rest), 20_000):
+            kept.update(zip(rest[a : a + 20_000], self.encode(rest[a : a + 20_000]), strict=True))
         for i, us in units.items():
             out[i] = np.frombuffer(b"".join(map(kept.__getitem__, us)), "<u4")
         for i, b in zip(plain, self.encode([texts[i] for i in plain]), strict=True):
