@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import event_queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark, sf_dir):
+    """Sixteen interaction features of every bin, brought to five statistics a window."""
+    return event_queries.a06(spark, sf_dir)
