@@ -60,13 +60,9 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 doc, token = shingle_sets(data, offsets, k)
                 seen += np.bincount((token >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(token, dtype=np.uint64)])
-                    mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix64(token ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
-                    f1, f2 = sums[first[1:]] - sums[first[:-1]], mixed[first[1:]] - mixed[first[:-1]]
                 n = j - i
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(np.diff(first)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "n", "f1", "f2", "chunk", "counts"])
+                f1, f2, size, _ = _fingerprints(doc, token, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(size), pa.array(f1), pa.array(f2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "n", "f1", "f2", "chunk", "counts"])
         if seen.any():
             parts = [x.astype("<u4").tobytes() for x in np.split(seen, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
@@ -91,23 +87,23 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Rows (doc_id, f1, matches, prefix): each document's rarest tokens, and the least number that a partner must share."""
+def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets: int) -> DataFrame:
+    """Rows (bucket, blob) of each run of documents: the rarest tokens of each, by a bucket of the token's hash.
+
+    A blob has tokens, and for its documents, once for equal sets, their fingerprints, the least number of tokens that a
+    partner must share, and how many of the tokens are theirs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         usual = 2.0 ** (np.median(level[level > 0]) / 8) if (level > 0).any() else 1.0
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
                 doc, token = shingle_sets(data, offsets, k)
-                rows = j - i
-                with np.errstate(over="ignore"):
-                    n = np.bincount(doc, minlength=rows)
-                    begin = np.cumsum(n) - n
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(token, dtype=np.uint64)])
-                    f1 = (sums[begin + n] - sums[begin]).view(np.int64)
-                    own = level[(token >> np.uint64(44)).astype(np.int64)]
+                rows = len(offsets) - 1
+                f1, f2, n, begin = _fingerprints(doc, token, rows)
+                own = level[(token >> np.uint64(44)).astype(np.int64)]
                 order = np.lexsort((token, own, doc))
                 token = token[order]
                 # what a token's postings hold beyond chance: the sketch's usual slot stands for a rare token
@@ -121,11 +117,57 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFr
                     take = (total < best) & (m <= np.maximum(need, 1))
                     best[take], matches[take] = total[take], m
                 size = np.minimum(base + matches, n)
-                inside = np.arange(len(token)) - np.repeat(begin, n) < np.repeat(size, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(token[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, rows).cast(pa.int64()), pa.array(f1), pa.array(matches), lists], ["doc_id", "f1", "matches", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, f1 long, matches long, prefix array<long>")
+                _, first = np.unique(np.stack([f1, f2], 1), axis=0, return_index=True)
+                once = np.zeros(rows, bool)
+                once[first] = True
+                inside = (np.arange(len(token)) - np.repeat(begin, n) < np.repeat(size, n)) & np.repeat(once, n)
+                token, doc_ = token[inside], np.repeat(np.arange(rows), n)[inside]
+                bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                names, start = np.unique(bucket[order], return_index=True)
+                out = []
+                for a, b in zip(start, np.append(start[1:], len(order)), strict=True):
+                    mine = order[a:b]
+                    docs_, counts = np.unique(doc_[mine], return_counts=True)
+                    out.append(_pack(token[mine], f1[docs_], f2[docs_], matches[docs_].astype("<u1"), counts.astype("<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+    return docs.select("text").mapInArrow(apply, "bucket long, blob binary")
+
+
+def _fingerprints(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two sums over each document's tokens, their number and where they begin."""
+    n = np.bincount(doc, minlength=rows)
+    begin = np.cumsum(n) - n
+    with np.errstate(over="ignore"):
+        one = np.concatenate([[np.uint64(0)], np.cumsum(token, dtype=np.uint64)])
+        two = np.concatenate([[np.uint64(0)], np.cumsum(mix64(token ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
+        return (one[begin + n] - one[begin]).view(np.int64), (two[begin + n] - two[begin]).view(np.int64), n, begin
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.array([a.nbytes for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _met(group: pa.Table) -> pa.Table:
+    """The postings of a bucket's tokens that stand in the prefixes of different sets, once for each set."""
+    kinds = ("<u8", "<i8", "<i8", "u1", "<u4")
+    parts: list[list[np.ndarray]] = []
+    for cell in group.column("blob"):
+        raw = cell.as_py()
+        at, own = 8 * len(kinds), []
+        for kind, size in zip(kinds, np.frombuffer(raw, "<i8", len(kinds)).tolist(), strict=True):
+            own.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+            at += size
+        parts.append([own[0], *(np.repeat(x, own[4]) for x in own[1:4])])
+    token, f1, f2, matches = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((f2, f1, token))
+    token, f1, f2, matches = token[order], f1[order], f2[order], matches[order]
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])
+    new = fresh | np.concatenate([[True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])])
+    several = (np.bincount(np.cumsum(fresh) - 1, new) > 1)[np.cumsum(fresh) - 1]
+    keep = new & several
+    return pa.table({"token": token[keep].view(np.int64), "f1": f1[keep], "f2": f2[keep], "matches": pa.array(matches[keep], pa.int64())})
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -133,12 +175,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 doc, token = shingle_sets(data, offsets, k)
-                at = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
-                with np.errstate(over="ignore"):
-                    f1 = [int(token[a:b].sum(dtype=np.uint64).view(np.int64)) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(f1, pa.int64()), pa.array([token[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "f1", "tokens"])
+                f1, f2, n, begin = _fingerprints(doc, token, j - i)
+                sets = [token[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(f1), pa.array(f2), pa.array(sets, pa.binary())], ["doc_id", "f1", "f2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, f1 long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, f1 long, f2 long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,15 +226,14 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     rows = both.filter("chunk is null").select("doc_id", "n", "f1", "f2")
     marked = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("s")).select("doc_id", "s.*")
     classes = written(marked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    prefix = written(prefixes(docs, level, k, percent), "near-prefixes")
-    first = prefix.join(classes.select(F.col("cid").alias("doc_id"), "f1", "copies"), ["doc_id", "f1"]).dropDuplicates(["doc_id"])
-    tokens = first.select(F.col("doc_id").alias("cid"), "copies", "matches", F.explode("prefix").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    posted = written(tokens.join(common, "token"), "near-postings")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = prefixes(docs, level, k, percent, buckets).groupBy("bucket").applyInArrow(_met, "token long, f1 long, f2 long, matches long")
+    posted = met.join(classes.select("f1", "f2", "cid", "copies"), ["f1", "f2"]).select("token", "cid", "copies", "matches")
+    posted = written(posted, "near-postings")
     ids = posted.select("cid").distinct()
     n_ids = ids.count()
     needed = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, docs["doc_id"] == ids["cid"], "left_semi")
-    sets = _sets(needed, k).join(classes.select(F.col("cid").alias("doc_id"), "f1"), ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id"])
+    sets = _sets(needed, k).join(classes.select(F.col("cid").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
     sets = written(sets.select("doc_id", "tokens"), "near-sets")
 
     found: list[DataFrame] = []
