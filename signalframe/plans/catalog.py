@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries
+from . import event_queries, other_queries, prediction_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -123,10 +123,10 @@ def w12(spark, d):
 CHANNELS = ["click_count", "keystroke_count", "scroll_back_runs", "scroll_inactivity_pct", "idle_time_pct", "tab_switch_count"]
 
 
-@query("a06_five_statistics", f"WITH {FEATURE_SQL} SELECT participant, window_index, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(avg({c}) FILTER (bin >= 20) - avg({c}) FILTER (bin < 10), 6) + CAST(0 AS DOUBLE) AS {c}_trend" for c in CHANNELS) + " FROM fe GROUP BY ALL")
+@query("a06_five_statistics", f"WITH {FEATURE_SQL} SELECT participant, window_index, " + ", ".join(f"round(avg({c}), 8) AS {c}_mean, round(stddev_pop({c}), 8) AS {c}_std, round(min({c}), 8) AS {c}_min, round(max({c}), 8) AS {c}_max, round(avg({c}) FILTER (bin >= 20) - avg({c}) FILTER (bin < 10), 8) + CAST(0 AS DOUBLE) AS {c}_trend" for c in CHANNELS) + " FROM fe GROUP BY ALL")
 def a06(spark, d):
     out = windows.five_statistics(rounded(features(spark, d), *CHANNELS), CHANNELS, ["participant", "window_index"], "bin", 30)
-    return rounded(out, *[c for c in out.columns if c not in ("participant", "window_index")])
+    return rounded(out, *[c for c in out.columns if c not in ("participant", "window_index")], places=8)
 
 
 @query("w10_down_sampled_moves", f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY participant, ts // {DAY} ORDER BY ts DESC, event_id DESC) AS rn FROM ev WHERE type = 'move') SELECT participant, event_id, ts // {DAY} * {DAY} + {DAY - 1} AS ts FROM r WHERE rn = 1")
