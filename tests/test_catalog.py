@@ -19,17 +19,22 @@ def con():
     return c
 
 
-def norm(frame):
+def value(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return None
+    return round(float(v), 5) + 0.0 if isinstance(v, float) else str(v)
+
+
+def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False, name=None)) if len(frame) else []
+    return sorted((tuple(map(value, r)) for r in frame.itertuples(index=False, name=None)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_equals_sql(spark, con, name):
     got, want = catalog.queries()[name](spark, SF).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    key = lambda rows: sorted(rows, key=str)
-    assert key(norm(got)) == key(norm(want))
+    assert rows_of(got) == rows_of(want)
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
