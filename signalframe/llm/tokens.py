@@ -35,13 +35,15 @@ def byte_letters() -> dict[str, str]:
     return {chr(c): "".join(letter[b] for b in chr(c).encode()) for c in range(0x180)}
 
 
-class Ids:
+class Ids(dict):
     """ids(texts) gives each text's ids, an array of unsigned 32-bit integers.
 
-    Texts repeat their words, so units are encoded once and kept, up to ``most`` of them and as many older ones.
+    Texts repeat their words, so each unit is encoded once, when it is first asked for, and kept: up to ``most`` of them
+    and as many older ones.
     """
 
     def __init__(self, path: str, most: int = 400_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,41 +53,31 @@ class Ids:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             words = bool(json.load(f)["model"].get("end_of_word_suffix"))
-        self.units, self.lower, self.letters = _UNITS[not words], words, str.maketrans(byte_letters())
-        self.kept: dict[str, bytes] = {}
+        self.model, self.units, self.lower, self.letters = self.tokenizer.model, _UNITS[not words], words, str.maketrans(byte_letters())
         self.older: dict[str, bytes] = {}
         self.most = most
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            if _ONE.fullmatch(unit):
+                each = [t.id for t in self.model.tokenize((unit.lower() if self.lower else unit).translate(self.letters))]
+            else:
+                each = self.tokenizer.encode(unit, add_special_tokens=False).ids
+            found = pack(f"<{len(each)}I", *each)
+        self[unit] = found
+        return found
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        units, plain, kept = {}, [], self.kept
-        for i, t in enumerate(texts):
+        out = []
+        for t in texts:
             if _PLAIN.fullmatch(t):
-                units[i] = self.units.findall(t)
-            else:
-                plain.append(i)
-        new = list({u for us in units.values() for u in us if u not in kept})
-        if len(kept) + len(new) > self.most and kept:
-            self.older, self.kept = kept, {}
-            kept, new = self.kept, list({u for us in units.values() for u in us})
-        if self.older:
-            kept.update((u, self.older[u]) for u in new if u in self.older)
-            new = [u for u in new if u not in kept]
-        model, rest = self.tokenizer.model, []
-        for u in new:
-            if _ONE.fullmatch(u):
-                kept[u] = pack("<" + "I" * len(found := model.tokenize((u.lower() if self.lower else u).translate(self.letters))), *[t.id for t in found])
+                out.append(np.frombuffer(b"".join(map(self.__getitem__, self.units.findall(t))), "<u4"))
             else:
-                rest.append(u)
-        for a in range(0, len(rest), 20_000):
-            kept.update(zip(rest[a : a + 20_000], self.encode(rest[a : a + 20_000]), strict=True))
-        for i, us in units.items():
-            out[i] = np.frombuffer(b"".join(map(kept.__getitem__, us)), "<u4")
-        for i, b in zip(plain, self.encode([texts[i] for i in plain]), strict=True):
-            out[i] = np.frombuffer(b, "<u4")
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
+            if len(self) > self.most:
+                self.older = dict(self)
+                self.clear()
         return out
 
 
