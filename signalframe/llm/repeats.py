@@ -142,6 +142,20 @@ def _order(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, names, np.append(start, len(order))
 
 
+def _first_holders(value: np.ndarray, segment: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each anchor of a batch the one that stands for its segment there: that of the smallest doc_id.
+
+    Only these are dealt, so a passage that many documents hold sends one anchor a batch and not one a document.
+    """
+    with np.errstate(over="ignore"):
+        key = mix64(value * np.uint64(0xD6E8FEB86659FD93) + segment)
+    order = np.lexsort((ids, key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    first = np.empty(len(key), np.int64)
+    first[order] = order[new][np.cumsum(new) - 1]
+    return first
+
+
 def _dealt(batches: DataFrame, length: int, buckets: int) -> DataFrame:
     def apply(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
@@ -151,6 +165,8 @@ def _dealt(batches: DataFrame, length: int, buckets: int) -> DataFrame:
                 if not len(value):
                     continue
                 doc = np.searchsorted(offsets, first, "right") - 1
+                stands = _first_holders(value, segment, ids[doc]) == np.arange(len(value))
+                doc, value, segment = doc[stands], value[stands], segment[stands]
                 order, names, start = _order(value, buckets)
                 low, six = (value & np.uint64(0xFFFFFFFF)).astype("<u4"), segment.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 rows = []
@@ -200,22 +216,31 @@ def _compared(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in arrow:
             for number, docs, text, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, offsets, data = _read(docs, text)
-                first, last, place, value, _ = anchors(data, offsets, length)
+                first, last, place, value, segment = anchors(data, offsets, length)
+                if not len(value):
+                    continue
                 doc = np.searchsorted(offsets, first, "right") - 1
-                order, names, start = _order(value, buckets)
-                of = {int(n): order[a:b] for n, a, b in zip(names, start, start[1:], strict=False)}
-                covered, out = [], []
-                for answer in answers:
+                holder = _first_holders(value, segment, ids[doc])
+                stand = np.flatnonzero(holder == np.arange(len(value)))
+                order, names, start = _order(value[stand], buckets)
+                of = {int(n): stand[order[a:b]] for n, a, b in zip(names, start, start[1:], strict=False)}
+                whole, compare, out = np.zeros(len(value), bool), np.zeros(len(value), bool), []
+                for answer in answers or ():
                     own = of[answer["bucket"]]
-                    whole, compare = (np.unpackbits(x)[: len(own)].astype(bool) for x in _unpack(answer["bits"], "u1", "u1"))
-                    covered.append(own[whole])
-                    own = own[compare]
+                    for marks, x in zip((whole, compare), _unpack(answer["bits"], "u1", "u1"), strict=True):
+                        marks[own] = np.unpackbits(x)[: len(own)].astype(bool)
+                later = ids[doc] > ids[doc[holder]]
+                covered, compare = np.flatnonzero(later | whole[holder]), np.flatnonzero(~later & compare[holder])
+                bucket = _bucket(value[compare], buckets)
+                order = np.argsort(bucket, kind="stable")
+                names, start = np.unique(bucket[order], return_index=True)
+                for name, a, b in zip(names.tolist(), start, np.append(start[1:], len(order)), strict=False):
+                    own = compare[order[a:b]]
                     if len(own):
                         size = last[own] + length - first[own]
                         take = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                         blob = _pack(value[own].astype("<u8"), ids[doc[own]].astype("<i8"), first[own].astype("<i8"), (place[own] - first[own]).astype("<i8"), size.astype("<i8"), data[take])
-                        out.append((None, None, answer["bucket"], number, squeeze.compress(blob)))
-                covered = np.concatenate(covered) if covered else np.zeros(0, np.int64)
+                        out.append((None, None, name, number, squeeze.compress(blob)))
                 if len(covered):
                     out.append((number, _pack(first[covered].astype("<i8"), (last[covered] + length).astype("<i8")), None, None, None))
                 if out:
@@ -312,7 +337,7 @@ def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = Non
     batches = written(batches_of(docs, keep), "repeat-batches")
     bits = _dealt(batches, length, buckets).groupBy("bucket").applyInArrow(_settle, "batch long, bucket long, bits binary").filter("bits is not null")
     bits = written(bits, "repeat-bits").groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    found = written(_compared(batches.join(bits, "batch").select("batch", "docs", "text", "answers"), length, buckets), "repeat-segments")
+    found = written(_compared(batches.join(bits, "batch", "left").select("batch", "docs", "text", "answers"), length, buckets), "repeat-segments")
     parts = found.filter("segments is not null").groupBy("bucket").applyInArrow(_covering(length), "batch long, cover binary")
     covers = written(found.filter("cover is not null").select("batch", "cover").unionByName(parts), "repeat-covers")
     covers = covers.groupBy("batch").agg(F.collect_list("cover").alias("covers"))
