@@ -20,9 +20,9 @@ from .graph import components
 
 #: Counters of the token-frequency sketch (a fixed size; it orders tokens, and any order gives right results), and chunks.
 SLOTS, CHUNKS = 1 << 20, 64
-#: Largest l; cost of verifying a candidate against that of a prefix token.
-MOST_MATCHES, VERIFY_COST = 6, 4.0
-#: Class ids that are sent to every task at most; beyond it they are joined.
+#: Largest l; cost of verifying a candidate against that of a prefix token; candidates expected of a rare token.
+MOST_MATCHES, VERIFY_COST, CHANCE = 12, 100.0, 0.02
+#: Class ids or pairs of them that are sent to every task at most; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 #: Rounds in which every class is tried on one likely partner before all remaining candidates are.
 STAR_ROUNDS = 3
@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets:
         level = shared.value
         usual = 2.0 ** (np.median(level[level > 0]) / 8) if (level > 0).any() else 1.0
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
                 doc, token = shingle_sets(data, offsets, k)
                 rows = len(offsets) - 1
                 f1, f2, n, begin = _fingerprints(doc, token, rows)
@@ -107,7 +107,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets:
                 order = np.lexsort((token, own, doc))
                 token = token[order]
                 # what a token's postings hold beyond chance: the sketch's usual slot stands for a rare token
-                cost = np.concatenate([[0.0], np.cumsum(np.maximum(1.0, 2.0 ** (own[order] / 8.0) - usual - 4 * np.sqrt(usual)))])
+                cost = np.concatenate([[0.0], np.cumsum(np.maximum(CHANCE, 2.0 ** (own[order] / 8.0) - usual - 4 * np.sqrt(usual)))])
                 need = -(-percent * n // 100)
                 base = n - need
                 best, matches = np.full(rows, np.inf), np.ones(rows, np.int64)
@@ -196,9 +196,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 either.append(len(p) + len(q) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "shared", "either"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    pairs = written(pairs.select("a", "b"), "near-pairs")
+    few = pairs.count() <= BROADCAST_IDS
+    sent = lambda df: F.broadcast(df) if few else df
+    # only sets that pairs name are shuffled, and each b's once
+    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")).join(sent(pairs), "a")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    rows = left.join(right, "b").select("a", "b", "x", "y")
     return rows.mapInArrow(apply, "a long, b long, shared long, either long")
 
 
@@ -229,7 +233,11 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = prefixes(docs, level, k, percent, buckets).groupBy("bucket").applyInArrow(_met, "token long, f1 long, f2 long, matches long")
     posted = met.join(classes.select("f1", "f2", "cid", "copies"), ["f1", "f2"]).select("token", "cid", "copies", "matches")
-    posted = written(posted, "near-postings")
+    posted = written(posted, "near-met")
+    # a class goes on if it has as many met tokens as the least that it and any that it meets ask for
+    least = posted.groupBy("token").agg(F.min("matches").alias("least"))
+    able = posted.join(least, "token").groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("least")).filter("n >= least").select("cid")
+    posted = written(posted.join(able, "cid", "left_semi"), "near-postings")
     ids = posted.select("cid").distinct()
     n_ids = ids.count()
     needed = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, docs["doc_id"] == ids["cid"], "left_semi")
@@ -240,9 +248,9 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     groups = None
     for turn in range(STAR_ROUNDS):
         rows_ = _of(posted, groups)
-        pick = F.struct(F.when(F.lit(turn == 0), F.col("copies")).otherwise(F.xxhash64("cid", F.lit(turn))).alias("x"), (-F.col("cid")).alias("y"), "cid", "grp")
-        centre = rows_.groupBy("token").agg(F.max(pick).alias("p")).select("token", F.col("p.cid").alias("b"), F.col("p.grp").alias("gb"))
-        tried = rows_.join(centre, "token").filter("cid <> b and grp <> gb").groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+        pick = F.struct(F.when(F.lit(turn == 0), F.col("copies")).otherwise(F.xxhash64("cid", F.lit(turn))).alias("x"), (-F.col("cid")).alias("y"), "cid", "grp", "matches")
+        centre = rows_.groupBy("token").agg(F.max(pick).alias("p")).select("token", F.col("p.cid").alias("b"), F.col("p.grp").alias("gb"), F.col("p.matches").alias("mb"))
+        tried = rows_.join(centre, "token").filter("cid <> b and grp <> gb").groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"), F.first("matches").alias("ma"), F.first("mb").alias("mb")).filter("n >= least(ma, mb)")
         pairs = tried.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("s")).select("a", (-F.col("s.m")).alias("b"))
         new = written(_verified(pairs, sets).filter(F.col("shared") * 100 >= F.col("either") * percent), "near-star")
         found.append(new)
@@ -255,7 +263,11 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
 
     # groups, their centres and radii
     members = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-    away = written(_verified(members, sets).select(F.col("a").alias("cid"), F.col("b").alias("grp"), (1 - F.col("shared") / F.col("either")).alias("away")), "near-away")
+    known = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "either")).dropDuplicates(["a", "b"]).join(members, ["a", "b"], "left_semi")
+    known = written(known, "near-known")
+    rest = _verified(members.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    away = known.unionByName(rest).select(F.col("a").alias("cid"), F.col("b").alias("grp"), (1 - F.col("shared") / F.col("either")).alias("away"))
+    away = written(away, "near-away")
     radius = away.groupBy("grp").agg(F.max("away").alias("radius"))
     rows_ = _of(posted, groups)
     least = rows_.groupBy("grp").agg(F.min("matches").alias("matches"))
