@@ -13,8 +13,9 @@ import numpy as np
 #: Texts of these characters alone: beside space and line feed they hold no white space of any kind and no controls, so
 #: that cutting at white space is cutting where the tokenizer's own patterns cut. Others are encoded as a whole.
 _PLAIN = re.compile("[\x20\n\x21-\x7e\xa1-˿Ͱ-ӿぁ-ヿ一-鿿]*")
-#: Letters whose case and composition raise no question, and marks that no pattern joins to a letter.
-_L, _P = "[A-Za-zÀ-ÖØ-öø-ž]", "[.,;:!?%#$&*|]"
+#: Letters whose case and composition raise no question, and marks that no pattern joins to a letter. U+0130 isn't one of
+#: them: in lower case it is two characters, which the patterns cut apart.
+_L, _P = "[A-Za-zÀ-ÖØ-öø-įı-ž]", "[.,;:!?%#$&*|]"
 #: Units: a word and the marks behind it apart, anything else up to white space as a whole; in byte-level form with the
 #: one space before it, as such tokenizers join that space to what follows.
 _UNITS = {
@@ -36,8 +37,9 @@ def byte_letters() -> dict[str, str]:
 
 
 class Ids(dict):
-    """ids(texts) gives each text's ids, an array of unsigned 32-bit integers.
+    """ids(texts) gives each text's ids by the library, an array of unsigned 32-bit integers.
 
+    A string of an added token in a text is that token, as the library has it; such texts are encoded as a whole.
     Texts repeat their words, so each unit is encoded once, when it is first asked for, and kept: up to ``most`` of them
     and as many older ones.
     """
@@ -48,12 +50,12 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             words = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.model, self.units, self.lower, self.letters = self.tokenizer.model, _UNITS[not words], words, str.maketrans(byte_letters())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
         self.most = most
 
@@ -71,7 +73,7 @@ class Ids(dict):
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
-            if _PLAIN.fullmatch(t):
+            if _PLAIN.fullmatch(t) and not any(a in t for a in self.added):
                 out.append(np.frombuffer(b"".join(map(self.__getitem__, self.units.findall(t))), "<u4"))
             else:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))

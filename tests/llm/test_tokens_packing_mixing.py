@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from signalframe.llm import mixing, packing, queries, token_files
 from signalframe.llm.tokens import Ids
@@ -23,6 +24,18 @@ def test_ids_equal_the_library_on_whole_texts(name):
             assert got.tolist() == want, text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_an_untouched_tokenizer(name):
+    path = queries.tokenizer_path(name)
+    whole, ids, rng = Tokenizer.from_file(path), Ids(path), random.Random(2)
+    letters = [c for c in map(chr, range(0x180)) if c.isalpha()]
+    texts = [t for c in letters for t in (c, f"{c}stanbul", f"st{c}n", f"An{c}, {c}. {c}{c}")]
+    alphabet = [*letters, *"İİ .,;:!?'9\n字か\u3099", " ", " ", " ", " <|endoftext|> ", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 20))) for _ in range(3000)]
+    for got, want, text in zip(ids.ids(texts), whole.encode_batch(texts, add_special_tokens=False), texts):
+        assert got.tolist() == want.ids, text
+
+
 def test_packing_covers_every_id_once(spark, odd_documents):
     path = queries.tokenizer_path("word_bpe_49k.json")
     docs = odd_documents.repartition(3)
