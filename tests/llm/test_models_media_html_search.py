@@ -104,6 +104,25 @@ def test_recurring_subtrees_go(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content with-sidebar'>{}</div>", "<div class='no-menu'>{}</div>", "<div id='page' class='related-on'>{}</div>", "<form action='/'>{}</form>", "<div role='form'><div class='has-nav'>{}</div></div>"])
+@pytest.mark.parametrize("body", ["<article>Own text</article>", "<main>Own text</main>", "<main><div class='no-menu'><article>Own text</article></div></main>", "<div role='main' class='no-menu'>Own text</div>", "<p>Own text</p>"])
+def test_page_wrappers_stay(wrap, body):
+    furniture = "<div class='menu'>Home</div><form>Mail</form><aside><article>Teaser</article></aside><div class='related' hidden><article>More</article></div>"
+    assert Page(f"<body>{wrap.format(body + furniture)}<footer>End</footer></body>").text() == "Own text"
+    assert Page("<article>Own text<div class='related'><article>More</article></div></article>").text() == "Own text"
+
+
+def test_copies_of_an_article_stay(spark):
+    page = "<body><div>Top {top}</div><div><article><h1>T{k}</h1><p>Text {k}</p><div>Share box</div></article></div></body>"
+    bare = "<body><h1>T</h1><p>Same text</p></body>"
+    rows = [(i, "http://c.example/", page.format(k=0, top=i)) for i in range(6)]  # copies alone
+    rows += [(10 + i, "http://m.example/", page.format(k=max(0, i - 8), top=0)) for i in range(14)]  # nine copies and five others
+    rows += [(30 + i, "http://b.example/", bare) for i in range(5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "T0 Text 0 Share box" for i in range(6)} | {10 + i: f"T{k} Text {k}" for i in range(14) for k in [max(0, i - 8)]}
+    assert got == want | {30 + i: "T Same text" for i in range(5)}
+
+
 def test_article_texts_equal_their_documents(spark):
     docs = {" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in html.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect():
