@@ -13,6 +13,11 @@ def draw(seed: str, *parts):
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
+def _dealt(rows: DataFrame, reps: int, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, however few they are, and over as many again for each 100 repetitions to come."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * -(-reps // 100), *keys)
+
+
 def cluster_draws(groups: DataFrame, reps: int, seed: str) -> DataFrame:
     """(rep, grp, times): for every repetition as many groups as there are, with replacement.
 
@@ -21,7 +26,7 @@ def cluster_draws(groups: DataFrame, reps: int, seed: str) -> DataFrame:
     """
     order = Window.orderBy("grp")
     numbered = groups.select("grp", (F.row_number().over(order) - 1).alias("slot"), F.count(F.lit(1)).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    slots = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", F.pmod(draw(seed, "rep", "slot"), F.col("n")).alias("slot"))
+    slots = _dealt(numbered, 1, "slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select("rep", F.pmod(draw(seed, "rep", "slot"), F.col("n")).alias("slot"))
     return slots.groupBy("rep", "slot").agg(F.count(F.lit(1)).alias("times")).join(numbered.select("slot", "grp"), "slot").select("rep", "grp", "times")
 
 
@@ -53,13 +58,16 @@ def permutation_p(rows: DataFrame, reps: int, seed: str) -> DataFrame:
     """(hits, p): labels change places within their group; p = (hits + 1) / (reps + 1).
 
     The ranks of the scores stay, so each repetition only sums the ranks that shuffled labels meet: the k-th row of a
-    group by id takes the label of its k-th row by draw.
+    group by id takes the label of its k-th row by draw. Rows are dealt once for each block of repetitions, so that a
+    large group is spread and its repeated rows aren't shuffled.
     """
+    blocks = min(reps, 50)
     order = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     ranks = rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).withColumn("below", F.coalesce(F.sum("c").over(order), F.lit(0))).select("p", (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
     ranked = rows.join(ranks, "p").withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("id")))
-    shuffled = rows.select("id", "grp", "y").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    shuffled = shuffled.withColumn("k", F.row_number().over(Window.partitionBy("rep", "grp").orderBy(draw(seed, "rep", "id"), "id"))).filter("y = 1")
+    shuffled = _dealt(rows.select("id", "grp", "y").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), reps, "grp", "block")
+    shuffled = shuffled.withColumn("rep", F.explode(F.sequence(F.col("block"), F.lit(reps - 1), F.lit(blocks))))
+    shuffled = shuffled.withColumn("k", F.row_number().over(Window.partitionBy("grp", "block", "rep").orderBy(draw(seed, "rep", "id"), "id"))).filter("y = 1")
     sums = shuffled.join(ranked.select("grp", "k", "rank"), ["grp", "k"]).groupBy("rep").agg(F.sum("rank").alias("s"))
     seen = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("observed"))
     out = sums.crossJoin(F.broadcast(seen))  # one row

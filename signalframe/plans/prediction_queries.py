@@ -103,36 +103,58 @@ def a29(spark, d):
     return rounded(a.agg(F.count("auc").alias("computable"), F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.5)).alias("median"), F.min("auc").alias("lowest"), F.count_if(F.col("auc") < 0.5).alias("below_half"), F.count_if(F.col("auc") >= 0.7).alias("good")), "mean", "median", places=5)
 
 
+#: Repetitions of the queries with SQL, few enough for DuckDB; and the reference's, of those named full and of r07.
 REPS = 100
+FULL_BOOT, FULL_PERM, FULL_AUC = 2000, 2000, 4000
 DRAWS = """gs AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM {src})),
 dr AS (SELECT rep, ('0x' || substr(md5('{seed}:' || rep || ':' || slot), 1, 8))::BIGINT % n AS slot FROM gs, range({reps}) t(rep)),
 dm AS (SELECT rep, grp, count(*) AS times FROM dr JOIN gs ON dr.slot = gs.slot GROUP BY ALL)"""
 
 
 @query("r01_cluster_bootstrap", f"WITH {PRED_DOC}, {DRAWS.format(src='pd', seed='r01', reps=REPS)}, x AS (SELECT rep, y, pa, times FROM pd JOIN dm USING (grp)), a AS ({auc_sql('x', 'rep', 'y', 'pa', 'times')}) SELECT round(quantile_cont(auc, 0.025), 5) AS low, round(quantile_cont(auc, 0.975), 5) AS high, count(auc) AS kept FROM a")
-def r01(spark, d):
-    a = rounded(resampling.bootstrap_auc(views.document_predictions(spark, d), REPS, "r01", ["pa"]), "auc_pa")
+def r01(spark, d, reps=REPS):
+    a = rounded(resampling.bootstrap_auc(views.document_predictions(spark, d), reps, "r01", ["pa"]), "auc_pa")
     return rounded(resampling.interval(a, "auc_pa"), "low", "high", places=5)
 
 
+@query("r01_cluster_bootstrap_full")
+def r01_full(spark, d):
+    return r01(spark, d, FULL_AUC)
+
+
 @query("r02_row_bootstrap", f"WITH {PRED_DOC}, p2 AS (SELECT id AS grp, y, pa FROM pd), {DRAWS.format(src='p2', seed='r02', reps=20)}, x AS (SELECT rep, y, pa, times FROM p2 JOIN dm USING (grp)), a AS ({auc_sql('x', 'rep', 'y', 'pa', 'times')}) SELECT round(quantile_cont(auc, 0.025), 5) AS low, round(quantile_cont(auc, 0.975), 5) AS high, count(auc) AS kept FROM a")
-def r02(spark, d):
+def r02(spark, d, reps=20):
     rows = views.document_predictions(spark, d).withColumn("grp", F.col("id"))
-    return rounded(resampling.interval(rounded(resampling.bootstrap_auc(rows, 20, "r02", ["pa"]), "auc_pa"), "auc_pa"), "low", "high", places=5)
+    return rounded(resampling.interval(rounded(resampling.bootstrap_auc(rows, reps, "r02", ["pa"]), "auc_pa"), "auc_pa"), "low", "high", places=5)
+
+
+@query("r02_row_bootstrap_full")
+def r02_full(spark, d):
+    return r02(spark, d, FULL_AUC)
 
 
 @query("r05_paired_bootstrap", f"WITH {PRED_DOC}, {DRAWS.format(src='pd', seed='r05', reps=REPS)}, x AS (SELECT rep, y, pa, pb, times FROM pd JOIN dm USING (grp)), a AS ({auc_sql('x', 'rep', 'y', 'pa', 'times')}), b AS ({auc_sql('x', 'rep', 'y', 'pb', 'times')}) SELECT round(quantile_cont(a.auc - b.auc, 0.025), 4) AS low, round(quantile_cont(a.auc - b.auc, 0.975), 4) AS high, round(avg(CAST(a.auc > b.auc AS INTEGER)), 6) AS share_above FROM a JOIN b USING (rep)")
-def r05(spark, d):
-    a = rounded(resampling.bootstrap_auc(views.document_predictions(spark, d), REPS, "r05", ["pa", "pb"]), "auc_pa", "auc_pb").withColumn("diff", F.col("auc_pa") - F.col("auc_pb"))
+def r05(spark, d, reps=REPS):
+    a = rounded(resampling.bootstrap_auc(views.document_predictions(spark, d), reps, "r05", ["pa", "pb"]), "auc_pa", "auc_pb").withColumn("diff", F.col("auc_pa") - F.col("auc_pb"))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
     out = a.agg(q.alias("q"), F.avg((F.col("auc_pa") > F.col("auc_pb")).cast("int")).alias("share_above"))
     return rounded(rounded(out.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "share_above"), "low", "high", places=4), "share_above")
 
 
+@query("r05_paired_bootstrap_full")
+def r05_full(spark, d):
+    return r05(spark, d, FULL_AUC)
+
+
 @query("r06_accuracy_bootstrap", f"WITH {PRED_BIN}, pg AS (SELECT grp, count(*) FILTER ((p >= 0.5) = (y = 1)) AS hit, count(*) AS c FROM pb GROUP BY grp), {DRAWS.format(src='pg', seed='r06', reps=REPS)}, r AS (SELECT rep, round(sum(hit * times) / sum(c * times), 6) AS ratio FROM pg JOIN dm USING (grp) GROUP BY rep) SELECT round(quantile_cont(ratio, 0.025), 5) AS low, round(quantile_cont(ratio, 0.975), 5) AS high, count(ratio) AS kept FROM r")
-def r06(spark, d):
+def r06(spark, d, reps=REPS):
     g = views.binary_predictions(spark, d).groupBy("grp").agg(F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("hit"), F.count(F.lit(1)).alias("c"))
-    return rounded(resampling.interval(rounded(resampling.bootstrap_ratio(g, "hit", "c", REPS, "r06"), "ratio"), "ratio"), "low", "high", places=5)
+    return rounded(resampling.interval(rounded(resampling.bootstrap_ratio(g, "hit", "c", reps, "r06"), "ratio"), "ratio"), "low", "high", places=5)
+
+
+@query("r06_accuracy_bootstrap_full")
+def r06_full(spark, d):
+    return r06(spark, d, FULL_BOOT)
 
 
 @query("r07_gated_precision_bootstrap")
@@ -141,15 +163,20 @@ def r07(spark, d):
     from ..operators import gate
 
     g = gate.replay(views.binary_predictions(spark, d), [0.6]).select("grp", F.size("fired").alias("offers"), "correct")
-    return rounded(resampling.interval(resampling.bootstrap_ratio(g, "correct", "offers", REPS, "r07"), "ratio"), "low", "high")
+    return rounded(resampling.interval(resampling.bootstrap_ratio(g, "correct", "offers", FULL_BOOT, "r07"), "ratio"), "low", "high")
 
 
 @query("r04_within_group_permutation", f"""WITH {PRED_BIN}, s AS (SELECT p, count(*) AS c FROM pb GROUP BY p), rk AS (SELECT p, coalesce(sum(c) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / CAST(2 AS DOUBLE) AS rank FROM s),
 f AS (SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY id) AS k, rank, y FROM pb JOIN rk USING (p)), h AS (SELECT rep, grp, y, row_number() OVER (PARTITION BY rep, grp ORDER BY ('0x' || substr(md5('r04:' || rep || ':' || id), 1, 8))::BIGINT, id) AS k FROM pb, range(20) t(rep)),
 z AS (SELECT rep, sum(rank) AS v FROM h JOIN f ON h.grp = f.grp AND h.k = f.k WHERE h.y = 1 GROUP BY rep), o AS (SELECT sum(rank) AS obs FROM f WHERE y = 1)
 SELECT count(*) FILTER (v >= obs) AS hits, round((count(*) FILTER (v >= obs) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p_value FROM z, o""")
-def r04(spark, d):
-    return rounded(resampling.permutation_p(views.binary_predictions(spark, d), 20, "r04"), "p_value")
+def r04(spark, d, reps=20):
+    return rounded(resampling.permutation_p(views.binary_predictions(spark, d), reps, "r04"), "p_value")
+
+
+@query("r04_within_group_permutation_full")
+def r04_full(spark, d):
+    return r04(spark, d, FULL_PERM)
 
 
 @query("r10_benjamini_hochberg", f"WITH {PRED_DOC}, t AS (SELECT grp AS name, round((abs(hash_) % 1000 + 1) / CAST(1001 AS DOUBLE), 6) AS p FROM (SELECT grp, count(*) * 37 + sum(y) * 11 AS hash_ FROM pd GROUP BY grp)), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS rank, count(*) OVER () AS m FROM t) SELECT name, p, rank::INTEGER AS rank, round(least(1, min(p * m / rank) OVER (ORDER BY p DESC, name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS q FROM r")

@@ -204,3 +204,16 @@ def test_text_scores(spark):
     assert (r[0].g, r[0].w, r[0].m) == (0.5, 5, True) and (r[1].g, r[1].w) == (0.0, 0)
     s = spark.range(1).select(text.valid_strategy(F.lit('{"action_type":"hint","urgency":"low"}'), ["hint"]).alias("v"), text.valid_strategy(F.lit("not json"), ["hint"]).alias("n")).first()
     assert s.v and not s.n
+
+
+def test_full_resampling_runs_at_the_repetitions_of_the_reference(spark, monkeypatch):
+    from signalframe.plans import catalog, prediction_queries
+    from signalframe.sources import views
+
+    rows = spark.createDataFrame([(i, f"g{i % 3}", i, int(i % 60 >= 48), float(i % 60)) for i in range(120)], "id long, grp string, idx long, y int, p double")
+    monkeypatch.setattr(prediction_queries.views, "binary_predictions", lambda *_: rows)
+    assert catalog.queries()["r04_within_group_permutation_full"](spark, "").first().p_value == round(1 / 2001, 6)  # 20 permutations give no p below 1/21
+    both = rows.select("id", "grp", "y", F.lit(0.5).alias("pa"), F.lit(0.4).alias("pb"))
+    monkeypatch.setattr(views, "document_predictions", lambda *_: both)
+    kept = {name: catalog.queries()[name](spark, "").first().kept for name in ("r01_cluster_bootstrap_full", "r02_row_bootstrap_full", "r06_accuracy_bootstrap_full")}
+    assert kept == {"r01_cluster_bootstrap_full": 4000, "r02_row_bootstrap_full": 4000, "r06_accuracy_bootstrap_full": 2000}
