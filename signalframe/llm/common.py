@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; where it is unset (tests), a new one."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a local master (tests) takes a new folder; on a cluster that is an error, as no executor would see
+    what another has written.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="signalframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -33,7 +40,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing lazy reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,8 +108,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _ROOM = np.random.default_rng(20240607)
 BYTE_VALUE = _ROOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
-BYTE_VALUE_LOWER = BYTE_VALUE.copy()
-BYTE_VALUE_LOWER[65:91] = BYTE_VALUE[97:123]
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -114,6 +129,30 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
         return mix64((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
 
 
+_LANE_KEYS = np.random.default_rng(20250117).integers(0, 1 << 63, 9, np.uint64)
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each span of bytes: eight bytes at a time, mixed after each; long spans by xxh3."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        value = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _LANE_KEYS[8])
+        own = np.flatnonzero(size <= 64)
+        for lane in range(8):
+            own = own[size[own] > 8 * lane]
+            if not len(own):
+                break
+            taken = lanes[starts[own] + 8 * lane] & _LANE_MASK[np.minimum(size[own] - 8 * lane, 8)]
+            value[own] = mix64((value[own] ^ taken) + _LANE_KEYS[lane])
+    for i in np.flatnonzero(size > 64).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=20250117)
+    return value
+
+
 def bernoulli_key(seed: str, *cols) -> F.Column:
     """A seeded hexadecimal order key that other SQL engines compute alike."""
     return F.md5(F.concat_ws(":", F.lit(seed), *cols))

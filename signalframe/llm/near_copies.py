@@ -4,6 +4,12 @@ All tokens (hashed shingles) have one order, rare before common. Two sets x, y w
 l tokens within the first |x| - ceil(t|x|) + l tokens of x and |y| - ceil(t|y|) + l of y; if each set has its own l, at
 least the smaller of both. A larger l lengthens a prefix a little and asks for more shared tokens before a pair is
 verified, so each document takes the l whose estimated cost is least: long where its prefix tokens are common.
+
+A large group of near copies shares its prefix tokens all round. So candidates aren't paired with each other but with
+centres: each class of equal sets belongs to one cluster, and is a guest in the larger clusters that it shares enough
+prefix tokens with; so any two that link meet in a cluster. There a set is known by its symmetric difference with the
+centre's, and |x ^ y| = |dx ^ dy|: the same prefix rule runs on the differences, in which what the whole group shares
+doesn't occur any more. Sets that link to the centre are linked already; only the others look for partners.
 """
 
 from __future__ import annotations
@@ -15,23 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE_LOWER, mix64, span_hashes, text_chunks, word_spans, written
+from .common import LOWER, discarded, mix64, text_chunks, word_hashes, word_spans, written
 from .graph import components
 
 #: Counters of the token-frequency sketch (a fixed size; it orders tokens, and any order gives right results), and chunks.
 SLOTS, CHUNKS = 1 << 20, 64
 #: Largest l; cost of verifying a candidate against that of a prefix token; candidates expected of a rare token.
 MOST_MATCHES, VERIFY_COST, CHANCE = 12, 100.0, 0.02
-#: Class ids or pairs of them that are sent to every task at most; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
-#: Rounds in which every class is tried on one likely partner before all remaining candidates are.
-STAR_ROUNDS = 3
+#: Bands of the sizes of differences for each centre size.
+BANDS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct k-word shingles, ordered by both; fewer words are one shingle as a whole."""
     starts, ends, words = word_spans(data, offsets)
-    value = span_hashes(data, starts, ends, BYTE_VALUE_LOWER)
+    value = word_hashes(LOWER[data], starts, ends)
     doc = np.repeat(np.arange(len(words)), words)
     rank = np.arange(len(starts)) - np.repeat(np.cumsum(words) - words, words)
     room = np.concatenate([value, np.zeros(k, np.uint64)])
@@ -51,8 +55,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
     return doc[new], total[new]
 
 
+def _classes(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document a 64-bit name of its set, which equal sets share, its number of tokens and where they begin."""
+    n = np.bincount(doc, minlength=rows)
+    begin = np.cumsum(n) - n
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(token ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
+        return mix64(sums[begin + n] - sums[begin] + n.astype(np.uint64)).view(np.int64), n, begin
+
+
 def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, f1, f2) of every document: its set's size and fingerprint; and rows (chunk, counts) of the sketch."""
+    """Rows (doc_id, n, cid) of every document: its set's size and name; and rows (chunk, counts) of the sketch."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
@@ -61,14 +74,14 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 doc, token = shingle_sets(data, offsets, k)
                 seen += np.bincount((token >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 n = j - i
-                f1, f2, size, _ = _fingerprints(doc, token, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(size), pa.array(f1), pa.array(f2), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "n", "f1", "f2", "chunk", "counts"])
+                cid, size, _ = _classes(doc, token, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(size), pa.array(cid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "n", "cid", "chunk", "counts"])
         if seen.any():
             parts = [x.astype("<u4").tobytes() for x in np.split(seen, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["doc_id", "n", "f1", "f2", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["doc_id", "n", "cid", "chunk", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, f1 long, f2 long, chunk long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n long, cid long, chunk long, counts binary")
 
 
 def frequency_classes(rows: DataFrame) -> np.ndarray:
@@ -87,11 +100,10 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets: int) -> DataFrame:
-    """Rows (bucket, blob) of each run of documents: the rarest tokens of each, by a bucket of the token's hash.
+def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFrame:
+    """Rows (token, cid, matches, size): the prefix of each set, once for equal sets of a run of documents.
 
-    A blob has tokens, and for its documents, once for equal sets, their fingerprints, the least number of tokens that a
-    partner must share, and how many of the tokens are theirs.
+    ``matches`` is the least number of tokens that a partner must share, ``size`` the length of the prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -99,10 +111,10 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets:
         level = shared.value
         usual = 2.0 ** (np.median(level[level > 0]) / 8) if (level > 0).any() else 1.0
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 21):
+            for _, _, data, offsets in text_chunks(batch.column(0)):
                 doc, token = shingle_sets(data, offsets, k)
                 rows = len(offsets) - 1
-                f1, f2, n, begin = _fingerprints(doc, token, rows)
+                cid, n, begin = _classes(doc, token, rows)
                 own = level[(token >> np.uint64(44)).astype(np.int64)]
                 order = np.lexsort((token, own, doc))
                 token = token[order]
@@ -117,185 +129,194 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int, buckets:
                     take = (total < best) & (m <= np.maximum(need, 1))
                     best[take], matches[take] = total[take], m
                 size = np.minimum(base + matches, n)
-                _, first = np.unique(np.stack([f1, f2], 1), axis=0, return_index=True)
-                once = np.zeros(rows, bool)
-                once[first] = True
-                inside = (np.arange(len(token)) - np.repeat(begin, n) < np.repeat(size, n)) & np.repeat(once, n)
-                token, doc_ = token[inside], np.repeat(np.arange(rows), n)[inside]
-                bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                names, start = np.unique(bucket[order], return_index=True)
-                out = []
-                for a, b in zip(start, np.append(start[1:], len(order)), strict=True):
-                    mine = order[a:b]
-                    docs_, counts = np.unique(doc_[mine], return_counts=True)
-                    out.append(_pack(token[mine], f1[docs_], f2[docs_], matches[docs_].astype("<u1"), counts.astype("<u4")))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out, pa.binary())], ["bucket", "blob"])
-
-    return docs.select("text").mapInArrow(apply, "bucket long, blob binary")
-
-
-def _fingerprints(doc: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two sums over each document's tokens, their number and where they begin."""
-    n = np.bincount(doc, minlength=rows)
-    begin = np.cumsum(n) - n
-    with np.errstate(over="ignore"):
-        one = np.concatenate([[np.uint64(0)], np.cumsum(token, dtype=np.uint64)])
-        two = np.concatenate([[np.uint64(0)], np.cumsum(mix64(token ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
-        return (one[begin + n] - one[begin]).view(np.int64), (two[begin + n] - two[begin]).view(np.int64), n, begin
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([a.nbytes for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def _met(group: pa.Table) -> pa.Table:
-    """The postings of a bucket's tokens that stand in the prefixes of different sets, once for each set."""
-    kinds = ("<u8", "<i8", "<i8", "u1", "<u4")
-    parts: list[list[np.ndarray]] = []
-    for cell in group.column("blob"):
-        raw = cell.as_py()
-        at, own = 8 * len(kinds), []
-        for kind, size in zip(kinds, np.frombuffer(raw, "<i8", len(kinds)).tolist(), strict=True):
-            own.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-            at += size
-        parts.append([own[0], *(np.repeat(x, own[4]) for x in own[1:4])])
-    token, f1, f2, matches = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.lexsort((f2, f1, token))
-    token, f1, f2, matches = token[order], f1[order], f2[order], matches[order]
-    fresh = np.concatenate([[True], token[1:] != token[:-1]])
-    new = fresh | np.concatenate([[True], (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1])])
-    several = (np.bincount(np.cumsum(fresh) - 1, new) > 1)[np.cumsum(fresh) - 1]
-    keep = new & several
-    return pa.table({"token": token[keep].view(np.int64), "f1": f1[keep], "f2": f2[keep], "matches": pa.array(matches[keep], pa.int64())})
-
-
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+                _, first = np.unique(cid, return_index=True)
+                size_ = np.zeros(rows, np.int64)
+                size_[first] = size[first]
+                inside = np.arange(len(token)) - np.repeat(begin, n) < np.repeat(size_, n)
+                of = np.repeat(np.arange(rows), n)[inside]
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([pa.array(token[inside].view(np.int64)), pa.array(cid[of]), pa.array(matches[of].astype(np.int8)), pa.array(size[of].astype(np.int32))], ["token", "cid", "matches", "size"])
+
+    return docs.filter("doc_id is not null").select("text").mapInArrow(apply, "token long, cid long, matches byte, size int")
+
+
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by token and class, each once, those whose token stands in the prefixes of several classes."""
+    held: list[np.ndarray] | None = None  # a token's only class so far
+    done: tuple[int, int] | None = None  # the last token and class given
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        token, cid = rows[0], rows[1]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+        if done is not None and len(token):
+            new[0] = (int(token[0]), int(cid[0])) != done
+        rows = [x[new] for x in rows]
+        token = rows[0]
+        if not len(token):
+            continue
+        run = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+        several = np.bincount(run) > 1
+        several[0] |= done is not None and done[0] == token[0]
+        held, done = (None, (int(token[-1]), int(rows[1][-1]))) if several[-1] else ([x[-1:] for x in rows], None)
+        keep = several[run]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], batch.schema.names)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Rows (cid, tokens) of the classes (cid, low) wanted: the set of the document ``low``, in order, as bytes."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            want = batch.column(0).to_numpy()
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 doc, token = shingle_sets(data, offsets, k)
-                f1, f2, n, begin = _fingerprints(doc, token, j - i)
-                sets = [token[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(f1), pa.array(f2), pa.array(sets, pa.binary())], ["doc_id", "f1", "f2", "tokens"])
+                cid, n, begin = _classes(doc, token, j - i)
+                own = np.flatnonzero(cid == want[i:j])  # a doc_id may have other texts, too
+                sets = [token[a:b].tobytes() for a, b in zip(begin[own].tolist(), (begin + n)[own].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, f1 long, f2 long, tokens binary")
+    return docs.select("doc_id", "text").join(wanted.select("cid", F.col("low").alias("doc_id")), "doc_id").select("cid", "text").mapInArrow(apply, "cid long, tokens binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (a, b, shared, either) with the exact sizes of intersection and union, for a table of pairs (a, b)."""
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (c, x, own, n, centre, linked, d) for pairs (x, c, own, most): set sizes, whether both link, and x ^ c.
+
+    Where ``most`` is below what x is away from c, no member of the cluster of c can link with x, and there is no row.
+    """
+    unit, slack = 100 + percent, 100 - percent
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, either = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                n = int((q[at] == p).sum())
-                shared.append(n)
-                either.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "shared", "either"])
-
-    pairs = written(pairs.select("a", "b"), "near-pairs")
-    few = pairs.count() <= BROADCAST_IDS
-    sent = lambda df: F.broadcast(df) if few else df
-    # only sets that pairs name are shuffled, and each b's once
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")).join(sent(pairs), "a")
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
-    rows = left.join(right, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(apply, "a long, b long, shared long, either long")
-
-
-def _of(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``classes`` with the group of each class: the smallest class that links so far reach, at first itself."""
-    if groups is None:
-        return classes.withColumn("grp", F.col("cid"))
-    return classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("grp", F.coalesce("component", "cid")).drop("component")
+            keep, sizes, linked, parts = [], [], [], []
+            most = batch.column(3).fill_null((1 << 62)).to_numpy(zero_copy_only=False)
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                p, q = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = np.concatenate([p, q])
+                both.sort()
+                twice = both[1:] == both[:-1]
+                alone = np.ones(len(both), bool)
+                alone[1:] &= ~twice
+                alone[:-1] &= ~twice
+                d = both[alone]
+                link = unit * len(d) <= slack * (len(p) + len(q))
+                if link or unit * len(d) - slack * len(p) <= most[i]:
+                    keep.append(i)
+                    sizes.append((len(p), len(q)))
+                    linked.append(link)
+                    parts.append(d.view(np.int64))
+            if keep:
+                rows = batch.select([0, 1, 2]).take(pa.array(keep))
+                ends = np.concatenate([[0], np.cumsum([len(d) for d in parts])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([n for n, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64()), pa.array(linked), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], ["c", "x", "own", "n", "centre", "linked", "d"])
+
+    left = sets.withColumnsRenamed({"cid": "x", "tokens": "p"}).join(pairs, "x")
+    right = sets.join(pairs.select(F.col("c").alias("cid")).distinct(), "cid").select(F.col("cid").alias("c"), F.col("tokens").alias("q"))
+    rows = left.join(right, "c").select("c", "x", "own", "most", "p", "q")
+    return rows.mapInArrow(apply, "c long, x long, own boolean, n long, centre long, linked boolean, d array<long>").dropDuplicates(["c", "x"])
+
+
+def _clusters(posted: DataFrame) -> DataFrame:
+    """Rows (cid, c): each class's cluster, named by its centre. Any choice gives right results; a good one few candidates.
+
+    A token speaks for one of its classes: first for that with the largest share of its prefix met elsewhere, which has
+    the fewest words of its own; then for the most chosen. A class takes the centre that most of its tokens speak for,
+    if it is a candidate of its.
+    """
+
+    def choice(rows: DataFrame, rank: F.Column) -> DataFrame:
+        centre = rows.groupBy("token").agg(F.max(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "share", "cid", "matches"))).alias("s")).filter("s is not null").select("token", F.col("s.cid").alias("c"), F.col("s.matches").alias("least"))
+        votes = rows.select("token", "cid", "matches").join(centre, "token").groupBy("cid", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need"))
+        return votes.filter("n >= need or cid = c").groupBy("cid").agg(F.max(F.struct("n", "c")).alias("s")).select("cid", F.col("s.c").alias("c"))
+
+    first = choice(posted, F.col("share"))
+    chosen = first.groupBy(F.col("c").alias("cid")).agg(F.count(F.lit(1)).alias("chosen"))
+    second = choice(posted.join(chosen, "cid", "left"), F.col("chosen"))
+    return posted.select("cid").distinct().join(second, "cid", "left").select("cid", F.coalesce("c", "cid").alias("c"))
+
+
+def _inner_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of cluster members of which one at least isn't linked to the centre and one at least is an owner.
+
+    With s = unit |d| - slack n, two members link where they share (s_x + s_y) / (2 unit) tokens of their differences or
+    more. Members are dealt into bands of s; for each pair of bands both have a prefix, rare tokens of the cluster first.
+    """
+    unit, slack = 100 + percent, 100 - percent
+    members = members.join(members.filter("not linked").select("c").distinct(), "c")
+    members = members.withColumn("s", unit * F.size("d") - slack * F.col("n")).withColumn("width", F.greatest(F.lit(2 * unit), F.floor(unit * F.col("centre") / BANDS))).withColumn("band", F.floor(F.col("s") / F.col("width")))
+    bands = members.groupBy("c").agg(F.collect_set("band").alias("bands"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("outer_bands"))
+    each = members.select("c", "x", F.explode("d").alias("token"))
+    often = each.groupBy("c", "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    met = each.join(often, ["c", "token"]).groupBy("c", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "token"))), lambda t: t["token"]).alias("met"))
+    rows = members.select("c", "x", "own", "linked", "s", "width", "band", F.size("d").alias("size")).join(met, ["c", "x"]).join(bands, "c")
+
+    def prefix(other: F.Column) -> F.Column:
+        share = F.greatest(F.lit(1), F.ceil((F.col("s") + other * F.col("width")) / (2 * unit)))
+        length = F.col("size") - share + 1 - (F.col("size") - F.size("met"))  # tokens that no other has come first
+        return F.slice("met", F.lit(1), F.greatest(F.lit(0), length).cast("int"))
+
+    def postings(side: DataFrame, others: str, names: tuple[str, str]) -> DataFrame:
+        side = side.withColumn("other", F.explode(others))
+        return side.select("c", F.col("band").alias(names[0]), F.col("other").alias(names[1]), F.explode(prefix(F.col("other"))).alias("token"), "x", "own", "linked")
+
+    seek = postings(rows.filter("not linked"), "bands", ("i", "j")).drop("linked").withColumnsRenamed({"x": "a", "own": "own_a"})
+    found = postings(rows, "outer_bands", ("j", "i")).withColumnsRenamed({"x": "b", "own": "own_b"})
+    near = seek.join(found, ["c", "i", "j", "token"]).filter("a <> b and (linked or b < a) and (own_a or own_b)").select("c", "a", "b").distinct()
+    own = members.select("c", "x", "n", "d")
+    near = near.join(own.withColumnsRenamed({"x": "a", "n": "na", "d": "da"}), ["c", "a"]).join(own.withColumnsRenamed({"x": "b", "n": "nb", "d": "db"}), ["c", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return near.filter(unit * apart <= slack * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, groups): (doc_id, n, cid) of every document, and (cid, component) of the classes that others link to.
+    """(rows, classes): (doc_id, n, cid) of every document, and (cid, component_id) of every class of equal sets.
 
-    1. Documents with equal sets form a class, which its smallest doc_id stands for; only classes go on.
+    1. Documents with equal sets form a class; only classes go on.
     2. A sketch of the frequencies of all tokens orders them; each class has an adaptive prefix.
-    3. Tokens that stand in several prefixes are kept. In a few rounds each class is verified against one partner that
-       shares most of them, by preference one with many copies: a group of thousands of near copies becomes one star.
-    4. What is left are pairs of groups that share enough prefix tokens. Jaccard distance is a metric, so groups of radii
-       r, s around centres c, d hold a link only if dist(c, d) <= r + s + 1 - t; pairs of centres are verified, and
-       members only of pairs of groups that pass and don't link by their centres. This loses no link.
+    3. Prefix tokens of several classes are kept, of classes that share enough of them with others.
+    4. Classes are dealt into clusters. A class is also a guest where its prefix shares enough tokens with those of a
+       cluster that is larger (or as large, with a larger centre).
+    5. Each owner and guest is compared with the centre, and within a cluster by differences (``_inner_links``).
     """
-    most = 1 - percent / 100
     both = written(summaries(docs, k), "near-summaries")
     level = frequency_classes(both)
-    rows = both.filter("chunk is null").select("doc_id", "n", "f1", "f2")
-    marked = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n")).alias("s")).select("doc_id", "s.*")
-    classes = written(marked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = prefixes(docs, level, k, percent, buckets).groupBy("bucket").applyInArrow(_met, "token long, f1 long, f2 long, matches long")
-    posted = met.join(classes.select("f1", "f2", "cid", "copies"), ["f1", "f2"]).select("token", "cid", "copies", "matches")
-    posted = written(posted, "near-met")
+    rows = both.filter("chunk is null").select("doc_id", "n", "cid")
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
+    met = prefixes(docs, level, k, percent).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared_tokens, "token long, cid long, matches byte, size int")
+    met = written(met, "near-met")
     # a class goes on if it has as many met tokens as the least that it and any that it meets ask for
-    least = posted.groupBy("token").agg(F.min("matches").alias("least"))
-    able = posted.join(least, "token").groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("least")).filter("n >= least").select("cid")
-    posted = written(posted.join(able, "cid", "left_semi"), "near-postings")
-    ids = posted.select("cid").distinct()
-    n_ids = ids.count()
-    needed = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, docs["doc_id"] == ids["cid"], "left_semi")
-    sets = _sets(needed, k).join(classes.select(F.col("cid").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(sets.select("doc_id", "tokens"), "near-sets")
-
-    found: list[DataFrame] = []
-    groups = None
-    for turn in range(STAR_ROUNDS):
-        rows_ = _of(posted, groups)
-        pick = F.struct(F.when(F.lit(turn == 0), F.col("copies")).otherwise(F.xxhash64("cid", F.lit(turn))).alias("x"), (-F.col("cid")).alias("y"), "cid", "grp", "matches")
-        centre = rows_.groupBy("token").agg(F.max(pick).alias("p")).select("token", F.col("p.cid").alias("b"), F.col("p.grp").alias("gb"), F.col("p.matches").alias("mb"))
-        tried = rows_.join(centre, "token").filter("cid <> b and grp <> gb").groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"), F.first("matches").alias("ma"), F.first("mb").alias("mb")).filter("n >= least(ma, mb)")
-        pairs = tried.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("s")).select("a", (-F.col("s.m")).alias("b"))
-        new = written(_verified(pairs, sets).filter(F.col("shared") * 100 >= F.col("either") * percent), "near-star")
-        found.append(new)
-        edges = found[0]
-        for e in found[1:]:
-            edges = edges.unionByName(e)
-        groups = components(edges.select("a", "b"))
-        if turn and not new.take(1):
-            break
-
-    # groups, their centres and radii
-    members = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-    known = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "either")).dropDuplicates(["a", "b"]).join(members, ["a", "b"], "left_semi")
-    known = written(known, "near-known")
-    rest = _verified(members.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    away = known.unionByName(rest).select(F.col("a").alias("cid"), F.col("b").alias("grp"), (1 - F.col("shared") / F.col("either")).alias("away"))
-    away = written(away, "near-away")
-    radius = away.groupBy("grp").agg(F.max("away").alias("radius"))
-    rows_ = _of(posted, groups)
-    least = rows_.groupBy("grp").agg(F.min("matches").alias("matches"))
-    stand = written(rows_.select("token", "grp").distinct().join(least, "grp"), "near-stand")
-    spread = stand.groupBy("token").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("token")
-    stand = stand.join(spread, "token")
-    one, two = stand.select("token", F.col("grp").alias("a"), F.col("matches").alias("ma")), stand.select("token", F.col("grp").alias("b"), F.col("matches").alias("mb"))
-    near = one.join(two, "token").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).filter("n >= least(ma, mb)")
-    centres = _verified(near, sets).withColumn("dist", 1 - F.col("shared") / F.col("either"))
-    centres = centres.join(radius.select(F.col("grp").alias("a"), F.col("radius").alias("ra")), "a", "left").join(radius.select(F.col("grp").alias("b"), F.col("radius").alias("rb")), "b", "left").na.fill(0.0, ["ra", "rb"])
-    centres = written(centres.filter(F.col("dist") <= F.col("ra") + F.col("rb") + most + 1e-9), "near-centres")
-    linked = centres.filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
-    open_ = centres.filter((F.col("shared") * 100 < F.col("either") * percent) & (F.col("ra") + F.col("rb") > 0)).select(F.col("a").alias("ga"), F.col("b").alias("gb"), "dist")
-    if open_.take(1):
-        own = rows_.join(away.select("cid", "away"), "cid", "left").na.fill(0.0, ["away"])
-        one = own.select("token", F.col("cid").alias("a"), F.col("grp").alias("ga"), F.col("matches").alias("ma"), F.col("away").alias("wa")).join(open_, "ga")
-        two = own.select("token", F.col("cid").alias("b"), F.col("grp").alias("gb"), F.col("matches").alias("mb"), F.col("away").alias("wb"))
-        inner = one.join(two, ["token", "gb"]).filter(F.col("wa") + F.col("wb") + most + 1e-9 >= F.col("dist"))
-        inner = inner.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("ma").alias("ma"), F.first("mb").alias("mb")).filter("n >= least(ma, mb)")
-        linked = linked.unionByName(_verified(inner, sets).filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b"))
-    final = components(edges.select("a", "b").unionByName(linked))
-    return _members(rows, marked, classes), final.select(F.col("node").alias("cid"), "component")
-
-
-def _members(rows: DataFrame, marked: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, n, cid): the class of every document; null for those without a set or doc_id."""
-    of = marked.join(classes.select("f1", "f2", "n", "cid"), ["f1", "f2", "n"]).select("doc_id", "cid")
-    return rows.select("doc_id", "n").join(of, "doc_id", "left")
+    least = met.groupBy("token").agg(F.min("matches").alias("least"))
+    able = met.join(least, "token").groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("least"), F.first("size").alias("size")).filter("n >= least").select("cid", (F.col("n") / F.col("size")).alias("share"))
+    posted = written(met.select("token", "cid", "matches").join(able, "cid"), "near-postings")
+    discarded(met)
+    of = written(_clusters(posted), "near-clusters")
+    of = of.join(of.groupBy("c").agg(F.count(F.lit(1)).alias("members")), "c")
+    spread = posted.select("token", "cid", "matches").join(of, "cid")
+    of_token = spread.groupBy("token", F.col("c").alias("d")).agg(F.min("matches").alias("least"), F.first("members").alias("size"))
+    several = of_token.groupBy("token").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("token")
+    met = spread.join(of_token.join(several, "token"), "token").filter("struct(size, d) > struct(members, c)")
+    guests = met.groupBy("cid", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need")).filter("n >= need").select(F.col("cid").alias("x"), F.col("d").alias("c"))
+    owners = of.filter("cid <> c").select(F.col("cid").alias("x"), "c")
+    pairs = written(owners.withColumn("own", F.lit(True)).unionByName(guests.withColumn("own", F.lit(False))), "near-pairs")
+    discarded(posted)
+    ids = pairs.select(F.explode(F.array("x", "c")).alias("cid")).distinct()
+    sets = written(_sets(docs, ids.join(classes, "cid"), k), "near-sets")
+    owned = written(_differences(pairs.filter("own").withColumn("most", F.lit(None).cast("long")), sets, percent), "near-owned")
+    # no guest farther than this can link with an owner; in a cluster of the centre alone, with the centre
+    reach = owned.groupBy("c").agg(F.max((100 + percent) * F.size("d") + (100 - percent) * F.col("n")).alias("most"))
+    invited = pairs.filter("not own").join(reach, "c", "left").na.fill(-1 << 62, ["most"])
+    guests = written(_differences(invited, sets, percent), "near-guests")
+    members = owned.unionByName(guests)
+    inner = written(_inner_links(members, percent), "near-inner")
+    edges = members.filter("linked").select(F.col("x").alias("a"), F.col("c").alias("b")).unionByName(inner)
+    found = components(edges)
+    discarded(sets, pairs, owned, guests, inner)
+    low = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = low.groupBy("component").agg(F.min("low").alias("component_id"))
+    return rows, low.join(least, "component").select("cid", "component_id")
 
 
 def near_copy_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -304,18 +325,19 @@ def near_copy_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Words are lower-cased (A to Z); a set is the distinct ``k``-word shingles; fewer words are one shingle; null, empty
     and blank texts have no shingles and link with nothing. Documents link where 100 |x & y| >= percent |x | y|;
     component_id is the smallest doc_id that links reach. A null doc_id is returned with a null component and links with
-    nothing; of rows that share a doc_id but not a text one stands for all. Long texts count as a whole. No rows give no
-    rows. Other columns are not looked at.
+    nothing; rows that share a doc_id count each with its own text. Long texts count as a whole. No rows give no rows.
+    Other columns are not looked at. Words and shingles are told apart by keyed 64-bit hashes.
     """
-    members, groups = links(docs, k, percent)
-    return members.join(groups, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+    rows, classes = links(docs, k, percent)
+    named = rows.join(classes, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with their columns, that have the smallest doc_id of their group; those that link with none stay.
 
-    Rows that share that doc_id all stay, and so do rows without a doc_id.
+    Rows that share that doc_id all stay, whatever their texts, and so do rows without a doc_id and those without words.
     """
-    groups = near_copy_groups(docs, k, percent).filter("doc_id is not null and doc_id <> component_id")
-    gone = written(groups.select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
+    groups = near_copy_groups(docs, k, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("component_id").alias("kept"))
+    gone = written(groups.filter("kept < gone_id").select("gone_id"), "near-gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
