@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, discarded, mix64, text_chunks, word_hashes, word_spans, written
@@ -28,8 +29,15 @@ from .graph import components
 SLOTS, CHUNKS = 1 << 20, 64
 #: Largest l; cost of verifying a candidate against that of a prefix token; candidates expected of a rare token.
 MOST_MATCHES, VERIFY_COST, CHANCE = 12, 100.0, 0.02
-#: Bands of the sizes of differences for each centre size.
-BANDS = 16
+#: Bands of the sizes of differences for each centre size; share of a class's prefix that its centre must hold.
+BANDS, OWNED = 16, 0.125
+#: Rows of ids or pairs of ids that are sent to every task at most; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast where its rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +85,8 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 cid, size, _ = _classes(doc, token, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(size), pa.array(cid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["doc_id", "n", "cid", "chunk", "counts"])
         if seen.any():
-            parts = [x.astype("<u4").tobytes() for x in np.split(seen, CHUNKS)]
+            squeeze = zstandard.ZstdCompressor(1)
+            parts = [squeeze.compress(x.astype("<u4").tobytes()) for x in np.split(seen, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["doc_id", "n", "cid", "chunk", "counts"])
 
@@ -88,9 +97,9 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     """One byte per slot of the sketch: eight steps for each doubling of the slot's count. A fixed 1 MB."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(SLOTS // CHUNKS, np.int64)
+        total, open_ = np.zeros(SLOTS // CHUNKS, np.int64), zstandard.ZstdDecompressor()
         for c in group.column("counts"):
-            total += np.frombuffer(c.as_buffer(), "<u4")
+            total += np.frombuffer(open_.decompress(c.as_py()), "<u4")
         level = np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8)
         return pa.table({"chunk": group.column("chunk").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
@@ -167,7 +176,7 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (cid, tokens) of the classes (cid, low) wanted: the set of the document ``low``, in order, as bytes."""
+    """Rows (cid, tokens) of the classes (cid, doc_id) wanted: the set of that document, in order, as bytes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +188,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = [token[a:b].tobytes() for a, b in zip(begin[own].tolist(), (begin + n)[own].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
-    return docs.select("doc_id", "text").join(wanted.select("cid", F.col("low").alias("doc_id")), "doc_id").select("cid", "text").mapInArrow(apply, "cid long, tokens binary")
+    return docs.select("doc_id", "text").join(_sent(wanted), "doc_id").select("cid", "text").mapInArrow(apply, "cid long, tokens binary")
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,10 +222,14 @@ def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(d) for d in parts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([n for n, _ in sizes], pa.int64()), pa.array([n for _, n in sizes], pa.int64()), pa.array(linked), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], ["c", "x", "own", "n", "centre", "linked", "d"])
 
-    left = sets.withColumnsRenamed({"cid": "x", "tokens": "p"}).join(pairs, "x")
-    right = sets.join(pairs.select(F.col("c").alias("cid")).distinct(), "cid").select(F.col("cid").alias("c"), F.col("tokens").alias("q"))
+    pairs = written(pairs.select("x", "c", "own", "most"), "near-tried")
+    centres = written(pairs.select(F.col("c").alias("cid")).distinct(), "near-centres")
+    left = sets.withColumnsRenamed({"cid": "x", "tokens": "p"}).join(_sent(pairs), "x")
+    right = sets.join(_sent(centres), "cid").select(F.col("cid").alias("c"), F.col("tokens").alias("q"))
     rows = left.join(right, "c").select("c", "x", "own", "most", "p", "q")
-    return rows.mapInArrow(apply, "c long, x long, own boolean, n long, centre long, linked boolean, d array<long>").dropDuplicates(["c", "x"])
+    out = written(rows.mapInArrow(apply, "c long, x long, own boolean, n long, centre long, linked boolean, d array<long>"), "near-differences")
+    discarded(pairs, centres)
+    return out
 
 
 def _clusters(posted: DataFrame) -> DataFrame:
@@ -224,18 +237,20 @@ def _clusters(posted: DataFrame) -> DataFrame:
 
     A token speaks for one of its classes: first for that with the largest share of its prefix met elsewhere, which has
     the fewest words of its own; then for the most chosen. A class takes the centre that most of its tokens speak for,
-    if it is a candidate of its.
+    if that many are enough for a candidate and for a fair share of the class's prefix.
     """
 
-    def choice(rows: DataFrame, rank: F.Column) -> DataFrame:
-        centre = rows.groupBy("token").agg(F.max(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "share", "cid", "matches"))).alias("s")).filter("s is not null").select("token", F.col("s.cid").alias("c"), F.col("s.matches").alias("least"))
-        votes = rows.select("token", "cid", "matches").join(centre, "token").groupBy("cid", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need"))
-        return votes.filter("n >= need or cid = c").groupBy("cid").agg(F.max(F.struct("n", "c")).alias("s")).select("cid", F.col("s.c").alias("c"))
+    def choice(rows: DataFrame, rank: list[str], fair: F.Column) -> DataFrame:
+        best = Window.partitionBy("token").orderBy(*[F.desc(r) for r in rank], F.desc("cid"))
+        votes = rows.select("token", "cid", "matches", "size", F.first("cid").over(best).alias("c"), F.first("matches").over(best).alias("least"), F.first(rank[0]).over(best).alias("top")).filter("top is not null")
+        votes = votes.repartition("cid").groupBy("cid", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need"), F.first("size").alias("size"))
+        return votes.filter((F.col("cid") == F.col("c")) | (F.col("n") >= F.greatest("need", fair))).groupBy("cid").agg(F.max(F.struct("n", "c")).alias("s")).select("cid", F.col("s.c").alias("c"))
 
-    first = choice(posted, F.col("share"))
-    chosen = first.groupBy(F.col("c").alias("cid")).agg(F.count(F.lit(1)).alias("chosen"))
-    second = choice(posted.join(chosen, "cid", "left"), F.col("chosen"))
-    return posted.select("cid").distinct().join(second, "cid", "left").select("cid", F.coalesce("c", "cid").alias("c"))
+    first = choice(posted, ["share"], F.lit(0))
+    chosen = written(first.groupBy(F.col("c").alias("cid")).agg(F.count(F.lit(1)).alias("chosen")), "near-chosen")
+    second = written(choice(posted.join(_sent(chosen), "cid", "left"), ["chosen", "share"], F.col("size") * OWNED).filter("cid <> c"), "near-owners")
+    discarded(chosen)
+    return second
 
 
 def _inner_links(members: DataFrame, percent: int) -> DataFrame:
@@ -245,13 +260,14 @@ def _inner_links(members: DataFrame, percent: int) -> DataFrame:
     more. Members are dealt into bands of s; for each pair of bands both have a prefix, rare tokens of the cluster first.
     """
     unit, slack = 100 + percent, 100 - percent
-    members = members.join(members.filter("not linked").select("c").distinct(), "c")
+    active = written(members.filter("not linked").select("c").distinct(), "near-active")
+    members = members.join(_sent(active), "c")
     members = members.withColumn("s", unit * F.size("d") - slack * F.col("n")).withColumn("width", F.greatest(F.lit(2 * unit), F.floor(unit * F.col("centre") / BANDS))).withColumn("band", F.floor(F.col("s") / F.col("width")))
-    bands = members.groupBy("c").agg(F.collect_set("band").alias("bands"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("outer_bands"))
+    bands = written(members.groupBy("c").agg(F.collect_set("band").alias("bands"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("outer_bands")), "near-bands")
     each = members.select("c", "x", F.explode("d").alias("token"))
     often = each.groupBy("c", "token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    met = each.join(often, ["c", "token"]).groupBy("c", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "token"))), lambda t: t["token"]).alias("met"))
-    rows = members.select("c", "x", "own", "linked", "s", "width", "band", F.size("d").alias("size")).join(met, ["c", "x"]).join(bands, "c")
+    met = each.join(often, ["c", "token"]).groupBy("c", "x").agg(F.transform(F.sort_array(F.collect_set(F.struct("f", "token"))), lambda t: t["token"]).alias("met"))
+    rows = members.select("c", "x", "own", "linked", "s", "width", "band", F.size("d").alias("size")).join(met, ["c", "x"]).join(_sent(bands), "c")
 
     def prefix(other: F.Column) -> F.Column:
         share = F.greatest(F.lit(1), F.ceil((F.col("s") + other * F.col("width")) / (2 * unit)))
@@ -276,7 +292,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
 
     1. Documents with equal sets form a class; only classes go on.
     2. A sketch of the frequencies of all tokens orders them; each class has an adaptive prefix.
-    3. Prefix tokens of several classes are kept, of classes that share enough of them with others.
+    3. Prefix tokens of several classes are kept.
     4. Classes are dealt into clusters. A class is also a guest where its prefix shares enough tokens with those of a
        cluster that is larger (or as large, with a larger centre).
     5. Each owner and guest is compared with the centre, and within a cluster by differences (``_inner_links``).
@@ -287,33 +303,35 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     met = prefixes(docs, level, k, percent).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared_tokens, "token long, cid long, matches byte, size int")
     met = written(met, "near-met")
-    # a class goes on if it has as many met tokens as the least that it and any that it meets ask for
-    least = met.groupBy("token").agg(F.min("matches").alias("least"))
-    able = met.join(least, "token").groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("least"), F.first("size").alias("size")).filter("n >= least").select("cid", (F.col("n") / F.col("size")).alias("share"))
-    posted = written(met.select("token", "cid", "matches").join(able, "cid"), "near-postings")
+    share = (F.count(F.lit(1)).over(Window.partitionBy("cid")) / F.col("size")).alias("share")
+    posted = written(met.select("token", "cid", "matches", "size", share), "near-postings")
     discarded(met)
-    of = written(_clusters(posted), "near-clusters")
-    of = of.join(of.groupBy("c").agg(F.count(F.lit(1)).alias("members")), "c")
-    spread = posted.select("token", "cid", "matches").join(of, "cid")
-    of_token = spread.groupBy("token", F.col("c").alias("d")).agg(F.min("matches").alias("least"), F.first("members").alias("size"))
-    several = of_token.groupBy("token").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("token")
-    met = spread.join(of_token.join(several, "token"), "token").filter("struct(size, d) > struct(members, c)")
-    guests = met.groupBy("cid", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need")).filter("n >= need").select(F.col("cid").alias("x"), F.col("d").alias("c"))
-    owners = of.filter("cid <> c").select(F.col("cid").alias("x"), "c")
-    pairs = written(owners.withColumn("own", F.lit(True)).unionByName(guests.withColumn("own", F.lit(False))), "near-pairs")
+    owners = _clusters(posted)
+    larger = written(owners.groupBy("c").agg(F.count(F.lit(1)).alias("members")), "near-clusters")
+    # a cluster has one member more than it has owners beside its centre, whose own cluster may be another
+    spread = posted.select("token", "cid", "matches").join(_sent(owners), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
+    spread = spread.join(_sent(larger), "c", "left").na.fill(0, ["members"])
+    of_token = Window.partitionBy("token")
+    spread = spread.withColumn("low", F.min("c").over(of_token)).withColumn("high", F.max("c").over(of_token)).filter("low <> high").drop("low", "high")
+    spread = written(spread, "near-spread")
     discarded(posted)
-    ids = pairs.select(F.explode(F.array("x", "c")).alias("cid")).distinct()
-    sets = written(_sets(docs, ids.join(classes, "cid"), k), "near-sets")
-    owned = written(_differences(pairs.filter("own").withColumn("most", F.lit(None).cast("long")), sets, percent), "near-owned")
+    others = spread.groupBy("token", F.col("c").alias("d")).agg(F.min("matches").alias("least"), F.first("members").alias("size"))
+    tried = spread.join(others, "token").filter("struct(size, d) > struct(members, c)").groupBy("cid", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("matches", "least")).alias("need"))
+    guests = tried.filter("n >= need").select(F.col("cid").alias("x"), F.col("d").alias("c"))
+    pairs = written(owners.select(F.col("cid").alias("x"), "c", F.lit(True).alias("own")).unionByName(guests.withColumn("own", F.lit(False))), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "c")).alias("cid")).distinct().join(classes, "cid")
+    wanted = written(wanted.select("cid", F.col("low").alias("doc_id")), "near-wanted")
+    discarded(spread, owners, larger)
+    sets = written(_sets(docs, wanted, k), "near-sets")
+    owned = _differences(pairs.filter("own").withColumn("most", F.lit(None).cast("long")), sets, percent)
     # no guest farther than this can link with an owner; in a cluster of the centre alone, with the centre
     reach = owned.groupBy("c").agg(F.max((100 + percent) * F.size("d") + (100 - percent) * F.col("n")).alias("most"))
-    invited = pairs.filter("not own").join(reach, "c", "left").na.fill(-1 << 62, ["most"])
-    guests = written(_differences(invited, sets, percent), "near-guests")
+    guests = _differences(pairs.filter("not own").join(reach, "c", "left").na.fill(-1 << 62, ["most"]), sets, percent)
     members = owned.unionByName(guests)
     inner = written(_inner_links(members, percent), "near-inner")
     edges = members.filter("linked").select(F.col("x").alias("a"), F.col("c").alias("b")).unionByName(inner)
     found = components(edges)
-    discarded(sets, pairs, owned, guests, inner)
+    discarded(wanted, sets, pairs, owned, guests, inner)
     low = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = low.groupBy("component").agg(F.min("low").alias("component_id"))
     return rows, low.join(least, "component").select("cid", "component_id")
