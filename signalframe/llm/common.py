@@ -129,7 +129,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
         return mix64((sums[ends] - sums[starts]) * shift[starts] + (ends - starts).astype(np.uint64))
 
 
-_LANE_KEYS = np.random.default_rng(20250117).integers(0, 1 << 63, 9, np.uint64)
+_LANE_KEYS = np.random.default_rng(20250117).integers(0, 1 << 63, 17, np.uint64)
 _LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -140,15 +140,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
     size = ends - starts
     with np.errstate(over="ignore"):
-        value = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _LANE_KEYS[8])
-        own = np.flatnonzero(size <= 64)
-        for lane in range(8):
+        value = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _LANE_KEYS[16])
+        own = np.flatnonzero(size <= 128)
+        for lane in range(16):
             own = own[size[own] > 8 * lane]
             if not len(own):
                 break
             taken = lanes[starts[own] + 8 * lane] & _LANE_MASK[np.minimum(size[own] - 8 * lane, 8)]
             value[own] = mix64((value[own] ^ taken) + _LANE_KEYS[lane])
-    for i in np.flatnonzero(size > 64).tolist():
+    for i in np.flatnonzero(size > 128).tolist():
         value[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=20250117)
     return value
 

@@ -154,7 +154,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns. Decided on each row's own text."""
+    """The documents that the classifier does not reject, with their columns. Decided on each row's own text.
+
+    A null text counts as empty; equal texts share their fate, so repeated rows stay or go together. Where the labels
+    don't hold both kinds, nothing can be learnt and every document stays. No rows give no rows.
+    """
     model = fit(docs, labels, **options)
     if model is None:
         return docs

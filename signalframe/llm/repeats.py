@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, BYTE_VALUE, mix64, powers, text_chunks, written
+from .common import BASE, BASE_INVERSE, BYTE_VALUE, discarded, mix64, powers, text_chunks, word_hashes, written
 
 #: Bytes of an anchor; bytes of text in a batch; the doc_id that stands for null, which comes after all others.
 SEED, BATCH, NO_ID = 16, 1 << 20, (1 << 63) - 1
@@ -41,11 +41,12 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def batches_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def batches_of(docs: DataFrame, keep: tuple[F.Column, ...] = ()) -> DataFrame:
     """Rows (batch, docs, text, rest): runs of documents of about 1 MB, each document whole; the text is compressed.
 
-    ``rest`` holds the columns ``keep`` in Arrow's format.
+    ``rest`` holds the columns ``keep`` in Arrow's format, named by their positions.
     """
+    names = [f"keep_{i}" for i in range(len(keep))]
 
     def apply(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(1)
@@ -59,7 +60,7 @@ def batches_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             nonlocal ids, sizes, data, others, held, number
             packed = _pack(np.concatenate(ids), np.concatenate(sizes))
             sink = pa.BufferOutputStream()
-            if keep:
+            if names:
                 with pa.ipc.new_stream(sink, others[0].schema) as stream:
                     for x in others:
                         stream.write_batch(x)
@@ -75,13 +76,13 @@ def batches_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 ids.append(batch.column(0).slice(i, j - i).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 sizes.append(np.diff(offsets))
                 data.append(raw.tobytes())
-                if keep:
-                    others.append(pa.RecordBatch.from_arrays(batch.columns[2:], list(keep)).slice(i, j - i))
+                if names:
+                    others.append(pa.RecordBatch.from_arrays(batch.columns[2:], names).slice(i, j - i))
                 held += len(raw)
         if ids:
             yield row()
 
-    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    rows = docs.select("doc_id", "text", *[c.alias(name) for c, name in zip(keep, names, strict=True)])
     return rows.mapInArrow(apply, "batch long, docs binary, text binary, rest binary")
 
 
@@ -124,9 +125,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     first, last = turn[own], end[own] - 1
     place = key[first]
     with np.errstate(over="ignore"):
-        stop = last + length
-        segment = (sums[stop] - sums[first]) * shift[first]
-        segment = mix64(segment + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (stop - first).astype(np.uint64))
+        segment = word_hashes(data, first, last + length)
+        segment = mix64(segment + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return first, last, place, value[place], segment
 
 
@@ -330,16 +330,25 @@ def _covering(length: int):
     return compare
 
 
-def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (batch, docs, text, rest, covers): batches of documents and the byte ranges in them that earlier documents hold."""
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Batches of about 1 MB of text for each bucket of anchors, which one task holds at a time.
+BUCKET_BATCHES = 4
+
+
+def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = None, keep: tuple[F.Column, ...] = ()) -> DataFrame:
+    """Rows (batch, docs, text, rest, covers): batches of documents and the byte ranges in them that earlier documents hold.
+
+    There are as many buckets as the text needs, so that a bucket's size doesn't grow with it.
+    """
     batches = written(batches_of(docs, keep), "repeat-batches")
+    buckets = buckets or max(1, -(-batches.count() // BUCKET_BATCHES))
     bits = _dealt(batches, length, buckets).groupBy("bucket").applyInArrow(_settle, "batch long, bucket long, bits binary").filter("bits is not null")
-    bits = written(bits, "repeat-bits").groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    found = written(_compared(batches.join(bits, "batch", "left").select("batch", "docs", "text", "answers"), length, buckets), "repeat-segments")
+    bits = written(bits, "repeat-bits")
+    answers = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    found = written(_compared(batches.join(answers, "batch", "left").select("batch", "docs", "text", "answers"), length, buckets), "repeat-segments")
+    discarded(bits)
     parts = found.filter("segments is not null").groupBy("bucket").applyInArrow(_covering(length), "batch long, cover binary")
     covers = written(found.filter("cover is not null").select("batch", "cover").unionByName(parts), "repeat-covers")
+    discarded(found)
     covers = covers.groupBy("batch").agg(F.collect_list("cover").alias("covers"))
     return batches.join(covers, "batch", "left").select("batch", "docs", "text", "rest", "covers")
 
@@ -381,7 +390,9 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The documents with their columns, each text without what earlier documents hold; n_chars, where there, follows.
 
-    What a cut leaves of a character whose bytes are partly gone goes too. Texts of which nothing is left stay, empty.
+    What a cut leaves of a character whose bytes are partly gone goes too. Texts of which nothing is left stay, empty;
+    a null text stays null, with n_chars 0. Rows with equal doc_ids don't cover each other; a null doc_id comes after all
+    others. Columns of any other name stay as they are. No rows give no rows.
     """
     names = docs.columns
 
@@ -389,15 +400,16 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         for batch in arrow:
             for docs_, text, rest, covers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 table = pa.ipc.open_stream(rest).read_all()
+                columns = dict(zip(names, table.columns, strict=True))
                 texts = [kept.tobytes().decode("utf-8", "ignore") for *_, kept in _kept(docs_, text, covers)]
-                columns = dict(zip(names, table.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
+                texts = [None if null else t for t, null in zip(texts, columns["text"].is_null().to_pylist(), strict=True)]
+                columns["text"] = pa.array(texts, pa.string())
                 if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+                    columns["n_chars"] = pa.array([len(t or "") for t in texts], pa.int64())
                 yield from pa.table(columns).combine_chunks().to_batches()
 
-    # the texts themselves stand in the batches; the place of the column is kept by a null
-    shape = docs.withColumn("text_", F.lit(None).cast("string"))
-    keep = tuple("text_" if c == "text" else c for c in names)
-    rows = covered_batches(shape, length, keep=keep).select("docs", "text", "rest", "covers")
+    # the texts themselves stand in the batches; the column keeps its place, and its nulls
+    keep = tuple(F.when(F.col("text").isNotNull(), F.lit("")) if c == "text" else F.col(f"`{c}`") for c in names)
+    rows = covered_batches(docs, length, keep=keep).select("docs", "text", "rest", "covers")
     schema = docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in names else docs.schema
     return rows.mapInArrow(apply, schema)

@@ -85,3 +85,47 @@ def test_run_equals_its_stages(spark, stages):
     got = cp.run(spark, SF)
     assert got.count() == len(stages[4][1])
     assert got.agg(F.sum("length")).first()[0] == stages[4][1].length.sum()
+
+
+@pytest.fixture(scope="module")
+def odd_stages(spark, odd_documents):
+    """What every stage makes of nulls, empty and long texts, repeated rows, no doc_id and clashing names."""
+    docs = odd_documents.withColumn("text_", F.lit("mine")).withColumn("tokens", F.lit(7)).withColumn("cid", F.lit("c"))
+    return docs.toPandas(), {name: f(spark, docs, SF) for name, f in cp.STAGES}, docs.columns
+
+
+def test_stages_keep_odd_columns(odd_stages):
+    _, out, columns = odd_stages
+    for name, df in list(out.items())[:-1]:
+        assert df.columns == columns, name
+        assert {r["text_"] for r in df.select("text_").distinct().collect()} <= {"mine"}
+        assert df.count() > 0
+
+
+def test_repeats_keep_nulls_and_rows(odd_stages):
+    was, out, _ = odd_stages
+    now = out["suffix-array dedup"].toPandas()
+    assert len(now) == len(was) and now.text.isna().sum() == was.text.isna().sum()
+    assert now.doc_id.isna().sum() == 1
+
+
+def test_near_copies_keep_what_has_no_partner(odd_stages):
+    was, out, _ = odd_stages
+    now = out["n-gram Jaccard join"].toPandas()
+    assert now.text.isna().sum() == was.text.isna().sum()
+    assert (now.doc_id == 3).sum() == (was.doc_id == 3).sum()
+    assert sorted(now.doc_id[now.text == "The cat sat."]) == [5]
+
+
+def test_mix_and_packing_take_every_row(odd_stages):
+    was, out, _ = odd_stages
+    assert out["mixing sources to target weights"].filter("text is not null").count() > 0
+    packed = out["packing"].toPandas()
+    assert set(packed.doc_id.dropna()) == set(was.doc_id.dropna())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_no_rows_give_no_rows(spark, k):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    name, f = cp.STAGES[k]
+    assert f(spark, docs, SF).count() == 0, name
