@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Texts may be long: have Spark hand Python about 4 MB at a time, not 64. A setting of the caller's own stays."""
+    if spark.conf.get(_BATCH_BYTES) in ("67108864b", "64MB", None):
+        spark.conf.set(_BATCH_BYTES, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -90,7 +90,9 @@ class Attention:
         rng = np.random.default_rng(seed)
         make = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         p = {"W": make(x.shape[1], hidden), "b": np.zeros(hidden, np.float32), "V": make(hidden, gate), "U": make(hidden, gate), "w": make(gate), "c": make(hidden), "d": np.zeros(1, np.float32)}
-        own = cls(x.mean(0), x.std(0) + 0.02, p)
+        mean = x.mean(0)
+        spread = np.sqrt(sum(((part - mean) ** 2).sum(0) for part in np.array_split(x, max(1, len(x) // 4096))) / len(x))
+        own = cls(mean, spread + 0.02, p)
         first = np.cumsum(n) - n
         m, v, step = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}, 0
         for epoch in range(epochs):
@@ -121,7 +123,7 @@ class Attention:
         return own
 
 
-def fit(docs: DataFrame, labels: DataFrame, good: int = 3000, bad: int = 1500, most_chars: int = 30_000) -> Attention | None:
+def fit(docs: DataFrame, labels: DataFrame, good: int = 2000, bad: int = 1200, most_chars: int = 12_000) -> Attention | None:
     """Learn from a bounded sample; None where one of the classes has no labelled rows."""
     texts = sample(docs, labels, "quality", {0: bad, 1: good}, most_chars)
     if not texts[0] or not texts[1]:
