@@ -45,12 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -57,6 +57,8 @@ class Page:
         self.wrappers: list[tuple[int, int]] = []  # those of closed that may be wrappers
         self.mains: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
         self.stack = [_Node("", "", False, "", 0, False, False, False)]
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag, and of all elements that aren't inline
+        self.blocks = [0]
         at, find = 0, _TOKEN.search
         while m := find(source, at):
             if m.start() > at:
@@ -136,33 +138,35 @@ class Page:
             mark = f"{mark} {href}" if href else mark
         if in_article or name == "article":  # what it encloses isn't the page
             drop, wrapper = drop or wrapper, False
+        self.open.setdefault(name, []).append(len(stack))
+        if name not in _INLINE:
+            self.blocks.append(len(stack))
         stack.append(_Node(name, mark, drop, role, len(self.out), inside or name in ("article", "main") or role == "main", in_article or name == "article", wrapper and not drop))
 
+    def _last(self, names: set) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
     def _close(self, names: set, stop: set) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in names:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag in stop:
-                return
+        at = self._last(names)
+        if at > self._last(stop):
+            while len(self.stack) > at:
+                self._pop()
 
     def _end(self, name: str) -> None:
-        stack = self.stack
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == name:
-                while len(stack) > i:
-                    self._pop()
-                break
-            if name in _INLINE and stack[i].tag not in _INLINE:
-                break
+        at = self._last({name})
+        if at and (name not in _INLINE or at > self.blocks[-1]):
+            while len(self.stack) > at:
+                self._pop()
         if name not in _INLINE:
             self.out.append(" ")
 
     def _pop(self) -> None:
         node = self.stack.pop()
         end, tag = len(self.out), node.tag
+        if self.stack:
+            self.open[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
         value = 0
         if self.hashes and node.content:
             value = xxhash.xxh3_64_intdigest("\x1f".join([tag, node.mark, *node.content]))
@@ -207,8 +211,9 @@ class Page:
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         spans, keep, gone = self._body()
         if templates:
+            marked = bool(self.mains["article"] or self.mains["main"])
             for a, b, v, _ in self.closed:
-                if v and v & ~1 | self._in(spans, a, b) in templates:
+                if v and (v & ~1 | self._in(spans, a, b) in templates or (not marked and v & ~1 in templates)):
                     gone[a:b] = b"\1" * (b - a)
         return self._joined(keep, gone)
 
@@ -221,11 +226,12 @@ def _host(url: str) -> F.Column:
 BROADCAST_HASHES = 500_000
 
 
-def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5, around_pages: int = 3, around_share: float = 0.05) -> DataFrame:
     """Rows (host, templates): the subtrees that stand on ``min_pages`` pages and ``min_share`` of the pages of a host.
 
-    Pages with the same body count once for the subtrees in it, among the host's different bodies: copies of an article
-    don't make a template of its text. As each takes its share, a host has at most 1 / min_share times the subtrees of
+    Around the body ``around_pages`` and ``around_share`` are enough, as a menu's entries change from section to section
+    and nothing of an article stands there; what is a template so goes from pages without a marked body, too. Pages with the same body count once for the subtrees in it, among the host's different bodies: copies of an article
+    don't make a template of its text. As each takes its share, a host has at most 1 / around_share times the subtrees of
     its average page. Counts are summed before they are shuffled, so a host with a third of all pages is no hot key.
     """
 
@@ -244,21 +250,23 @@ def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5)
     odd = F.col("hash").bitwiseAND(1)
     once = rows.groupBy("host", "hash", "body").agg(F.count(F.lit(1)).alias("n"))
     counts = once.groupBy("host", "hash").agg(F.sum(F.when(odd == 1, F.lit(1)).otherwise(F.col("n"))).alias("n"))
-    counts = written(counts.filter((F.col("n") >= min_pages) | F.col("hash").isin(0, 1)), "html-counts").withColumn("kind", odd)
+    least, share = F.when(odd == 1, F.lit(min_pages)).otherwise(F.lit(around_pages)), F.when(odd == 1, F.lit(min_share)).otherwise(F.lit(around_share))
+    counts = written(counts.filter((F.col("n") >= least) | F.col("hash").isin(0, 1)), "html-counts").withColumn("kind", odd)
     own = counts.filter("hash in (0, 1)").select("host", "kind", F.col("n").alias("pages"))
-    return counts.filter(~F.col("hash").isin(0, 1) & (F.col("n") >= min_pages)).join(own, ["host", "kind"]).filter(F.col("n") >= F.col("pages") * min_share).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    return counts.filter(~F.col("hash").isin(0, 1) & (F.col("n") >= least)).join(own, ["host", "kind"]).filter(F.col("n") >= F.col("pages") * share).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
-def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5, around_pages: int = 3, around_share: float = 0.05) -> DataFrame:
     """Rows (page_id, url, text, n_chars).
 
     The first pass hashes each element's subtree and counts on how many pages of its host it stands, in the body on how
     many different bodies; the second deletes the subtrees that recur and those marked as furniture by tag, role or class, and takes the article, or else main, or
     else all that is left. Character references are decoded; blocks are joined by one space; nothing is cut off.
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; no rows give no rows.
+    Null or empty html gives an empty text; a null url is a host of its own; repeated rows stay; very long pages count in
+    full; other columns, of whatever names, are not looked at; no rows give no rows.
     """
     rows = pages.select("page_id", "url", _host("url").alias("host"), "html")
-    templates = written(host_templates(pages, min_pages, min_share), "html-templates")
+    templates = written(host_templates(pages, min_pages, min_share, around_pages, around_share), "html-templates")
     total = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("n")).first()["n"]
     rows = rows.join(F.broadcast(templates) if total <= BROADCAST_HASHES else templates, "host", "left")
 

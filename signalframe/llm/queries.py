@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cover_tree, mixing
-from .common import table
+from .common import table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,7 +62,8 @@ def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return decode_media(encode_media(table(spark, sf_dir, "documents"))).mapInArrow(digest, schema)
+    stored = written(encode_media(table(spark, sf_dir, "documents")), "flac-media", compression="zstd")
+    return decode_media(stored).mapInArrow(digest, schema)
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

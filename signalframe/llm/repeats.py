@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import BASE, BASE_INVERSE, BYTE_VALUE, discarded, mix64, powers, text_chunks, word_hashes, written
 
 #: Bytes of an anchor; bytes of text in a batch; the doc_id that stands for null, which comes after all others.
-SEED, BATCH, NO_ID = 16, 1 << 20, (1 << 63) - 1
+SEED, BATCH, NO_ID = 16, 1 << 19, (1 << 63) - 1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -42,7 +42,7 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def batches_of(docs: DataFrame, keep: tuple[F.Column, ...] = ()) -> DataFrame:
-    """Rows (batch, docs, text, rest): runs of documents of about 1 MB, each document whole; the text is compressed.
+    """Rows (batch, docs, text, rest): runs of documents of about half a MB, each document whole; the text is compressed.
 
     ``rest`` holds the columns ``keep`` in Arrow's format, named by their positions.
     """
@@ -330,8 +330,8 @@ def _covering(length: int):
     return compare
 
 
-#: Batches of about 1 MB of text for each bucket of anchors, which one task holds at a time.
-BUCKET_BATCHES = 4
+#: Batches of about half a MB of text for each bucket of anchors, which one task holds at a time.
+BUCKET_BATCHES = 6
 
 
 def covered_batches(docs: DataFrame, length: int = 50, buckets: int | None = None, keep: tuple[F.Column, ...] = ()) -> DataFrame:

@@ -1,6 +1,9 @@
+import hashlib
 import os
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -16,13 +19,16 @@ from conftest import ODD_TEXTS
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("module, label, least", [(quality, "quality", 0.97), (toxicity, "toxic", 0.9)])
-def test_held_out_accuracy(spark, module, label, least):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+@pytest.mark.parametrize("module, label, least, recall", [(quality, "quality", 0.97, 0.95), (toxicity, "toxic", 0.9, 0.65)])
+def test_held_out_accuracy(spark, module, label, least, recall):
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = module.score(docs, labels).join(labels, "doc_id").toPandas()
     assert (rows.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in rows.doc_id]).all()
     held = rows[rows.held_out]
     assert (held.predicted == held[label]).mean() >= least
+    found, rare = held[held.predicted == (label == "toxic")], held[held[label] == (label == "toxic")]
+    assert (found[label] == (label == "toxic")).mean() >= 0.85 and len(found.merge(rare)) >= recall * len(rare)
     assert rows.score.between(0, 1).all()
 
 
@@ -63,6 +69,19 @@ def test_flac_round_trips_and_seeks():
     assert len(streams[3]) < 0.7 * len(spans[3]) and len(streams[2]) < 300
 
 
+def test_media_query_equals_its_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op5_flac_media(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        stream = flac.encode(np.frombuffer(padded, np.uint8), np.array([0, len(padded)]))[0]
+        assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+
+
 def test_flac_refuses_damage():
     data = np.arange(4096, dtype=np.int64).astype(np.uint8)
     raw = flac.encode(data, np.array([0, 4096]))[0]
@@ -123,6 +142,60 @@ def test_copies_of_an_article_stay(spark):
     assert got == want | {30 + i: "T Same text" for i in range(5)}
 
 
+def test_what_recurs_around_articles_goes_from_pages_without_one(spark):
+    """An unmarked menu stands beside some articles of a host; bare pages of the host lose it by the counts alone."""
+    menu = "<table><tr><td>Home</td></tr><tr><td>Archive {k}</td></tr></table>"
+    rows = [(i, "http://h.example/", f"<body>{menu.format(k=i % 2)}<article><p>Article {i}</p></article></body>") for i in range(20)]
+    rows += [(100 + i, "http://h.example/", f"<body>{menu.format(k=i % 2)}<p>Bare {i}</p>{'<p>Home</p>' if i == 3 else ''}</body>") for i in range(20)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Article {i}" for i in range(20)} | {100 + i: f"Bare {i} Home" if i == 3 else f"Bare {i}" for i in range(20)}
+
+
+def test_repeated_pages_long_pages_and_other_columns(spark):
+    long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    rows = [(1, "http://h/", "<p>a</p>", "h", 1), (1, "http://h/", "<p>a</p>", "h", 1), (2, "http://h/", long, None, 2)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, templates int"))
+    assert sorted((r.page_id, r.n_chars) for r in got.collect()) == [(1, 1), (1, 1), (2, 5 * 50_000 - 1)]
+
+
+@pytest.mark.parametrize("bad", ["<b>x</q>", "<b>x<div>y</q>", "<p><b>x", "<li><i>x", "<b>x</p>"])
+def test_unmatched_tags_take_linear_time(bad):
+    began = time.process_time()
+    Page(bad * 20_000, hashes=False).text()
+    assert time.process_time() - began < 5
+
+
+class _Article(HTMLParser):
+    """The text in an article by another parser: a piece of white space at each tag but b."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.out = 0, 0, []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style")
+        self.out.append("" if tag == "b" else " ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style")
+        self.out.append("" if tag == "b" else " ")
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.out.append(data)
+
+
+def test_query_equals_another_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in queries.op9_main_text(spark, sf).collect():
+        assert r.text == " ".join("".join(_Article(pages[r.page_id]).out).split()) and r.n_chars == len(r.text)
+
+
 def test_article_texts_equal_their_documents(spark):
     docs = {" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in html.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect():
