@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +68,16 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def released() -> None:
+    """Give back what an encoder keeps in this worker: workers serve one operator after another. Others call it."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None and tokens.ids_of.cache_info().currsize:
+        tokens.ids_of.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # the C library's own, where it has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about ``most`` bytes, without copying.
 

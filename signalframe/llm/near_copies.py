@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discarded, mix64, text_chunks, word_hashes, word_spans, written
+from .common import LOWER, discarded, mix64, released, text_chunks, word_hashes, word_spans, written
 from .graph import components
 
 #: Counters of the token-frequency sketch (a fixed size; it orders tokens, and any order gives right results), and chunks.
@@ -42,6 +42,7 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct k-word shingles, ordered by both; fewer words are one shingle as a whole."""
+    released()
     starts, ends, words = word_spans(data, offsets)
     value = word_hashes(LOWER[data], starts, ends)
     doc = np.repeat(np.arange(len(words)), words)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, span_hashes, text_chunks, word_spans
+from .common import BYTE_VALUE, released, span_hashes, text_chunks, word_spans
 from .labelled import held_out, sample
 
 #: Words of a passage.
@@ -24,6 +24,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A document is cut after every 32 words; one without words is one passage of whatever bytes it has.
     """
+    released()
     starts, ends, words = word_spans(data, offsets)
     n = np.maximum(1, (words + PASSAGE - 1) // PASSAGE)
     first = np.cumsum(n) - n

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, BYTE_VALUE, discarded, mix64, powers, text_chunks, word_hashes, written
+from .common import BASE, BASE_INVERSE, BYTE_VALUE, discarded, mix64, powers, released, text_chunks, word_hashes, written
 
 #: Bytes of an anchor; bytes of text in a batch; the doc_id that stands for null, which comes after all others.
 SEED, BATCH, NO_ID = 16, 1 << 19, (1 << 63) - 1
@@ -87,6 +87,7 @@ def batches_of(docs: DataFrame, keep: tuple[F.Column, ...] = ()) -> DataFrame:
 
 
 def _read(docs: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    released()
     ids, sizes = _unpack(docs, "<i8", "<i8")
     return ids, np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(zstandard.ZstdDecompressor().decompress(text, max_output_size=int(sizes.sum()) or 1) if len(text) else b"", np.uint8)
 

@@ -120,3 +120,13 @@ def test_mixed_documents_repeat_and_cut(spark):
     words = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()}
     assert words == {k: v for k, v in taken.items() if v}
     assert all(r.n_chars == len(r.text) for r in rows.collect())
+
+
+def test_other_operators_give_back_an_encoders_memory():
+    from signalframe.llm import tokens
+    from signalframe.llm.quality import passages
+
+    tokens.ids_of(queries.tokenizer_path("word_bpe_49k.json")).ids(["some words"])
+    assert tokens.ids_of.cache_info().currsize
+    assert passages(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))[1].tolist() == [1]
+    assert not tokens.ids_of.cache_info().currsize
