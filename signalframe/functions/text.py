@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no content (fixed list of this library; four letters or more, as shorter ones aren't terms).
-STOP = ["this", "that", "with", "from", "have", "will", "your", "they", "them", "then", "than", "when", "what", "which", "into", "each", "some"]
+# Words that carry no content.
+STOP = [
+    "the", "a", "an", "and", "or", "but", "if", "then", "of", "to", "in", "is", "are", "was",
+    "it", "this", "that", "you", "your", "for", "on", "as", "with", "be", "can", "not", "at",
+    "by", "from", "so", "we", "they", "have", "has", "will", "would", "when", "what", "which",
+]
 URGENCIES = ("low", "medium", "high")
 
 

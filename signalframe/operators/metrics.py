@@ -12,12 +12,16 @@ def predicted(rows: DataFrame, p: str = "y_prob") -> DataFrame:
 
 
 def collapsed(rows: DataFrame, members: list[list[int]]) -> DataFrame:
-    """Classes brought together: probabilities are summed, then the first largest is taken anew."""
+    """Classes brought together: probabilities are summed, then the first largest is taken anew.
+
+    A row whose class stands in no group fails the job.
+    """
     flat = [c for m in members for c in m]
     if len(set(flat)) != len(flat):
         raise ValueError("a class stands in two groups")
     total = F.array(*[sum((F.col("y_prob")[c] for c in m[1:]), F.col("y_prob")[m[0]]) for m in members])
     of = F.coalesce(*[F.when(F.col("y_true").isin(m), k) for k, m in enumerate(members)])
+    of = F.when(of.isNull() & F.col("y_true").isNotNull(), F.raise_error(F.concat(F.lit("no group holds class "), F.col("y_true"))).cast("int")).otherwise(of)
     out = rows.withColumn("y_prob", total).withColumn("y_true", of)
     return predicted(out)
 
@@ -76,13 +80,47 @@ def average_precision(rows: DataFrame, keys: list[str], y: str = "y", p: str = "
 
 def reliability(rows: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """(bin, n, mean_p, mean_y, gap) over equal bins; a score on an edge belongs to the bin above, 1 to the last."""
-    edges = [k / bins for k in range(1, bins)]
-    edges = [float(f"{k * (1.0 / bins)!r}") for k in range(1, bins)] if bins == 10 else edges
+    edges = [k * (1.0 / bins) for k in range(1, bins)]
     at = sum((F.when(F.col(p) >= e, 1).otherwise(0) for e in edges), F.lit(0))
     out = rows.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
     return out.withColumn("gap", F.abs(F.col("mean_p") - F.col("mean_y")))
 
 
+def auc_without_group(rows: DataFrame, group: str, y: str = "y", p: str = "p") -> DataFrame:
+    """(held, auc) over the rows of all other groups, for every group; null where one class is absent there.
+
+    Pairs of the others are all pairs less those with a positive of the group, less those with a negative of it, plus
+    those within it, which the first two have both. So each row is counted once, and not once for each group.
+    """
+    own = rows.groupBy(F.col(group).alias("held"), F.col(p).alias("score")).agg(F.sum((F.col(y) == 1).cast("double")).alias("pos"), F.sum((F.col(y) != 1).cast("double")).alias("neg"))
+    each = own.groupBy("score").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores
+    each = each.withColumn("neg_below", F.coalesce(F.sum("all_neg").over(up), F.lit(0.0))).withColumn("pos_below", F.coalesce(F.sum("all_pos").over(up), F.lit(0.0)))
+    total = each.agg(F.sum("all_pos").alias("n_pos"), F.sum("all_neg").alias("n_neg"), F.sum(F.col("all_pos") * (F.col("neg_below") + F.col("all_neg") / 2)).alias("pairs"))
+    inside = Window.partitionBy("held").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("own_below", F.coalesce(F.sum("neg").over(inside), F.lit(0.0))).join(each, "score").crossJoin(F.broadcast(total))
+    above = F.col("n_pos") - F.col("pos_below") - F.col("all_pos")
+    out = own.groupBy("held", "n_pos", "n_neg", "pairs").agg(
+        F.sum(F.col("pos") * (F.col("neg_below") + F.col("all_neg") / 2)).alias("by_pos"), F.sum(F.col("neg") * (above + F.col("all_pos") / 2)).alias("by_neg"),
+        F.sum(F.col("pos") * (F.col("own_below") + F.col("neg") / 2)).alias("within"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+    )
+    rest = (F.col("n_pos") - F.col("pos")) * (F.col("n_neg") - F.col("neg"))
+    return out.select("held", F.try_divide(F.col("pairs") - F.col("by_pos") - F.col("by_neg") + F.col("within"), rest).alias("auc"))
+
+
+def record_metrics(rows: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
+    """One row for a binary prediction record: n, positives, accuracy, the larger class's share, precision, recall, kappa."""
+    yes, true = F.col(p) >= threshold, F.col(y) == 1
+    n = F.count(F.lit(1))
+    tp, fp, fn = F.count_if(yes & true), F.count_if(yes & ~true), F.count_if(~yes & true)
+    agree = F.avg((yes == true).cast("double"))
+    chance = ((tp + fp) * (tp + fn) + (n - tp - fp) * (n - tp - fn)) / (n * n)
+    return rows.agg(
+        n.alias("n"), F.count_if(true).alias("positives"), agree.alias("accuracy"), (F.greatest(F.count_if(true), F.count_if(~true)) / n).alias("baseline"),
+        F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(agree - chance, 1 - chance).alias("kappa"),
+    )
+
+
 def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
     """q-values: the running minimum, from the largest p down, of p times the number of tests over its rank."""
     up = Window.orderBy(F.col(p), F.col(key))

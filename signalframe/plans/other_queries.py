@@ -159,9 +159,17 @@ def u02(spark, d):
     return views.table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(views.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
-@query("u04_set_difference", "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@query("u04_set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def u04(spark, d):
-    return views.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")).subtract(views.table(spark, d, "customer").filter("c_acctbal > 9000").select("c_nationkey"))
+    urgent = views.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return views.table(spark, d, "customer").select("c_custkey").subtract(urgent.select("o_custkey"))
+
+
+@query("o04_top_customers", "SELECT c_mktsegment, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 10")
+def o04(spark, d):
+    """The ten largest of each segment: Spark keeps ten a segment in each partition before the shuffle."""
+    order = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return views.table(spark, d, "customer").withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("c_mktsegment", "c_custkey", "c_acctbal")
 
 
 @query("u05_duplicates", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
@@ -174,11 +182,14 @@ def d03(spark, d):
     return audits.quality(views.document_predictions(spark, d), "grp", "y")
 
 
-@query("d06_reconciled_totals", "SELECT (SELECT count(*) FROM events) AS total, (SELECT sum(n)::BIGINT FROM (SELECT CAST(ts AS DATE), count(*) AS n FROM events GROUP BY 1)) AS by_day, true AS equal")
+@query("d06_reconciled_totals", "WITH o AS (SELECT o_orderstatus AS status, count(*) AS orders FROM orders GROUP BY 1), l AS (SELECT o_orderstatus AS status, count(DISTINCT l_orderkey) AS with_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT status, orders, coalesce(with_lines, 0) AS with_lines, orders = coalesce(with_lines, 0) AS equal FROM o LEFT JOIN l USING (status)")
 def d06(spark, d):
-    e = views.table(spark, d, "events")
-    days = e.groupBy(F.to_date("ts")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("by_day"))
-    return e.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(days)).withColumn("equal", F.col("total") == F.col("by_day"))
+    """Orders of each status as their own table counts them, and as the lines name them."""
+    o = views.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    named = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    lines = o.join(named, "o_orderkey").groupBy("status").agg(F.count(F.lit(1)).alias("with_lines"))
+    both = o.groupBy("status").agg(F.count(F.lit(1)).alias("orders")).join(lines, "status", "left").na.fill(0, ["with_lines"])
+    return both.withColumn("equal", F.col("orders") == F.col("with_lines"))
 
 
 @query("d08_split_overlap", "SELECT o_custkey, 'a,b' AS parts FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -211,15 +222,15 @@ def p21(spark, d):
     return views.table(spark, d, "documents").groupBy(text.any_prefix(F.col("source"), ["src1", "src7"]).alias("held")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s02_log_round_trip", f"WITH {EV} SELECT 'log_' || participant AS participant, count(*) AS n, count(*) FILTER (type = 'key') AS keys, count(*) FILTER (key = 'Backspace') AS backspaces, round(sum(coalesce(value - prev, 0)) FILTER (type = 'scroll'), 4) AS scrolled FROM (SELECT *, lag(value) OVER (PARTITION BY participant, type ORDER BY ts, event_id) AS prev FROM ev) GROUP BY participant")
+@query("s02_log_round_trip", f"WITH {EV} SELECT 'log_' || participant AS participant, count(*) AS n, count(*) FILTER (type = 'key') AS keys, count(*) FILTER (key = 'Backspace') AS backspaces, round(sum(coalesce(value - prev, 0)) FILTER (type = 'scroll'), 4) AS scrolled FROM (SELECT *, lag(value) OVER (PARTITION BY participant, type ORDER BY ts, event_id) AS prev FROM ev) WHERE type <> 'visibility' GROUP BY participant")
 def s02(spark, d):
-    """The events table written as a tab-separated interaction log and read back by its reader."""
+    """The events table written as a tab-separated interaction log and read back; logs have no kind for visibility."""
     import uuid
 
     from ..session import scratch_dir
     from ..sources import files
 
-    names = {v: k for k, v in files.LOG_KINDS.items() if k != "MouseButtonDown"}
+    names = {v: k for k, v in reversed(files.LOG_KINDS.items())}
     e = views.events(spark, d)
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("type"))
     path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
@@ -232,7 +243,7 @@ def s02(spark, d):
 
 @query("x02_logistic_arm")
 def x02(spark, d):
-    """A logistic model (standardised, balanced) of the feature windows, scored out of fold by participant."""
+    """A logistic model (standardised, classes balanced) of the feature windows, scored out of fold by participant."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -245,8 +256,10 @@ def x02(spark, d):
     out = None
     for k in range(3):  # the folds of a fit on the driver's schedule; each fit is a Spark job
         train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+        sizes = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
+        train = train.withColumn("weight", sum((F.when(F.col("y") == y, F.lit(sum(sizes.values()) / len(sizes) / n)).otherwise(0.0) for y, n in sizes.items()), F.lit(0.0)))
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(labelCol="y", regParam=0.01).fit(scaler.transform(train))
+        model = LogisticRegression(labelCol="y", weightCol="weight", regParam=0.01).fit(scaler.transform(train))
         one = model.transform(scaler.transform(test)).select("participant", "window_index", F.col("y").cast("int").alias("y"), F.round(vector_to_array("probability")[1], 6).alias("p"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -91,10 +91,23 @@ def m12b(spark, d):
 
 @query("m16_leave_one_group_out", f"WITH {PRED_DOC}, g AS (SELECT DISTINCT grp AS held FROM pd), x AS (SELECT held, y, pa FROM pd JOIN g ON grp <> held) {auc_sql('x', 'held', 'y', 'pa')}")
 def m16(spark, d):
-    pd_ = views.document_predictions(spark, d).groupBy("grp", "pa", "y").agg(F.count(F.lit(1)).alias("c"))
-    held = pd_.select(F.col("grp").alias("held")).distinct()
-    x = pd_.join(held, F.col("grp") != F.col("held"))
-    return rounded(metrics.auc(x, ["held"], p="pa", weight=F.col("c").cast("double")), "auc")
+    return rounded(metrics.auc_without_group(views.document_predictions(spark, d), "grp", p="pa"), "auc")
+
+
+@query("m10_record_metrics", f"""WITH {PRED_BIN}, c AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS positives, avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS agree, count(*) FILTER (p >= 0.5) AS yes, count(*) FILTER (p >= 0.5 AND y = 1) AS tp FROM pb),
+k AS (SELECT *, (yes * positives + (n - yes) * (n - positives)) / CAST(n * n AS DOUBLE) AS chance FROM c)
+SELECT n, positives, round(agree, 6) AS accuracy, round(greatest(positives, n - positives) / CAST(n AS DOUBLE), 6) AS baseline, round(tp / CAST(nullif(yes, 0) AS DOUBLE), 6) AS precision, round(tp / CAST(nullif(positives, 0) AS DOUBLE), 6) AS recall, round((agree - chance) / nullif(1 - chance, 0), 6) AS kappa FROM k""")
+def m10(spark, d):
+    return rounded(metrics.record_metrics(views.binary_predictions(spark, d)), "accuracy", "baseline", "precision", "recall", "kappa")
+
+
+@query("m11_metrics_by_fold", f"""WITH {PRED_DOC}, c AS (SELECT fold, count(*) AS n, count(*) FILTER (y = 1) AS positives, avg(CAST((pa >= 0.5) = (y = 1) AS INTEGER)) AS a, avg(CAST((pb >= 0.5) = (y = 1) AS INTEGER)) AS b FROM (SELECT *, id % 5 AS fold FROM pd) GROUP BY fold)
+SELECT fold, n, positives, round(a, 6) AS accuracy_a, round(b, 6) AS accuracy_b, round(a - b, 6) AS gain FROM c""")
+def m11(spark, d):
+    rows = views.document_predictions(spark, d).withColumn("fold", F.col("id") % 5)
+    right = lambda p: F.avg(((F.col(p) >= 0.5) == (F.col("y") == 1)).cast("double"))
+    out = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("positives"), right("pa").alias("accuracy_a"), right("pb").alias("accuracy_b"))
+    return rounded(out.withColumn("gain", F.col("accuracy_a") - F.col("accuracy_b")), "accuracy_a", "accuracy_b", "gain")
 
 
 @query("a29_auc_bands", f"WITH {PRED_BIN}, a AS ({auc_sql('pb', 'grp', 'y', 'p')}) SELECT count(auc) AS computable, round(avg(auc), 5) AS mean, round(quantile_cont(auc, 0.5), 5) AS median, min(auc) AS lowest, count(*) FILTER (auc < 0.5) AS below_half, count(*) FILTER (auc >= 0.7) AS good FROM a")

@@ -11,18 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-LOG_KINDS = {"MouseMovement": "move", "MouseClick": "click", "MouseButtonDown": "click", "KeyPressed": "key", "Scroll": "scroll", "TabChange": "visibility"}
+# Kinds of events in a log, and the types they become.
+LOG_KINDS = {
+    "MouseMovement": "move", "MouseClick": "click", "MouseDoubleClick": "click",
+    "MouseButtonDown": "click", "KeyPressed": "key", "Scroll": "scroll",
+}
 LOG_COLUMNS = ["session", "timestamp", "type", "key", "x", "y", "yPosition"]
 
 
 def interaction_log(spark: SparkSession, paths: list[str], extra: tuple[str, ...] = (), width: float = 1920.0, height: float = 1080.0) -> DataFrame:
     """Tab-separated logs as (participant, event_id, ts, type, x, y, key, dy, *extra); sessions are named by their file.
 
-    Everything is text; numbers that don't parse are null: rows without a time go, coordinates become 0.
+    Columns are found by each path's header, whatever others it has; a column of ``extra`` that it lacks is null. Everything
+    is text; numbers that don't parse are null: rows without a time or of another kind go, coordinates become 0.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*LOG_COLUMNS, *extra]])
-    raw = spark.read.option("sep", "\t").option("header", True).schema(schema).option("enforceSchema", False).csv(paths)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+    def one(path: str) -> DataFrame:
+        file = spark.read.option("sep", "\t").option("header", True).csv(path)
+        if missing := set(LOG_COLUMNS) - set(file.columns):
+            raise ValueError(f"{path} has no columns {sorted(missing)}")
+        return file.select(*LOG_COLUMNS, *[F.col(c) if c in file.columns else F.lit(None).cast("string").alias(c) for c in extra], F.col("_metadata.file_path").alias("file_path"))
+
+    raw = reduce(DataFrame.unionByName, [one(p) for p in paths])
+    stem = F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     num = lambda c: F.col(c).try_cast("double")
     clip = lambda c, top: F.least(F.greatest(F.coalesce(num(c), F.lit(0.0)) / top, F.lit(0.0)), F.lit(1.0))
     kind = F.try_element_at(F.create_map(*[F.lit(v) for kv in LOG_KINDS.items() for v in kv]), F.col("type"))
@@ -30,7 +41,7 @@ def interaction_log(spark: SparkSession, paths: list[str], extra: tuple[str, ...
     rows = raw.select(
         F.concat_ws("_", stem, "session").alias("participant"), F.monotonically_increasing_id().alias("event_id"), F.floor(num("timestamp")).alias("ts"), kind.alias("type"),
         clip("x", width).alias("x"), clip("y", height).alias("y"), F.when(kind == "key", F.when(back, "Backspace").otherwise("a")).otherwise("").alias("key"), num("yPosition").alias("pos"), *[num(c).alias(c) for c in extra],
-    ).dropna(subset=["ts"])
+    ).dropna(subset=["ts", "type"])
     from pyspark.sql import Window
 
     w = Window.partitionBy("participant", F.col("type") == "scroll").orderBy("ts", "event_id")

@@ -168,6 +168,26 @@ def test_interaction_log(spark, tmp_path):
     assert [r.dy for r in rows if r.type == "scroll"] == [0.0, -3.0]
 
 
+def test_interaction_log_reads_by_header_and_kind(spark, tmp_path):
+    """Columns in any order among others, every native kind, and none of another."""
+    kinds = ["MouseMovement", "MouseClick", "MouseDoubleClick", "MouseButtonDown", "KeyPressed", "Scroll", "Unheard"]
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    a.write_text("url\ttype\tsession\ttimestamp\tkey\tx\ty\tyPosition\temotion_affectiva_Neutral\n" + "".join(f"u\t{k}\t1\t{i}\t\t1\t1\t0\t95\n" for i, k in enumerate(kinds)))
+    b.write_text("session\ttimestamp\ttype\tkey\tx\ty\tyPosition\n2\t5\tScroll\t\t\t\t1\n")
+    rows = files.interaction_log(spark, [str(a), str(b)], ("emotion_affectiva_Neutral",)).orderBy("participant", "ts").collect()
+    assert [r.type for r in rows] == ["move", "click", "click", "click", "key", "scroll", "scroll"]
+    assert [r.emotion_affectiva_Neutral for r in rows] == [95.0] * 6 + [None]
+    with pytest.raises(ValueError, match="yPosition"):
+        (tmp_path / "c.csv").write_text("session\ttimestamp\ttype\tkey\tx\ty\n")
+        files.interaction_log(spark, [str(tmp_path / "c.csv")])
+
+
+def test_collapsing_refuses_a_class_without_a_group(spark):
+    rows = spark.createDataFrame([(0, [0.5, 0.3, 0.2]), (2, [0.1, 0.1, 0.8])], "y_true int, y_prob array<double>")
+    with pytest.raises(Exception, match="no group holds class 2"):
+        metrics.collapsed(rows, [[0], [1]]).collect()
+
+
 def test_keystroke_log(spark, tmp_path):
     p = tmp_path / "typing.csv"
     p.write_text("User Id;emotionIndex;index;keyCode;keyDown;D1D2\n7;N;0;72;1,58E+12;120,5\n7;N;1;BACK_SPACE;1,58E+12;99999\n7;N;2;73;1,58E+12;\n")
