@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_chunks, written
-from .tokens import ids_of
+from .tokens import Ids, encoder
 
 TOKENS = "part long, n_row long, doc_id long, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -22,7 +22,11 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Every document's ids and its offset within its partition. Ids are 16 bits wide where the vocabulary allows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, at, row = ids_of(tokenizer), TaskContext.get().partitionId(), 0, 0
+        with encoder(tokenizer) as ids:
+            yield from encoded(ids, batches)
+
+    def encoded(ids: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, row = TaskContext.get().partitionId(), 0, 0
         wide = "<u2" if max(ids.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             for i, j, _, _ in text_chunks(batch.column(1), 1 << 21):

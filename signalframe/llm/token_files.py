@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_chunks, written
-from .tokens import ids_of
+from .tokens import Ids, encoder
 
 MAGIC = b"SFTK"
 #: Ids of a shard at most, unless one document has more: what a task holds.
@@ -126,7 +126,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataF
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, shard = ids_of(tokenizer), TaskContext.get().partitionId(), 0
+        with encoder(tokenizer) as ids:
+            yield from encoded(ids, batches)
+
+    def encoded(ids: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard = TaskContext.get().partitionId(), 0
         wide = "<u2" if max(ids.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         keys: list = []
         held: list[np.ndarray] = []

@@ -5,11 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from struct import pack
 
 import numpy as np
 
+from .common import released
+
 #: Texts of these characters alone: beside space and line feed they hold no white space of any kind and no controls, so
 #: that cutting at white space is cutting where the tokenizer's own patterns cut. Others are encoded as a whole.
 _PLAIN = re.compile("[\x20\n\x21-\x7e\xa1-˿Ͱ-ӿぁ-ヿ一-鿿]*")
@@ -87,3 +92,19 @@ class Ids(dict):
 def ids_of(path: str) -> Ids:
     """One per worker process, so that what a task has encoded serves the next."""
     return Ids(path)
+
+
+_tasks = 0
+
+
+@contextmanager
+def encoder(path: str, rest: float = 1.0) -> Iterator[Ids]:
+    """The encoder for a task; given back when the worker has had no next task for ``rest`` seconds."""
+    global _tasks
+    _tasks += 1
+    try:
+        yield ids_of(path)
+    finally:
+        timer = threading.Timer(rest, lambda own=_tasks: own == _tasks and released())
+        timer.daemon = True
+        timer.start()

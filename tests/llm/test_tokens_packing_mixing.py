@@ -130,3 +130,17 @@ def test_other_operators_give_back_an_encoders_memory():
     assert tokens.ids_of.cache_info().currsize
     assert passages(np.frombuffer(b"ab", np.uint8), np.array([0, 2]))[1].tolist() == [1]
     assert not tokens.ids_of.cache_info().currsize
+
+
+def test_an_idle_worker_gives_back_its_encoder():
+    import time
+
+    from signalframe.llm import tokens
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    with tokens.encoder(path, 0.2) as ids:
+        assert len(ids.ids(["some words"])[0])
+    with tokens.encoder(path, 0.2) as again:  # the next task comes at once
+        assert again is ids
+    time.sleep(1)
+    assert not tokens.ids_of.cache_info().currsize
