@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +69,34 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_trimmed_for: int | None = None
+
+
+def trimmed() -> None:
+    """Give free memory of this worker back to the system, once a task: what earlier tasks needed would stay with it."""
+    global _trimmed_for
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if task is None or task != _trimmed_for:
+        _trimmed_for = task
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library's own, where it has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released() -> None:
-    """Give back what an encoder keeps in this worker: workers serve one operator after another. Others call it."""
+    """Give back what an encoder keeps in this worker, too: workers serve one operator after another. Others call it."""
     tokens = sys.modules.get(f"{__package__}.tokens")
     if tokens is not None and tokens.ids_of.cache_info().currsize:
         tokens.ids_of.cache_clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # the C library's own, where it has it
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
+    if TaskContext.get():
+        trimmed()
 
 
 def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

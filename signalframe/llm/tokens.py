@@ -13,7 +13,7 @@ from struct import pack
 
 import numpy as np
 
-from .common import released
+from .common import released, trimmed
 
 #: Texts of these characters alone: beside space and line feed they hold no white space of any kind and no controls, so
 #: that cutting at white space is cutting where the tokenizer's own patterns cut. Others are encoded as a whole.
@@ -102,6 +102,7 @@ def encoder(path: str, rest: float = 1.0) -> Iterator[Ids]:
     """The encoder for a task; given back when the worker has had no next task for ``rest`` seconds."""
     global _tasks
     _tasks += 1
+    trimmed()
     try:
         yield ids_of(path)
     finally:
