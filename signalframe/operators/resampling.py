@@ -54,6 +54,13 @@ def bootstrap_ratio(per_group: DataFrame, hit: str, n: str, reps: int, seed: str
     return drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col(hit) * F.col("times")), F.sum(F.col(n) * F.col("times"))).alias("ratio"))
 
 
+def bootstrap_ratio_difference(per_group: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: str) -> DataFrame:
+    """(rep, diff): the ratio of the counts ``b`` less that of ``a``, over the same drawn groups; null where either is."""
+    drawn = per_group.join(cluster_draws(per_group.select("grp"), reps, seed), "grp")
+    ratio = lambda hit, n: F.try_divide(F.sum(F.col(hit) * F.col("times")), F.sum(F.col(n) * F.col("times")))
+    return drawn.groupBy("rep").agg((ratio(*b) - ratio(*a)).alias("diff"))
+
+
 def permutation_p(rows: DataFrame, reps: int, seed: str) -> DataFrame:
     """(hits, p): labels change places within their group; p = (hits + 1) / (reps + 1).
 

@@ -237,3 +237,37 @@ def test_full_resampling_runs_at_the_repetitions_of_the_reference(spark, monkeyp
     monkeypatch.setattr(views, "document_predictions", lambda *_: both)
     kept = {name: catalog.queries()[name](spark, "").first().kept for name in ("r01_cluster_bootstrap_full", "r02_row_bootstrap_full", "r06_accuracy_bootstrap_full")}
     assert kept == {"r01_cluster_bootstrap_full": 4000, "r02_row_bootstrap_full": 4000, "r06_accuracy_bootstrap_full": 2000}
+
+
+def test_platt_scaling_is_the_fit_of_largest_likelihood(spark):
+    import numpy as np
+
+    from signalframe.operators import accounting
+
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0.02, 0.98, 400)
+    y = (rng.uniform(size=400) < p**2).astype(int)
+    x = np.stack([np.ones(400), np.log(p / (1 - p))], 1)
+    w = np.zeros(2)
+    for _ in range(50):  # Newton's steps
+        q = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x, x.T @ (y - q))
+    rows = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p, strict=True)], "y int, p double")
+    got = accounting.platt(rows, rows).select("p", "p_cal").toPandas().sort_values("p")
+    order = np.argsort(p)
+    assert np.allclose(got.p_cal, (1 / (1 + np.exp(-x @ w)))[order], atol=1e-4)
+
+
+def test_accounts_with_nulls_and_ties(spark):
+    from signalframe.operators import accounting
+
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, None, 1.0), (2, "b", None), (2, "b", 3.0)], "k int, label string, v double")
+    tests = {"no label": F.col("label").isNull(), "no value": F.col("v").isNull(), "large": F.col("v") > 9}
+    assert {r.reason: r.n for r in accounting.drop_reasons(rows, tests).collect()} == {"no label": 1, "no value": 1, "large": 0, "kept": 2}
+    assert {r.reason: r.n for r in accounting.drop_reasons(rows.limit(0), tests).collect()} == {"no label": 0, "no value": 0, "large": 0, "kept": 0}
+    assert {(r.k, r.seen, r.scorable) for r in accounting.scorable(rows, ["k"], F.col("v") >= 1, 2).collect()} == {(1, 2, True), (2, 1, False)}
+    assert {r.name: r.varies for r in accounting.varying(rows.limit(0), ["v"]).collect()} == {"v": False}
+    with pytest.raises(Exception, match="differ by"):
+        accounting.parity(rows.withColumn("w", F.col("v") + 1), "v", "w").collect()
+    with pytest.raises(ValueError, match="no rows"):
+        accounting.matched_by_stem(rows, "label", rows.withColumnsRenamed({"label": "other"}).filter("false"), "other", "x")
