@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import accounting, gate, resampling
+from ..operators import accounting, gate, records, resampling
 from ..sources import views
 from ..sources.views import PRED_BIN, PRED_MULTI
-from .event_queries import offline_sql, rounded
-from .prediction_queries import DRAWS, FULL_BOOT, REPS, multi
-from .registry import query
+from .event_queries import FLOORS, g01, offline_sql, rounded
+from .prediction_queries import DRAWS, FULL_BOOT, REPS, USERS, m11, multi, r01, r02, user_labels
+from .registry import SQL, query
 
 REASON = "CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty' WHEN quality IS NULL THEN 'unlabelled' WHEN n_chars < 200 THEN 'short' ELSE 'kept' END"
 
@@ -132,3 +132,59 @@ def m13(spark, d):
     rows = views.binary_predictions(spark, d)
     fits = F.pmod("grp", F.lit(10)) < 7
     return rounded(accounting.platt(rows.filter(fits), rows.filter(~fits)).select("id", "y", "p", "p_cal"), "p_cal", places=4)
+
+
+@query("d01_valid_record", f"WITH {PRED_MULTI} SELECT y_true, count(*) AS n FROM pm GROUP BY y_true")
+def d01(spark, d):
+    """Rows a class of a record that is checked on the way."""
+    return records.valid(views.multiclass_predictions(spark, d), 10).groupBy("y_true").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l08_out_of_fold", f"""WITH {USERS}, f AS (SELECT grp, (row_number() OVER (PARTITION BY label ORDER BY md5('l08:' || grp), grp) - 1) % 5 AS fold FROM lab), x AS (SELECT pb.*, fold FROM pb JOIN f USING (grp)),
+t AS (SELECT fold, sum(y) AS s, count(*) AS n FROM x GROUP BY fold), a AS (SELECT sum(y) AS s, count(*) AS n FROM x) SELECT id, x.fold::INTEGER AS fold, round((a.s - t.s) / (a.n - t.n), 6) AS p_oof FROM x JOIN t USING (fold), a""")
+def l08(spark, d):
+    """The harness with the plainest of models: the share of positives among the rows of the other folds."""
+    base = lambda train, test: test.crossJoin(F.broadcast(train.agg(F.avg("y").alias("p_oof")))).select("id", "fold", "p_oof")
+    return rounded(records.out_of_fold(views.binary_predictions(spark, d), user_labels(spark, d), 5, "l08", base), "p_oof")
+
+
+@query("a35_run_spread", f"WITH m AS ({SQL['m11_metrics_by_fold']}) SELECT 'accuracy_a' AS score, round(avg(accuracy_a), 5) AS mean, round(stddev_samp(accuracy_a), 5) AS sd, min(accuracy_a) AS low, max(accuracy_a) AS high FROM m UNION ALL SELECT 'accuracy_b', round(avg(accuracy_b), 5), round(stddev_samp(accuracy_b), 5), min(accuracy_b), max(accuracy_b) FROM m")
+def a35(spark, d):
+    return rounded(records.spread(m11(spark, d), "accuracy_a", "accuracy_b"), "mean", "sd", places=5)
+
+
+@query("a24_noise_floor", f"WITH m AS ({SQL['m11_metrics_by_fold']}) SELECT round(stddev_samp(accuracy_a) + stddev_samp(accuracy_b), 5) AS noise_floor FROM m")
+def a24(spark, d):
+    """Twice the mean of the scores' standard deviations."""
+    return rounded(records.spread(m11(spark, d), "accuracy_a", "accuracy_b").agg((2 * F.avg("sd")).alias("noise_floor")), "noise_floor", places=5)
+
+
+@query("r03_width_ratio", f"SELECT round((a.high - a.low) / nullif(b.high - b.low, 0), 3) AS ratio FROM ({SQL['r01_cluster_bootstrap']}) a, ({SQL['r02_row_bootstrap']}) b")
+def r03(spark, d):
+    """How much wider the interval is when whole clusters are drawn instead of rows."""
+    width = lambda df, name: df.select((F.col("high") - F.col("low")).alias(name))
+    both = width(r01(spark, d), "a").crossJoin(F.broadcast(width(r02(spark, d), "b")))  # one row each
+    return rounded(both.select(F.try_divide("a", "b").alias("ratio")), "ratio", places=3)
+
+
+UNGATED = """, s AS (SELECT floor, count(*) FILTER (fire) AS offers, sum(hit)::BIGINT AS correct, count(*) AS readings FROM g WHERE idx >= 0 GROUP BY floor UNION ALL SELECT NULL, count(*), sum(y)::BIGINT, count(*) FROM pb), b AS (SELECT avg(y) AS base FROM pb)
+SELECT floor, offers, correct, readings, round(correct / nullif(offers, 0), 6) AS precision, round(correct / nullif(offers, 0) / base, 6) AS lift, round(offers / readings, 6) AS rate FROM s, b"""
+
+
+@query("g06_sweep_with_ungated", offline_sql("true", FLOORS, UNGATED))
+def g06(spark, d):
+    """Every floor, and without a floor the row in which each reading is an offer; lift is over that row's precision."""
+    rows = views.binary_predictions(spark, d)
+    every = rows.agg(F.lit(None).cast("double").alias("floor"), F.count(F.lit(1)).alias("offers"), F.sum("y").alias("correct"), F.count(F.lit(1)).alias("readings"))
+    out = gate.swept(gate.replay(rows, FLOORS)).select("floor", "offers", "correct", "readings").unionByName(every)
+    out = out.crossJoin(F.broadcast(every.select((F.col("correct") / F.col("readings")).alias("base")))).withColumn("precision", F.try_divide("correct", "offers"))
+    out = out.select("floor", "offers", "correct", "readings", "precision", F.try_divide("precision", "base").alias("lift"), (F.col("offers") / F.col("readings")).alias("rate"))
+    return rounded(out, "precision", "lift", "rate")
+
+
+@query("f23_offer_rates", f"WITH o AS ({SQL['g01_offline_gate_sweep']}) SELECT floor, round(readings * 30 / 3600, 6) AS hours, round(offers / (readings * 30 / 3600), 6) AS per_hour, round(readings * 30 / 60 / nullif(offers, 0), 6) AS minutes_between FROM o")
+def f23(spark, d):
+    """Rates of a gate's offers, where a reading stands for 30 seconds."""
+    hours = F.col("readings") * 30 / 3600
+    out = g01(spark, d).select("floor", hours.alias("hours"), F.try_divide(F.col("offers"), hours).alias("per_hour"), F.try_divide(hours * 60, F.col("offers")).alias("minutes_between"))
+    return rounded(out, "hours", "per_hour", "minutes_between")

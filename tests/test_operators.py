@@ -271,3 +271,20 @@ def test_accounts_with_nulls_and_ties(spark):
         accounting.parity(rows.withColumn("w", F.col("v") + 1), "v", "w").collect()
     with pytest.raises(ValueError, match="no rows"):
         accounting.matched_by_stem(rows, "label", rows.withColumnsRenamed({"label": "other"}).filter("false"), "other", "x")
+
+
+def test_records_are_checked_and_work_goes_on(spark, tmp_path):
+    from signalframe.operators import records
+
+    schema = "id long, y_true int, y_prob array<double>"
+    rows = spark.createDataFrame([(1, 0, [0.7, 0.3]), (2, 1, [0.4, 0.6])], schema)
+    records.saved(rows, str(tmp_path / "r"), 2)
+    back = records.loaded(spark, str(tmp_path / "r"), schema, 2)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        records.saved(rows, str(tmp_path / "r"), 2)
+    for bad, why in (((3, 2, [0.5, 0.5]), "class out of range"), ((3, None, [0.5, 0.5]), "class out of range"), ((3, 0, [1.0]), "number of classes"), ((3, 0, None), "number of classes"), ((3, 0, [0.5, None]), "no number")):
+        with pytest.raises(Exception, match=why):
+            records.valid(spark.createDataFrame([bad], schema), 2).collect()
+    assert [r.id for r in records.remaining(rows, rows.filter("id = 1"), "id").collect()] == [2]
+    assert records.remaining(rows, None, "id").count() == 2
