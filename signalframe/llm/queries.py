@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, line_dedup, mixing
+from . import cover_tree, lexical, line_dedup, mixing, whitening
 from .common import table, written
 
 
@@ -97,9 +97,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 16)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_repeated_passages, op4_toxicity, op5_flac_media, op6_top_k, op7_token_files, op8_near_copies, op9_main_text, op10_source_mix, op11_line_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_repeated_passages, op4_toxicity, op5_flac_media, op6_top_k, op7_token_files, op8_near_copies, op9_main_text, op10_source_mix, op11_line_dedup, op12_whitening, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": cover_tree.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op6_top_k": cover_tree.ORACLE_SQL, "op10_source_mix": mixing.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op13_ranked_search": lexical.ORACLE_SQL}
