@@ -22,9 +22,10 @@ WHITENED = "vec_id long, component int, n long, deviation long, whitened double,
 
 
 def whole(vector: Column, scale: int, shift: int) -> Column:
-    """floor(scale * x) + shift of every component; null where the vector or a component is null or not finite."""
+    """floor(scale * x) + shift of every component, within 2**60; null where the vector or a component is null or not finite."""
+    high = F.lit(1 << 60)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long") + F.lit(shift)))
+    return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), F.transform(vector, lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"), high), -high) + F.lit(shift)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
