@@ -1,65 +1,184 @@
-"""Sequential gates (floor, persistence, cooldown) as folds over each group's ordered readings, within Catalyst."""
+"""Sequential gates (floor, persistence, cooldown) as small automata over blocks of readings.
+
+A gate has few states: how long the streak is, how long the cooldown lasts, what was recorded before. So a block of a
+group's readings is a table that says, for each state it may begin in, the state it ends in and the offers it makes.
+Blocks are evaluated apart, by any task; a group's tables are put together in order, which gives each block's beginning.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _sequences(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """One ordered array of readings a group (and grid point): the fold's input. A group is one participant's session."""
-    return rows.groupBy("grp", *extra).agg(F.array_sort(F.collect_list(F.struct("idx", "p", "y", "ok"))).alias("s"))
-
-
-def _offline(floor: Column, least: int, cooldown: int) -> Column:
-    """Streak and cooldown counters; the streak goes on during a cooldown and starts anew after an offer.
-
-    A reading that isn't ok neither extends nor breaks the streak, but a cooldown counts it.
+#: Readings of a block by idx, tables that are put together at once, and cells of a numpy step.
+BLOCK, STEP, CELLS = 4096, 1024, 1 << 20
+
+GRID = ["floor", "persistence", "cooling"]
+TABLES = "grp long, part long, floor double, persistence boolean, cooling boolean, n long, ends array<int>, offers array<long>, correct array<long>"
+
+
+class Automaton:
+    """``next`` and ``fires`` by variant, symbol of a reading and state; the last symbol stands for no reading. State 0 begins."""
+
+    def __init__(self, rule: str, least: int, cooldown: int, variants: list[tuple[bool, bool]]):
+        self.rule, self.variants = rule, variants
+        step, states, symbols = (self._offline, (least + 1) * (cooldown + 1), 4) if rule == "offline" else (self._deployed, 3 * max(1, cooldown), 8)
+        self.next, self.fires = np.tile(np.arange(states), (len(variants), symbols + 1, 1)), np.zeros((len(variants), symbols + 1, states), bool)
+        for v, variant in enumerate(variants):
+            for symbol in range(symbols):
+                for state in range(states):
+                    self.next[v, symbol, state], self.fires[v, symbol, state] = step(symbol, state, variant, least, cooldown)
+
+    @staticmethod
+    def _offline(symbol: int, state: int, variant: tuple[bool, bool], least: int, cooldown: int) -> tuple[int, bool]:
+        """The streak goes on during a cooldown and starts anew after an offer; a reading that isn't ok neither extends nor
+        breaks it, but a cooldown counts it."""
+        ok, above = divmod(symbol, 2)
+        streak, cool = divmod(state, cooldown + 1)
+        streak = streak if not ok else min(streak + 1, least) if above else 0
+        fire = bool(ok and above and cool == 0 and streak >= least)
+        return (0 if fire else streak) * (cooldown + 1) + (cooldown if fire else max(cool - 1, 0)), fire
+
+    @staticmethod
+    def _deployed(symbol: int, state: int, variant: tuple[bool, bool], least: int, cooldown: int) -> tuple[int, bool]:
+        """At or above the floor, it and the reading recorded before it positive, ``cooldown`` cycles since the last offer."""
+        ok, now, above = symbol >> 2, symbol >> 1 & 1, symbol & 1
+        before, wait = divmod(state, max(1, cooldown))  # before: 0 nothing, 1 negative, 2 positive
+        persistence, cooling = variant
+        fire = bool(ok and now and above and (not persistence or before == 2) and (not cooling or wait == 0))
+        return (1 + now if ok else before) * max(1, cooldown) + (max(0, cooldown - 1) if fire else max(wait - 1, 0)), fire
+
+    def symbols(self, p: np.ndarray, ok: np.ndarray, there: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """(block, reading, floor): what the automaton sees of each reading; a null p is below every floor."""
+        above = p[:, :, None] >= floors
+        seen = 2 * ok[:, :, None] + above if self.rule == "offline" else 4 * ok[:, :, None] + 2 * (p >= 0.5)[:, :, None] + above
+        return np.where(there[:, :, None], seen, self.next.shape[1] - 1)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(grp, part, s): the readings of a block in order, at most BLOCK of them, as idx counts a group's readings."""
+    if "ok" not in rows.columns:
+        rows = rows.withColumn("ok", F.lit(True))
+    each = F.struct(F.col("idx").cast("long").alias("idx"), F.col("p").cast("double").alias("p"), (F.col("y") == 1).alias("y"), "ok")
+    return rows.groupBy(F.col("grp").cast("long").alias("grp"), F.floor(F.col("idx") / BLOCK).alias("part")).agg(F.array_sort(F.collect_list(each)).alias("s"))
+
+
+def _padded(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """idx, p, y, ok and whether a reading is there, as (block, reading) matrices."""
+    n = np.diff(lists.offsets.to_numpy())
+    there = np.arange(int(n.max(initial=0))) < n[:, None]
+    flat = lists.flatten()
+    out = []
+    for name, kind, null in (("idx", np.int64, 0), ("p", np.float64, -np.inf), ("y", bool, False), ("ok", bool, False)):
+        values = flat.field(name).fill_null(null).to_numpy(zero_copy_only=False).astype(kind)
+        matrix = np.zeros(there.shape, kind)
+        matrix[there] = values
+        out.append(matrix)
+    return *out, there
+
+
+def _tables(rows: DataFrame, auto: Automaton, floors: list[float]) -> DataFrame:
+    """One row a block and grid point: for each state that the block may begin in, its end, offers and correct offers."""
+    levels, (variants, _, states) = np.array(floors, float), auto.next.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = max(1, CELLS // (len(levels) * variants * states))
+            for begin in range(0, batch.num_rows, most):
+                some = batch.slice(begin, most)
+                _, p, y, ok, there = _padded(some.column(2))
+                seen = auto.symbols(p, ok, there, levels)
+                shape = (some.num_rows, len(levels), variants, states)
+                state = np.broadcast_to(np.arange(states), shape).copy()
+                offers, correct, v = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.arange(variants)[:, None]
+                for t in range(seen.shape[1]):
+                    symbol = seen[:, t, :, None, None]
+                    fire = auto.fires[v, symbol, state]
+                    state = auto.next[v, symbol, state]
+                    offers += fire
+                    correct += fire & y[:, t, None, None, None]
+                grid = len(levels) * variants
+                each = pa.array(np.repeat(np.arange(some.num_rows), grid))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, state.size + 1, states, dtype=np.int32)), pa.array(x.ravel())) for x in (state.astype(np.int32), offers, correct)]
+                flags = [np.tile(np.array([x[k] for x in auto.variants]), some.num_rows * len(levels)) for k in (0, 1)]
+                columns = [some.column(0).take(each), some.column(1).take(each), pa.array(np.tile(np.repeat(levels, variants), some.num_rows)), *map(pa.array, flags), pa.array(np.repeat(there.sum(1), grid)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["grp", "part", *GRID, "n", "ends", "offers", "correct"])
+
+    return _blocks(rows).mapInArrow(run, TABLES)
+
+
+def _walked(parts: Column, state: Column) -> Column:
+    """Through ordered tables from one state: the state at the end, offers and correct offers."""
+    zero = F.struct(state.cast("int").alias("state"), F.lit(0).cast("bigint").alias("offers"), F.lit(0).cast("bigint").alias("correct"))
+    at = lambda r, name, s: F.get(r[name], s)
+    return F.aggregate(parts, zero, lambda a, r: F.struct(at(r, "ends", a["state"]).alias("state"), (a["offers"] + at(r, "offers", a["state"])).alias("offers"), (a["correct"] + at(r, "correct", a["state"])).alias("correct")))
+
+
+def _gathered(tables: DataFrame, states: int) -> DataFrame:
+    """(grp, grid, n, parts, above): runs of at most STEP tables in order, each with the table of the whole run, in order.
+
+    One shuffle by group and grid point, whose rows are one table for thousands of readings.
     """
-    zero = F.struct(F.lit(0).alias("streak"), F.lit(0).alias("cool"), F.array().cast("array<bigint>").alias("fired"), F.lit(0).alias("correct"))
-
-    def step(a: Column, r: Column) -> Column:
-        streak = F.when(~r["ok"], a["streak"]).when(r["p"] >= floor, a["streak"] + 1).otherwise(0)
-        fire = r["ok"] & (a["cool"] == 0) & (r["p"] >= floor) & (streak >= least)
-        return F.struct(
-            F.when(fire, 0).otherwise(streak).alias("streak"), F.when(fire, cooldown).when(a["cool"] > 0, a["cool"] - 1).otherwise(0).alias("cool"),
-            F.when(fire, F.array_append(a["fired"], r["idx"])).otherwise(a["fired"]).alias("fired"), (a["correct"] + F.when(fire & (r["y"] == 1), 1).otherwise(0)).alias("correct"),
-        )
-
-    return F.aggregate("s", zero, step)
-
-
-def _deployed(floor: Column, persistence: Column, cooling: Column, cooldown: int) -> Column:
-    """The reading at or above the floor, it and the one recorded before it positive, ``cooldown`` cycles since the last."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(-1).alias("state"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("fired"), F.lit(0).alias("correct"))
-
-    def step(a: Column, r: Column) -> Column:
-        now = F.when(r["p"] >= 0.5, 1).otherwise(0)
-        fire = r["ok"] & (now == 1) & (r["p"] >= floor) & (~persistence | (a["state"] == 1)) & (~cooling | a["last"].isNull() | (a["k"] - a["last"] >= cooldown))
-        return F.struct(
-            (a["k"] + 1).alias("k"), F.when(r["ok"], now).otherwise(a["state"]).alias("state"), F.when(fire, a["k"]).otherwise(a["last"]).alias("last"),
-            F.when(fire, F.array_append(a["fired"], r["idx"])).otherwise(a["fired"]).alias("fired"), (a["correct"] + F.when(fire & (r["y"] == 1), 1).otherwise(0)).alias("correct"),
-        )
-
-    return F.aggregate("s", zero, step)
+    own = ["grp", *GRID]
+    part = F.struct("part", "ends", "offers", "correct", "n")
+    runs = tables.repartition(*own).groupBy(*own, F.floor(F.col("part") / STEP).alias("run")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    walked = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: _walked(F.col("parts"), s))
+    runs = runs.withColumn("w", walked).select(*own, "run", "parts", F.col("w.state").alias("ends"), F.col("w.offers").alias("offers"), F.col("w.correct").alias("correct"))
+    return runs.withColumn("n", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]))
 
 
 def replay(rows: DataFrame, floors: list[float], rule: str = "offline", least: int = 2, cooldown: int = 3, variants: list[tuple[bool, bool]] | None = None) -> DataFrame:
-    """(grp, floor, persistence, cooling, n, fired (positions), correct) for every group, floor and variant.
+    """(grp, floor, persistence, cooling, n, offers, correct) for every group, floor and variant.
 
-    ``rows`` has grp, idx, p, y and optionally ok (a reading is there). The grid is exploded after the readings of a
-    group are gathered, so they are shuffled once.
+    ``rows`` has grp, idx, p, y and optionally ok (a reading is there); idx counts the readings of a group. Readings are
+    shuffled once, by group and block of idx, so that a group with a great share of all rows is spread.
     """
-    if "ok" not in rows.columns:
-        rows = rows.withColumn("ok", F.lit(True))
-    s = _sequences(rows, [])
-    grid = F.array(*[F.struct(F.lit(float(f)).alias("floor"), F.lit(p).alias("persistence"), F.lit(c).alias("cooling")) for f in floors for p, c in (variants or [(True, True)])])
-    s = s.withColumn("g", F.explode(grid)).select("grp", "s", "g.*")
-    out = _offline(F.col("floor"), least, cooldown) if rule == "offline" else _deployed(F.col("floor"), F.col("persistence"), F.col("cooling"), cooldown)
-    return s.withColumn("o", out).select("grp", "floor", "persistence", "cooling", F.size("s").alias("n"), "o.fired", F.col("o.correct").alias("correct"))
+    auto = Automaton(rule, least, cooldown, variants or [(True, True)])
+    runs = _gathered(_tables(rows, auto, floors), auto.next.shape[2])
+    whole = runs.groupBy("grp", *GRID).agg(F.array_sort(F.collect_list(F.struct("run", "ends", "offers", "correct"))).alias("runs"), F.sum("n").alias("n"))
+    return whole.withColumn("o", _walked(F.col("runs"), F.lit(0))).select("grp", *GRID, "n", "o.offers", "o.correct")
+
+
+def offers(rows: DataFrame, floors: list[float], rule: str = "offline", least: int = 2, cooldown: int = 3, variants: list[tuple[bool, bool]] | None = None) -> DataFrame:
+    """(grp, floor, persistence, cooling, idx, correct) of every offer: blocks are replayed from the states they begin in."""
+    auto = Automaton(rule, least, cooldown, variants or [(True, True)])
+    runs = _gathered(_tables(rows, auto, floors), auto.next.shape[2])
+
+    def begins(parts: Column, state: Column, key: str) -> Column:
+        """(key, state) of the beginning of each of the ordered tables."""
+        zero = F.struct(state.cast("int").alias("state"), F.array().cast(f"array<struct<{key}:bigint,state:int>>").alias("out"))
+        return F.aggregate(parts, zero, lambda a, r: F.struct(F.get(r["ends"], a["state"]).alias("state"), F.array_append(a["out"], F.struct(r[key].alias(key), a["state"].alias("state"))).alias("out")))["out"]
+
+    first = runs.groupBy("grp", *GRID).agg(F.array_sort(F.collect_list(F.struct("run", "ends", "parts"))).alias("runs"))
+    first = first.select("grp", *GRID, F.explode(F.arrays_zip("runs", begins(F.col("runs"), F.lit(0), "run").alias("at"))).alias("r"))
+    starts = first.select("grp", *GRID, F.explode(begins(F.col("r.runs.parts"), F.col("r.at.state"), "part")).alias("b")).select("grp", *GRID, "b.part", "b.state")
+    numbers = {v: i for i, v in enumerate(auto.variants)}
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = max(1, CELLS // BLOCK)
+            for begin in range(0, batch.num_rows, most):
+                some = batch.slice(begin, most)
+                idx, p, y, ok, there = _padded(some.column(5))
+                floor, state = some.column(1).to_numpy(), some.column(4).to_numpy().copy()
+                v = np.array([numbers[x] for x in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)], np.int64)
+                seen = np.stack([auto.symbols(p[i : i + 1], ok[i : i + 1], there[i : i + 1], floor[i : i + 1])[0, :, 0] for i in range(len(p))]) if len(p) else np.zeros((0, 0), np.int64)
+                fired = np.zeros(seen.shape, bool)
+                for t in range(seen.shape[1]):
+                    fired[:, t], state = auto.fires[v, seen[:, t], state], auto.next[v, seen[:, t], state]
+                r, t = np.nonzero(fired)
+                each = pa.array(r)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(each), *[some.column(c).take(each) for c in (1, 2, 3)], pa.array(idx[r, t]), pa.array(y[r, t])], ["grp", *GRID, "idx", "correct"])
+
+    both = _blocks(rows).join(starts, ["grp", "part"]).select("grp", *GRID, "state", "s")
+    return both.mapInArrow(positions, "grp long, floor double, persistence boolean, cooling boolean, idx long, correct boolean")
 
 
 def swept(replayed: DataFrame) -> DataFrame:
     """Offers, correct offers and precision by grid point, summed over groups."""
-    g = replayed.groupBy("floor", "persistence", "cooling").agg(F.sum(F.size("fired")).alias("offers"), F.sum("correct").alias("correct"), F.sum("n").alias("readings"))
+    g = replayed.groupBy(*GRID).agg(F.sum("offers").alias("offers"), F.sum("correct").alias("correct"), F.sum("n").alias("readings"))
     return g.withColumn("precision", F.try_divide(F.col("correct"), F.col("offers")))

@@ -105,7 +105,7 @@ SELECT round(quantile_cont(diff, 0.025), 5) AS low, round(quantile_cont(diff, 0.
 def r08(spark, d, reps=REPS):
     """Interval of the difference in precision of two floors of the gate, with the same draws of groups for both."""
     at = lambda c, f: F.coalesce(F.sum(F.when(F.col("floor") == f, c)), F.lit(0))
-    offers = F.size("fired")
+    offers = F.col("offers")
     g = gate.replay(views.binary_predictions(spark, d), [FLOOR_A, FLOOR_B]).groupBy("grp")
     g = g.agg(at(offers, FLOOR_A).alias("na"), at(F.col("correct"), FLOOR_A).alias("ha"), at(offers, FLOOR_B).alias("nb"), at(F.col("correct"), FLOOR_B).alias("hb"))
     out = rounded(resampling.bootstrap_ratio_difference(g, ("ha", "na"), ("hb", "nb"), reps, "r08"), "diff")

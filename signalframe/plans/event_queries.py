@@ -269,7 +269,7 @@ def g03(spark, d):
 
 @query("g05_offer_positions", offline_sql("true", [0.6], "SELECT grp, idx FROM g WHERE fire"))
 def g05(spark, d):
-    return gate.replay(views.binary_predictions(spark, d), [0.6]).select("grp", F.explode("fired").alias("idx"))
+    return gate.offers(views.binary_predictions(spark, d), [0.6]).select("grp", "idx")
 
 
 def deployed_sql(ok: str, floors: list[float], variants: list[tuple[bool, bool]], tail: str) -> str:
@@ -303,7 +303,7 @@ def g04(spark, d):
 @query("w18_offer_spacing", deployed_sql("true", [0.6], [(True, False)], """, o AS (SELECT grp, idx, idx - lag(idx) OVER (PARTITION BY grp ORDER BY idx) AS gap, idx - row_number() OVER (PARTITION BY grp ORDER BY idx) AS island FROM g WHERE fire),
 n AS (SELECT grp, island, count(*) AS n FROM o GROUP BY ALL) SELECT o.grp, count(*) AS offers, round(avg(CAST(coalesce(gap < 3, false) AS INTEGER)), 6) AS close_share, max(m.longest) AS longest FROM o JOIN (SELECT grp, max(n) AS longest FROM n GROUP BY grp) m ON o.grp = m.grp GROUP BY o.grp"""))
 def w18(spark, d):
-    o = gate.replay(views.binary_predictions(spark, d), [0.6], "deployed", variants=[(True, False)]).select("grp", F.explode("fired").alias("idx"))
+    o = gate.offers(views.binary_predictions(spark, d), [0.6], "deployed", variants=[(True, False)]).select("grp", "idx")
     w = Window.partitionBy("grp").orderBy("idx")
     o = o.withColumn("close", F.coalesce(F.col("idx") - F.lag("idx").over(w) < 3, F.lit(False))).withColumn("island", F.col("idx") - F.row_number().over(w))
     runs = o.groupBy("grp", "island").agg(F.count(F.lit(1)).alias("n"), F.count_if("close").alias("close"))

@@ -175,7 +175,7 @@ def r07(spark, d):
     """Per-group offers and hits are counted once and summed by multiplicity: a gate starts anew in each group."""
     from ..operators import gate
 
-    g = gate.replay(views.binary_predictions(spark, d), [0.6]).select("grp", F.size("fired").alias("offers"), "correct")
+    g = gate.replay(views.binary_predictions(spark, d), [0.6]).select("grp", "offers", "correct")
     return rounded(resampling.interval(resampling.bootstrap_ratio(g, "correct", "offers", FULL_BOOT, "r07"), "ratio"), "low", "high")
 
 

@@ -22,17 +22,53 @@ def offline(p, floor, least=2, cooldown=3):
     return fired
 
 
-def test_offline_gate_equals_a_loop(spark):
+def deployed(readings, floor, persistence, cooling, cooldown=3):
+    fired, before, last = [], -1, None
+    for k, (p, ok) in enumerate(readings):
+        now = int(p is not None and p >= 0.5)
+        if ok and now and p >= floor and (not persistence or before == 1) and (not cooling or last is None or k - last >= cooldown):
+            fired.append(k)
+            last = k
+        before = now if ok else before
+    return fired
+
+
+@pytest.fixture(params=[(4096, 1024), (7, 3), (1, 2)])
+def gate_blocks(request, monkeypatch):
+    monkeypatch.setattr(gate, "BLOCK", request.param[0])
+    monkeypatch.setattr(gate, "STEP", request.param[1])
+
+
+def test_offline_gate_equals_a_loop(spark, gate_blocks):
     rng = random.Random(2)
     seqs = {g: [round(rng.random(), 3) for _ in range(40)] for g in range(6)}
-    rows = spark.createDataFrame([(g, k, p, 1) for g, s in seqs.items() for k, p in enumerate(s)], "grp long, idx long, p double, y int")
-    for r in gate.replay(rows, [0.3, 0.6]).collect():
-        assert r.fired == offline(seqs[r.grp], r.floor)
+    rows = spark.createDataFrame([(g, k, p, int(p * 1000) % 2) for g, s in seqs.items() for k, p in enumerate(s)], "grp long, idx long, p double, y int")
+    counts, positions = gate.replay(rows, [0.3, 0.6]).collect(), gate.offers(rows, [0.3, 0.6]).collect()
+    assert len(counts) == 12
+    for r in counts:
+        want = offline(seqs[r.grp], r.floor)
+        assert sorted(x.idx for x in positions if (x.grp, x.floor) == (r.grp, r.floor)) == want
+        hits = [k for k in want if int(seqs[r.grp][k] * 1000) % 2]
+        assert (r.n, r.offers, r.correct) == (40, len(want), len(hits))
+        assert sorted(x.idx for x in positions if (x.grp, x.floor) == (r.grp, r.floor) and x.correct) == hits
+
+
+def test_deployed_gate_equals_a_loop(spark, gate_blocks):
+    rng = random.Random(9)
+    seqs = {g: [(None if rng.random() < 0.05 else round(rng.random(), 3), rng.random() < 0.8) for _ in range(33)] for g in range(5)}
+    rows = spark.createDataFrame([(g, k, p, 1, ok) for g, s in seqs.items() for k, (p, ok) in enumerate(s)], "grp long, idx long, p double, y int, ok boolean")
+    variants = [(True, True), (True, False), (False, True), (False, False)]
+    for found in (gate.offers(rows, [0.3, 0.6], "deployed", variants=variants).collect(),):
+        for g, s in seqs.items():
+            for floor in (0.3, 0.6):
+                for v in variants:
+                    assert sorted(r.idx for r in found if (r.grp, r.floor, r.persistence, r.cooling) == (g, floor, *v)) == deployed(s, floor, *v)
 
 
 def test_deployed_gate_waits_three_cycles(spark):
     rows = spark.createDataFrame([(1, k, 0.9, k % 2) for k in range(8)], "grp long, idx long, p double, y int")
-    assert gate.replay(rows, [0.5], "deployed").first().fired == [1, 4, 7]
+    assert sorted(r.idx for r in gate.offers(rows, [0.5], "deployed").collect()) == [1, 4, 7]
+    assert gate.replay(rows.limit(0), [0.5]).count() == 0 and gate.offers(rows.limit(0), [0.5]).count() == 0
 
 
 def test_stream_gives_the_offers_of_the_batch(spark, tmp_path):
@@ -46,7 +82,7 @@ def test_stream_gives_the_offers_of_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = gates.offers(stream, 0.4).writeStream.format("memory").queryName("offers").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    batch = gate.replay(spark.createDataFrame(rows, schema), [0.4]).select("grp", F.explode("fired").alias("idx"))
+    batch = gate.offers(spark.createDataFrame(rows, schema), [0.4]).select("grp", "idx")
     assert sorted(map(tuple, spark.table("offers").collect())) == sorted(map(tuple, batch.collect()))
 
 
