@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BLOCK, STEP, CELLS = 4096, 1024, 1 << 20
 
 GRID = ["floor", "persistence", "cooling"]
-TABLES = "grp long, part long, floor double, persistence boolean, cooling boolean, n long, ends array<int>, offers array<long>, correct array<long>"
+TABLES = "part long, floor double, persistence boolean, cooling boolean, n long, positives long, ends array<int>, offers array<long>, correct array<long>"
 
 
 class Automaton:
@@ -59,12 +59,16 @@ class Automaton:
         return np.where(there[:, :, None], seen, self.next.shape[1] - 1)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(grp, part, s): the readings of a block in order, at most BLOCK of them, as idx counts a group's readings."""
+def _longs(keys: list[str]) -> str:
+    return ", ".join(f"{k} long" for k in keys)
+
+
+def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part, s): the readings of a block in order, at most BLOCK of them, as idx counts a group's readings."""
     if "ok" not in rows.columns:
         rows = rows.withColumn("ok", F.lit(True))
     each = F.struct(F.col("idx").cast("long").alias("idx"), F.col("p").cast("double").alias("p"), (F.col("y") == 1).alias("y"), "ok")
-    return rows.groupBy(F.col("grp").cast("long").alias("grp"), F.floor(F.col("idx") / BLOCK).alias("part")).agg(F.array_sort(F.collect_list(each)).alias("s"))
+    return rows.groupBy(*[F.col(k).cast("long").alias(k) for k in keys], F.floor(F.col("idx") / BLOCK).alias("part")).agg(F.array_sort(F.collect_list(each)).alias("s"))
 
 
 def _padded(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
@@ -81,7 +85,7 @@ def _padded(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
     return *out, there
 
 
-def _tables(rows: DataFrame, auto: Automaton, floors: list[float]) -> DataFrame:
+def _tables(rows: DataFrame, keys: list[str], auto: Automaton, floors: list[float]) -> DataFrame:
     """One row a block and grid point: for each state that the block may begin in, its end, offers and correct offers."""
     levels, (variants, _, states) = np.array(floors, float), auto.next.shape
 
@@ -90,7 +94,7 @@ def _tables(rows: DataFrame, auto: Automaton, floors: list[float]) -> DataFrame:
             most = max(1, CELLS // (len(levels) * variants * states))
             for begin in range(0, batch.num_rows, most):
                 some = batch.slice(begin, most)
-                _, p, y, ok, there = _padded(some.column(2))
+                _, p, y, ok, there = _padded(some.column(len(keys) + 1))
                 seen = auto.symbols(p, ok, there, levels)
                 shape = (some.num_rows, len(levels), variants, states)
                 state = np.broadcast_to(np.arange(states), shape).copy()
@@ -105,10 +109,10 @@ def _tables(rows: DataFrame, auto: Automaton, floors: list[float]) -> DataFrame:
                 each = pa.array(np.repeat(np.arange(some.num_rows), grid))
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, state.size + 1, states, dtype=np.int32)), pa.array(x.ravel())) for x in (state.astype(np.int32), offers, correct)]
                 flags = [np.tile(np.array([x[k] for x in auto.variants]), some.num_rows * len(levels)) for k in (0, 1)]
-                columns = [some.column(0).take(each), some.column(1).take(each), pa.array(np.tile(np.repeat(levels, variants), some.num_rows)), *map(pa.array, flags), pa.array(np.repeat(there.sum(1), grid)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["grp", "part", *GRID, "n", "ends", "offers", "correct"])
+                columns = [*[c.take(each) for c in some.columns[:-1]], pa.array(np.tile(np.repeat(levels, variants), some.num_rows)), *map(pa.array, flags), *[pa.array(np.repeat(x.sum(1), grid)) for x in (there, y)], *lists]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "part", *GRID, "n", "positives", "ends", "offers", "correct"])
 
-    return _blocks(rows).mapInArrow(run, TABLES)
+    return _blocks(rows, keys).mapInArrow(run, f"{_longs(keys)}, {TABLES}")
 
 
 def _walked(parts: Column, state: Column) -> Column:
@@ -118,35 +122,35 @@ def _walked(parts: Column, state: Column) -> Column:
     return F.aggregate(parts, zero, lambda a, r: F.struct(at(r, "ends", a["state"]).alias("state"), (a["offers"] + at(r, "offers", a["state"])).alias("offers"), (a["correct"] + at(r, "correct", a["state"])).alias("correct")))
 
 
-def _gathered(tables: DataFrame, states: int) -> DataFrame:
-    """(grp, grid, n, parts, above): runs of at most STEP tables in order, each with the table of the whole run, in order.
+def _gathered(tables: DataFrame, keys: list[str], states: int) -> DataFrame:
+    """(keys, grid, run, parts, ends, offers, correct, n, positives): runs of at most STEP tables in order, with each run's own table.
 
     One shuffle by group and grid point, whose rows are one table for thousands of readings.
     """
-    own = ["grp", *GRID]
-    part = F.struct("part", "ends", "offers", "correct", "n")
-    runs = tables.repartition(*own).groupBy(*own, F.floor(F.col("part") / STEP).alias("run")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    own = [*keys, *GRID]
+    part = F.struct("part", "ends", "offers", "correct")
+    runs = tables.repartition(*own).groupBy(*own, F.floor(F.col("part") / STEP).alias("run")).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("n").alias("n"), F.sum("positives").alias("positives"))
     walked = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda s: _walked(F.col("parts"), s))
-    runs = runs.withColumn("w", walked).select(*own, "run", "parts", F.col("w.state").alias("ends"), F.col("w.offers").alias("offers"), F.col("w.correct").alias("correct"))
-    return runs.withColumn("n", F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]))
+    return runs.withColumn("w", walked).select(*own, "run", "parts", "n", "positives", F.col("w.state").alias("ends"), F.col("w.offers").alias("offers"), F.col("w.correct").alias("correct"))
 
 
-def replay(rows: DataFrame, floors: list[float], rule: str = "offline", least: int = 2, cooldown: int = 3, variants: list[tuple[bool, bool]] | None = None) -> DataFrame:
-    """(grp, floor, persistence, cooling, n, offers, correct) for every group, floor and variant.
+def replay(rows: DataFrame, floors: list[float], rule: str = "offline", least: int = 2, cooldown: int = 3, variants: list[tuple[bool, bool]] | None = None, keys: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """(grp, floor, persistence, cooling, n, positives, offers, correct) for every group, floor and variant.
 
-    ``rows`` has grp, idx, p, y and optionally ok (a reading is there); idx counts the readings of a group. Readings are
-    shuffled once, by group and block of idx, so that a group with a great share of all rows is spread.
+    ``rows`` has grp, or the ``keys`` of a group, idx, p, y and optionally ok (a reading is there); idx counts the readings
+    of a group. Readings are shuffled once, by group and block of idx, so that a group with a great share of all rows is
+    spread.
     """
-    auto = Automaton(rule, least, cooldown, variants or [(True, True)])
-    runs = _gathered(_tables(rows, auto, floors), auto.next.shape[2])
-    whole = runs.groupBy("grp", *GRID).agg(F.array_sort(F.collect_list(F.struct("run", "ends", "offers", "correct"))).alias("runs"), F.sum("n").alias("n"))
-    return whole.withColumn("o", _walked(F.col("runs"), F.lit(0))).select("grp", *GRID, "n", "o.offers", "o.correct")
+    auto, keys = Automaton(rule, least, cooldown, variants or [(True, True)]), list(keys)
+    runs = _gathered(_tables(rows, keys, auto, floors), keys, auto.next.shape[2])
+    whole = runs.groupBy(*keys, *GRID).agg(F.array_sort(F.collect_list(F.struct("run", "ends", "offers", "correct"))).alias("runs"), F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+    return whole.withColumn("o", _walked(F.col("runs"), F.lit(0))).select(*keys, *GRID, "n", "positives", "o.offers", "o.correct")
 
 
 def offers(rows: DataFrame, floors: list[float], rule: str = "offline", least: int = 2, cooldown: int = 3, variants: list[tuple[bool, bool]] | None = None) -> DataFrame:
     """(grp, floor, persistence, cooling, idx, correct) of every offer: blocks are replayed from the states they begin in."""
-    auto = Automaton(rule, least, cooldown, variants or [(True, True)])
-    runs = _gathered(_tables(rows, auto, floors), auto.next.shape[2])
+    auto, keys = Automaton(rule, least, cooldown, variants or [(True, True)]), ["grp"]
+    runs = _gathered(_tables(rows, keys, auto, floors), keys, auto.next.shape[2])
 
     def begins(parts: Column, state: Column, key: str) -> Column:
         """(key, state) of the beginning of each of the ordered tables."""
@@ -174,7 +178,7 @@ def offers(rows: DataFrame, floors: list[float], rule: str = "offline", least: i
                 each = pa.array(r)
                 yield pa.RecordBatch.from_arrays([some.column(0).take(each), *[some.column(c).take(each) for c in (1, 2, 3)], pa.array(idx[r, t]), pa.array(y[r, t])], ["grp", *GRID, "idx", "correct"])
 
-    both = _blocks(rows).join(starts, ["grp", "part"]).select("grp", *GRID, "state", "s")
+    both = _blocks(rows, keys).join(starts, ["grp", "part"]).select("grp", *GRID, "state", "s")
     return both.mapInArrow(positions, "grp long, floor double, persistence boolean, cooling boolean, idx long, correct boolean")
 
 

@@ -42,10 +42,10 @@ def bootstrap_auc(rows: DataFrame, reps: int, seed: str, scores: list[str]) -> D
     return out
 
 
-def interval(values: DataFrame, column: str) -> DataFrame:
-    """(low, high, kept): the central 95 %, and how many repetitions counted."""
+def interval(values: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys, low, high, kept): the central 95 %, and how many repetitions counted."""
     q = F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))
-    return values.agg(q.alias("q"), F.count(column).alias("kept")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "kept")
+    return values.groupBy(*keys).agg(q.alias("q"), F.count(column).alias("kept")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "kept")
 
 
 def bootstrap_ratio(per_group: DataFrame, hit: str, n: str, reps: int, seed: str) -> DataFrame:
@@ -54,6 +54,12 @@ def bootstrap_ratio(per_group: DataFrame, hit: str, n: str, reps: int, seed: str
     return drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col(hit) * F.col("times")), F.sum(F.col(n) * F.col("times"))).alias("ratio"))
 
 
+def bootstrap_ratio_by(per_group: DataFrame, key: str, hit: str, n: str, reps: int, seed: str) -> DataFrame:
+    """(key, rep, ratio): as bootstrap_ratio for every value of ``key``, which each group has once, with the same draws."""
+    drawn = per_group.join(cluster_draws(per_group.select("grp").distinct(), reps, seed), "grp")
+    return drawn.groupBy(key, "rep").agg(F.try_divide(F.sum(F.col(hit) * F.col("times")), F.sum(F.col(n) * F.col("times"))).alias("ratio"))
+
+
 def bootstrap_ratio_difference(per_group: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: str) -> DataFrame:
     """(rep, diff): the ratio of the counts ``b`` less that of ``a``, over the same drawn groups; null where either is."""
     drawn = per_group.join(cluster_draws(per_group.select("grp"), reps, seed), "grp")

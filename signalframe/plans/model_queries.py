@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting
+from ..operators import boosting, floors, gate, resampling
 from ..sources import views
-from ..sources.views import DAY, EV
-from .event_queries import rounded
+from ..sources.views import DAY, EV, PRED_BIN
+from .event_queries import FLOORS, offline_sql, rounded
+from .prediction_queries import DRAWS, FULL_BOOT, REPS
 from .registry import query
 
 SPAN = 3 * DAY
@@ -84,3 +85,92 @@ def l05(spark, d):
     """Every window scored by the model that saw no window of its session, after two rounds; all sessions' models in one pass a level."""
     rows, boosted = windows_fit(spark, d, FEW, hold_out=True)
     return rounded(boosting.scored(boosted, rows).select("id", "grp", F.col("p")[1].alias("p")), "p")
+
+
+TARGET, LEAST, LIFT = 0.25, 5, 1.1
+BY_GROUP = ", rg AS (SELECT grp, floor, count(*) FILTER (fire) AS offers, sum(hit)::BIGINT AS correct FROM g WHERE idx >= 0 GROUP BY grp, floor), base AS (SELECT grp, count(*) AS n, sum(y)::BIGINT AS positives FROM pb GROUP BY grp)"
+LOPO = f"""{BY_GROUP}, al AS (SELECT floor, sum(offers) AS o, sum(correct) AS c FROM rg GROUP BY floor), rest AS (SELECT grp, floor, (c - correct) / nullif(o - offers, 0) AS precision FROM rg JOIN al USING (floor)),
+pick AS (SELECT grp, coalesce(min(floor) FILTER (precision >= {TARGET}), arg_max(floor, (precision, -floor)) FILTER (precision IS NOT NULL)) AS floor FROM rest GROUP BY grp) SELECT grp, floor, offers, correct FROM pick JOIN rg USING (grp, floor)"""
+
+
+@query("g07_leave_one_out_floors", offline_sql("true", FLOORS, LOPO))
+def g07(spark, d):
+    """Each participant at the lowest floor that reaches a precision of 0.25 over all others."""
+    return floors.leave_one_out(gate.replay(views.binary_predictions(spark, d), FLOORS), TARGET)
+
+
+SELECTED = f"""{BY_GROUP}, tr AS (SELECT floor, sum(offers) AS offers, sum(correct) / nullif(sum(offers), 0) AS precision FROM rg WHERE grp % 10 < 7 GROUP BY floor),
+pk AS (SELECT 'primary' AS rule, coalesce(min(floor) FILTER (precision >= {TARGET}), arg_max(floor, (precision, -floor)) FILTER (precision IS NOT NULL)) AS floor FROM tr UNION ALL SELECT 'lift', arg_max(floor, (precision, -floor)) FILTER (offers >= {LEAST} AND precision IS NOT NULL) FROM tr),
+te AS (SELECT floor, sum(offers)::BIGINT AS offers, sum(correct)::BIGINT AS correct, sum(positives) / sum(n) AS b FROM rg JOIN base USING (grp) WHERE grp % 10 >= 7 GROUP BY floor)
+SELECT rule, floor, offers, correct, round(correct / nullif(offers, 0), 6) AS precision, round(correct / nullif(offers, 0) / b, 6) AS lift FROM pk JOIN te USING (floor)"""
+
+
+@query("g07_selected_floors", offline_sql("true", FLOORS, SELECTED))
+def g07_selected(spark, d):
+    """Floors chosen on seven of ten participants by both rules, on the other three."""
+    rows = gate.replay(views.binary_predictions(spark, d), FLOORS)
+    train = F.pmod("grp", F.lit(10)) < 7
+    return rounded(floors.selected(rows.filter(train), rows.filter(~train), TARGET, LEAST), "precision", "lift")
+
+
+# outer folds hold a twentieth of the participants out, inner folds a fifth of the others; an inner score is the reading's
+# score times how much commoner positives are among the rows that its inner fold may learn from
+NESTED = f"""WITH RECURSIVE {PRED_BIN}, ou AS (SELECT CAST(i AS BIGINT) AS o FROM range({SESSIONS}) t(i)), fo AS (SELECT *, grp % {SESSIONS} AS o, grp // {SESSIONS} % 5 AS f FROM pb),
+ra AS (SELECT ou.o, i.i AS f, (sum(y) FILTER (fo.f <> i.i) / count(*) FILTER (fo.f <> i.i)) / (sum(y) / count(*)) AS r FROM ou, range(5) i(i), fo WHERE fo.o <> ou.o GROUP BY ou.o, i.i),
+r0 AS MATERIALIZED (SELECT ra.o, fo.grp, fo.idx, fo.y, round(least(1, p * r), 6) AS p, true AS inside FROM fo JOIN ra ON fo.f = ra.f AND fo.o <> ra.o UNION ALL SELECT o, grp, idx, y, p, false FROM fo), fl AS (SELECT unnest({FLOORS})::DOUBLE AS floor),
+g AS (SELECT o, grp, floor, CAST(-1 AS BIGINT) AS idx, 0 AS streak, 0 AS cool, false AS fire, 0 AS hit, inside FROM (SELECT DISTINCT o, grp, inside FROM r0), fl
+  UNION ALL
+  SELECT o, grp, floor, idx, CASE WHEN fire THEN 0 ELSE streak END, CASE WHEN fire THEN 3 WHEN cool > 0 THEN cool - 1 ELSE 0 END, fire, CASE WHEN fire AND y = 1 THEN 1 ELSE 0 END, inside
+  FROM (SELECT *, cool = 0 AND p >= floor AND streak >= 2 AS fire FROM (
+    SELECT g.o, g.grp, g.floor, g.inside, r0.idx, r0.p, r0.y, g.cool, CASE WHEN r0.p >= g.floor THEN g.streak + 1 ELSE 0 END AS streak FROM g JOIN r0 ON g.grp = r0.grp AND g.o = r0.o AND g.inside = r0.inside AND r0.idx = g.idx + 1))),
+rg AS (SELECT o, floor, inside, count(*) FILTER (fire) AS offers, sum(hit)::BIGINT AS correct FROM g WHERE idx >= 0 GROUP BY o, floor, inside),
+ba AS (SELECT o, inside, sum(y)::BIGINT AS positives, count(*) AS n FROM r0 GROUP BY o, inside),
+pk AS (SELECT o, coalesce(min(floor) FILTER (offers >= 10 AND correct / offers >= {LIFT} * (positives / n)), max(floor)) AS floor FROM rg JOIN ba USING (o, inside) WHERE inside GROUP BY o),
+ne AS (SELECT o AS "outer", floor, offers, correct, n, positives FROM pk JOIN rg USING (o, floor) JOIN ba USING (o, inside) WHERE NOT inside)
+"""
+
+
+def inner_scores(spark, d):
+    rows = views.binary_predictions(spark, d).withColumn("own", F.pmod("grp", F.lit(SESSIONS))).withColumn("f", F.floor(F.col("grp") / SESSIONS) % 5)
+    # the sums of the others are all sums less the outer fold's, and of these less the inner fold's: one pass, no pairs of rows
+    sums = rows.groupBy("own", "f").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("c"))
+    outer, every = sums.groupBy(F.col("own").alias("outer")).agg(F.sum("s").alias("so"), F.sum("c").alias("co")), sums.agg(F.sum("s").alias("sa"), F.sum("c").alias("ca"))
+    by_fold = sums.groupBy("f").agg(F.sum("s").alias("sf"), F.sum("c").alias("cf"))
+    of = sums.select(F.col("own").alias("outer"), "f", F.col("s").alias("sb"), F.col("c").alias("cb"))
+    r = F.broadcast(by_fold).join(F.broadcast(outer).crossJoin(F.broadcast(every))).join(of, ["outer", "f"], "left").na.fill(0)  # folds times folds
+    others, counted = F.col("sa") - F.col("so"), F.col("ca") - F.col("co")
+    r = r.select("outer", "f", ((others - F.col("sf") + F.col("sb")) / (counted - F.col("cf") + F.col("cb")) / (others / counted)).alias("r"))
+    inner = rows.join(F.broadcast(r), "f").filter("own <> outer").select("outer", "grp", "idx", "y", F.round(F.least(F.lit(1.0), F.col("p") * F.col("r")), 6).alias("p"))
+    return inner, rows.select(F.col("own").alias("outer"), "grp", "idx", "y", "p")
+
+
+@query("g07_nested_floors", NESTED + "SELECT * FROM ne")
+def g07_nested(spark, d):
+    return floors.nested(*inner_scores(spark, d), FLOORS, LIFT, 10)
+
+
+NESTED_INTERVAL = f""", t AS (SELECT sum(offers)::BIGINT AS offers, sum(correct)::BIGINT AS correct, sum(correct) / nullif(sum(offers), 0) AS precision, sum(positives) / sum(n) AS base FROM ne), ps AS (SELECT "outer" AS grp, offers, correct FROM ne), {DRAWS.format(src='ps', seed='r11', reps=REPS)},
+q AS (SELECT rep, sum(correct * times) / nullif(sum(offers * times), 0) AS ratio FROM ps JOIN dm USING (grp) GROUP BY rep)
+SELECT offers, correct, round(precision, 6) AS precision, round(base, 6) AS base, round(precision / base, 6) AS lift, (SELECT round(quantile_cont(ratio, 0.025), 5) FROM q) AS low, (SELECT round(quantile_cont(ratio, 0.975), 5) FROM q) AS high, (SELECT count(ratio) FROM q) AS kept FROM t"""
+
+
+@query("r11_nested_bootstrap", NESTED.rstrip() + NESTED_INTERVAL)
+def r11(spark, d, reps=REPS):
+    """The nested floors' precision and lift, with its interval over drawn outer folds."""
+    return rounded(rounded(floors.nested_interval(g07_nested(spark, d), reps, "r11"), "precision", "base", "lift"), "low", "high", places=5)
+
+
+@query("r11_nested_bootstrap_full")
+def r11_full(spark, d):
+    return r11(spark, d, FULL_BOOT)
+
+
+INTERVALS = f"""{BY_GROUP}, {DRAWS.format(src='rg', seed='g06', reps=REPS)}, q AS (SELECT floor, rep, sum(correct * times) / nullif(sum(offers * times), 0) AS ratio FROM rg JOIN dm USING (grp) GROUP BY floor, rep)
+SELECT floor, round(quantile_cont(ratio, 0.025), 5) AS low, round(quantile_cont(ratio, 0.975), 5) AS high, count(ratio) AS kept FROM q GROUP BY floor"""
+
+
+@query("g06_sweep_intervals", offline_sql("true", FLOORS, INTERVALS))
+def g06_intervals(spark, d):
+    """The interval of every floor's precision, with the same draws of participants for all floors."""
+    ratios = resampling.bootstrap_ratio_by(gate.replay(views.binary_predictions(spark, d), FLOORS), "floor", "correct", "offers", REPS, "g06")
+    return rounded(resampling.interval(ratios, "ratio", "floor"), "low", "high", places=5)
