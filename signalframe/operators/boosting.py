@@ -14,12 +14,14 @@ from ..session import dropped, kept
 
 #: Gradients and hessians are whole numbers of this part, so that their sums don't depend on any order.
 UNIT = 1 << 30
+NONE = -(1 << 63)
 #: The code of a missing value, which goes right at every split.
 MISSING = 255
 #: Bytes of a task's sums; more models than these hold are fitted in further passes. Trees after which scores are written.
 SUM_BYTES, SCORES_EVERY = 64 << 20, 16
 
-BINNED = "id long, grp long, y int, codes binary, raw binary"
+BINNED = "id long, grp long, only long, y int, codes binary, raw binary"
+COLUMNS = ["id", "grp", "only", "y", "codes", "raw"]
 SUMS = "model int, node int, feature int, bin int, g long, h long, n long"
 
 
@@ -108,8 +110,8 @@ def even_edges(rows: DataFrame, features: list[str], bins: int) -> list[list[flo
     return out
 
 
-def binned(rows: DataFrame, features: list[str], edges: list[list[float]], group: str, y: str | None = "y", id_: str = "id") -> DataFrame:
-    """(id, grp, y, codes, raw): each feature's bin as one byte; nulls and NaN have a code of their own."""
+def binned(rows: DataFrame, features: list[str], edges: list[list[float]], group: str, y: str | None = "y", id_: str = "id", only: str | None = None) -> DataFrame:
+    """(id, grp, only, y, codes, raw): each feature's bin as one byte; nulls and NaN have a code of their own."""
     table = [np.array(e) for e in edges]
     if any(len(e) >= MISSING for e in table):
         raise ValueError(f"a feature has more than {MISSING - 1} edges")
@@ -118,20 +120,24 @@ def binned(rows: DataFrame, features: list[str], edges: list[list[float]], group
         for batch in batches:
             codes = np.empty((batch.num_rows, len(table)), np.uint8)
             for k, e in enumerate(table):
-                x = batch.column(3 + k).to_numpy(zero_copy_only=False).astype(np.float64)
+                x = batch.column(4 + k).to_numpy(zero_copy_only=False).astype(np.float64)
                 codes[:, k] = np.where(np.isnan(x), MISSING, np.searchsorted(e, x, "left"))
             packed = pa.array([r.tobytes() for r in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), packed, pa.array([b""] * batch.num_rows, pa.binary())], ["id", "grp", "y", "codes", "raw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, pa.array([b""] * batch.num_rows, pa.binary())], COLUMNS)
 
-    mark = F.col(y).cast("int") if y else F.lit(None).cast("int")
-    return rows.select(F.col(id_).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), mark.alias("y"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]).mapInArrow(encode, BINNED)
+    mark, seen = F.col(y).cast("int") if y else F.lit(None).cast("int"), F.col(only).cast("long") if only else F.lit(None).cast("long")
+    return rows.select(F.col(id_).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), seen.alias("only"), mark.alias("y"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]).mapInArrow(encode, BINNED)
 
 
 def _unpacked(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    grp = batch.column(1)
-    none = grp.is_null().to_numpy(zero_copy_only=False)
-    codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, width)
-    return np.where(none, np.iinfo(np.int64).min, grp.fill_null(0).to_numpy(zero_copy_only=False)), batch.column(2).to_numpy(zero_copy_only=False), codes
+    """Groups, the only model that sees a row, and codes; nulls are the least whole number, which no model holds out."""
+    whole = lambda c: c.fill_null(NONE).to_numpy(zero_copy_only=False)
+    codes = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, width)
+    return whole(batch.column(1)), whole(batch.column(2)), codes
+
+
+def _raw(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(5).to_pylist())).reshape(batch.num_rows, -1)
 
 
 def gradients(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +162,10 @@ def level_sums(rows: DataFrame, models: list[Model], growing: list[list[Tree]],
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(models), outputs, nodes, width, 256, 3), np.int64)
         for batch in batches:
-            grp, y, codes = _unpacked(batch, width)
-            stored = np.frombuffer(b"".join(batch.column(4).to_pylist())).reshape(batch.num_rows, -1) if done else None
+            grp, only, codes = _unpacked(batch, width)
+            y, stored = batch.column(3).to_numpy(zero_copy_only=False), _raw(batch) if done else None
             for m, model in enumerate(models):
-                own = np.arange(len(grp)) if model.held is None else np.flatnonzero(grp != model.held)
+                own = np.flatnonzero(only == NONE) if model.held is None else np.flatnonzero((grp != model.held) & ((only == NONE) | (only == model.held)))
                 c, label = codes[own], y[own].astype(np.int64)
                 raw = model.raw(c, done)
                 if raw.shape[1] != outputs:
@@ -231,16 +237,16 @@ def with_raw(rows: DataFrame, models: list[Model], done: int, width: int, output
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, codes = _unpacked(batch, width)
+            codes = _unpacked(batch, width)[2]
             raw = np.concatenate([m.raw(codes, done) for m in models], 1) if batch.num_rows else np.zeros((0, len(models) * outputs))
             if done and batch.num_rows:
-                raw = raw + np.frombuffer(b"".join(batch.column(4).to_pylist())).reshape(raw.shape)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "grp", "y", "codes", "raw"])
+                raw = raw + _raw(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([r.tobytes() for r in raw], pa.binary())], COLUMNS)
 
     return rows.mapInArrow(add, BINNED)
 
 
-def fitted(rows: DataFrame, features: list[str], *, group: str = "grp", hold_out: bool = False, classes: int = 2, bins: int = 255, edges: list[list[float]] | None = None, settings: Settings = Settings(), id_: str = "id", y: str = "y") -> Boosted:  # noqa: B008
+def fitted(rows: DataFrame, features: list[str], *, group: str = "grp", hold_out: bool = False, classes: int = 2, bins: int = 255, edges: list[list[float]] | None = None, settings: Settings = Settings(), id_: str = "id", y: str = "y", only: str | None = None) -> Boosted:  # noqa: B008
     """Boosted trees on all rows, or with ``hold_out`` one model for each group that sees all rows but that group's.
 
     All models grow side by side: a level of all their trees is one pass over the rows, so the passes don't grow with the
@@ -248,16 +254,23 @@ def fitted(rows: DataFrame, features: list[str], *, group: str = "grp", hold_out
     class), come from one count by group and class, less the group's own. A model whose rows have one class alone isn't
     fitted. The edges come from all rows, without their labels. Groups must be few, as each has a model on the driver.
 
-    Sums are of whole numbers, so the same rows give the same trees in any partitioning. Rows without y are left out;
+    A row whose column ``only`` isn't null is there for the model that holds that group out alone: so rows may differ from
+    fold to fold. Sums are of whole numbers, so the same rows give the same trees in any partitioning. Rows without y are left out;
     missing features go right at every split. A tree without any gain stays a leaf, and such rounds end the model.
     """
     s, edges = settings, edges if edges is not None else quantile_edges(rows, features, bins)
-    work = kept(binned(rows.filter(F.col(y).isNotNull()), features, edges, group, y, id_), "boosted-rows")
-    counts = {(r.grp, r.y): r.n for r in work.groupBy("grp", "y").agg(F.count(F.lit(1)).alias("n")).collect()}  # groups times classes
-    total = [sum(n for (_, c), n in counts.items() if c == k) for k in range(classes)]
+    work = kept(binned(rows.filter(F.col(y).isNotNull()), features, edges, group, y, id_, only), "boosted-rows")
+    counts = work.groupBy("only", "grp", "y").agg(F.count(F.lit(1)).alias("n")).collect()  # groups times classes, by fold where rows differ
+    groups = sorted({r.grp for r in counts if r.grp is not None}) if hold_out else [None]
+    sizes = {(o, k): 0 for o in (None, *groups) for k in range(classes)}
+    own = {(g, k): 0 for g in groups for k in range(classes)}
+    for r in counts:
+        sizes[r.only, r.y] += r.n if r.only is None or r.grp != r.only else 0
+        if r.only is None and hold_out and r.grp is not None:
+            own[r.grp, r.y] += r.n
     models = []
-    for g in sorted({g for g, _ in counts if g is not None}) if hold_out else [None]:
-        n = [t - counts.get((g, k), 0) if hold_out else t for k, t in enumerate(total)]
+    for g in groups:
+        n = [sizes[None, k] + (sizes[g, k] - own[g, k] if hold_out else 0) for k in range(classes)]
         if sum(x > 0 for x in n) > 1:
             models.append(Model(g, [sum(n) / (sum(x > 0 for x in n) * x) if s.balanced and x else 1.0 for x in n]))
     outputs = 1 if classes == 2 else classes
@@ -281,13 +294,16 @@ def fitted(rows: DataFrame, features: list[str], *, group: str = "grp", hold_out
     return Boosted(models, features, edges, classes, s)
 
 
-def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str = "id") -> DataFrame:
+def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str = "id", only: str | None = None) -> DataFrame:
     """(id, grp, p): class probabilities by the model that held the row's group out, or by the only model.
 
-    Rows may be another matrix than the one fitted, with the same features. A group whose model isn't there gets null.
+    Rows may be another matrix than the one fitted, with the same features. A group whose model isn't there gets null. Of
+    rows that are there for one model alone, those of its own group are scored, and the others left out.
     """
     width = len(boosted.features)
     by = {m.held: m for m in boosted.models}
+    if only:
+        rows = rows.filter(F.col(only).isNull() | (F.col(only) == F.col(group)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +322,7 @@ def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str =
                     out[i] = v
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["id", "grp", "p"])
 
-    return binned(rows, boosted.features, boosted.edges, group, None, id_).mapInArrow(score, "id long, grp long, p array<double>")
+    return binned(rows, boosted.features, boosted.edges, group, None, id_, only).mapInArrow(score, "id long, grp long, p array<double>")
 
 
 def nodes(boosted: Boosted) -> list[tuple]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, floors, gate, resampling
+from ..operators import boosting, floors, gate, metrics, normalise, resampling
 from ..sources import views
 from ..sources.views import DAY, EV, PRED_BIN
 from .event_queries import FLOORS, offline_sql, rounded
@@ -87,6 +87,38 @@ def l05(spark, d):
     return rounded(boosting.scored(boosted, rows).select("id", "grp", F.col("p")[1].alias("p")), "p")
 
 
+CAUSAL = ["n", "mean", "high"]
+CAUSAL_SQL = f"""WITH {WINDOWED}, ot AS (SELECT h.grp AS held, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in CAUSAL)} FROM (SELECT DISTINCT grp FROM wt) h JOIN wt ON wt.grp <> h.grp GROUP BY h.grp),
+pa AS (SELECT id, grp, {', '.join(CAUSAL)}, row_number() OVER (PARTITION BY participant ORDER BY w) AS rn, {', '.join(f'avg({c}) OVER p AS pm_{c}, var_pop({c}) OVER p AS pv_{c}' for c in CAUSAL)} FROM wt WINDOW p AS (PARTITION BY participant ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT id, {', '.join(f"round(({c} - CASE WHEN rn <= 4 THEN m_{c} ELSE pm_{c} END) / CASE WHEN CASE WHEN rn <= 4 THEN v_{c} ELSE pv_{c} END < 1e-18 THEN 1 ELSE sqrt(CASE WHEN rn <= 4 THEN v_{c} ELSE pv_{c} END) END, 5) AS {c}_z" for c in CAUSAL)} FROM pa JOIN ot ON pa.grp = ot.held"""
+
+
+def causal_windows(spark, d, columns):
+    return normalise.causal_by_fold(labelled_windows(spark, d), columns, "participant", "w", "grp")
+
+
+@query("l06_causal_by_fold", CAUSAL_SQL)
+def l06(spark, d):
+    """Every window's causal scores as its own session's fold sees them: the first four of a participant by the other sessions' moments."""
+    own = causal_windows(spark, d, CAUSAL).filter("only is null or only = grp")
+    return rounded(own.select("id", *[f"{c}_z" for c in CAUSAL]), *[f"{c}_z" for c in CAUSAL], places=5)
+
+
+@query("l06_leave_one_group_out")
+def l06_arms(spark, d):
+    """The pooled held-out AUC of the windows as they are, and normalised causally within each fold."""
+    settings, names = boosting.Settings(rounds=6), [f"{c}_z" for c in CAUSAL]
+    raw, z = labelled_windows(spark, d), causal_windows(spark, d, CAUSAL)
+    arms = [("raw", raw, CAUSAL, None), ("causal", z, names, "only")]
+    out = None
+    for arm, rows, columns, only in arms:
+        boosted = boosting.fitted(rows, columns, hold_out=True, edges=boosting.even_edges(rows, columns, BINS), settings=settings, only=only)
+        p = boosting.scored(boosted, rows, only=only).select("id", F.col("p")[1].alias("p")).join(raw.select("id", "y"), "id").filter("p is not null")
+        one = metrics.auc(p, []).select(F.lit(arm).alias("arm"), F.round("auc", 6).alias("auc"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 TARGET, LEAST, LIFT = 0.25, 5, 1.1
 BY_GROUP = ", rg AS (SELECT grp, floor, count(*) FILTER (fire) AS offers, sum(hit)::BIGINT AS correct FROM g WHERE idx >= 0 GROUP BY grp, floor), base AS (SELECT grp, count(*) AS n, sum(y)::BIGINT AS positives FROM pb GROUP BY grp)"
 LOPO = f"""{BY_GROUP}, al AS (SELECT floor, sum(offers) AS o, sum(correct) AS c FROM rg GROUP BY floor), rest AS (SELECT grp, floor, (c - correct) / nullif(o - offers, 0) AS precision FROM rg JOIN al USING (floor)),
