@@ -7,7 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .audits import not_empty
+from .audits import not_empty, required
+from .metrics import auc
 
 
 def reason(tests: dict[str, Column], kept: str = "kept") -> Column:
@@ -64,10 +65,17 @@ def members(rows: DataFrame, label: str, low: list[str], unusable: str) -> DataF
 
 
 def parity(rows: DataFrame, a: str, b: str, most: float = 1e-4) -> DataFrame:
-    """(n, furthest, r) of two columns that should be the same scores; a larger difference fails the job."""
-    out = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(a) - F.col(b))).alias("furthest"), F.corr(a, b).alias("r"))
-    checked = F.when(F.col("furthest") > most, F.raise_error(F.concat(F.lit(f"{a} and {b} differ by "), F.col("furthest"))).cast("double")).otherwise(F.col("furthest"))
-    return out.withColumn("furthest", checked)
+    """(n, furthest, r) of two columns that should be the same scores; a larger difference, or a null on one side, fails the job."""
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(a) - F.col(b))).alias("furthest"), F.corr(a, b).alias("r"), F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias("lone"))
+    out = required(out, F.col("lone") == 0, F.concat(F.col("lone"), F.lit(f" rows have one of {a} and {b} alone")))
+    return required(out, F.coalesce(F.col("furthest") <= most, F.lit(True)), F.concat(F.lit(f"{a} and {b} differ by "), F.col("furthest"))).drop("lone")
+
+
+def drifted(rows: DataFrame, y: str, a: str, b: str, auc_most: float = 0.005, r_least: float = 0.99) -> DataFrame:
+    """(auc_a, auc_b, gap, r) of two versions of the same scores; fails the job where they drift apart: AUC or correlation."""
+    both = auc(rows, [], y, a).select(F.col("auc").alias("auc_a")).crossJoin(F.broadcast(auc(rows, [], y, b).select(F.col("auc").alias("auc_b"))))
+    out = both.crossJoin(F.broadcast(rows.agg(F.corr(a, b).alias("r")))).select("auc_a", "auc_b", F.abs(F.col("auc_a") - F.col("auc_b")).alias("gap"), "r")  # one row each
+    return required(out, (F.col("gap") <= auc_most) & (F.col("r") >= r_least), F.concat(F.lit(f"{a} and {b} drift: AUC by "), F.col("gap"), F.lit(", r "), F.col("r")))
 
 
 def by_split(rows: DataFrame, split: str, subject: str, why: Column, kept: str = "kept") -> DataFrame:

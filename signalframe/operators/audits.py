@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def required(df: DataFrame, condition: Column, message: Column | str) -> DataFrame:
+    """The rows as they are; the job fails at a row for which the condition is false or null.
+
+    The check is a filter, which stays whatever columns are asked for later, and where rows are only counted.
+    """
+    said = message if isinstance(message, Column) else F.lit(message)
+    return df.filter(F.when(condition, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def _said(text: str, key: str) -> Column:
+    return F.concat(F.lit(text), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+
+
 def aligned(left: DataFrame, right: DataFrame, key: str, *, same: list[str] = ()) -> DataFrame:
     """One-to-one: every key on both sides once, and the columns ``same`` equal; else the job fails and says where."""
     a = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in left.columns if c != key])
@@ -14,18 +27,17 @@ def aligned(left: DataFrame, right: DataFrame, key: str, *, same: list[str] = ()
     ok: Column = (F.coalesce("_n", F.lit(0)) == 1) & (F.coalesce("_m", F.lit(0)) == 1)
     for c in same:
         ok = ok & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    checked = F.when(ok, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} isn't aligned: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
-    return j.withColumn(key, checked.cast(left.schema[key].dataType)).drop("_n", "_m")
+    return required(j, ok, _said(f"{key} isn't aligned: ", key)).drop("_n", "_m")
 
 
 def complete(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """A left join in which every key must be found; else the job fails with the first key that isn't."""
     found = lookup.withColumn("_found", F.lit(True))
-    j = left.join(found, key, "left")
-    return j.withColumn(key, F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no match for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).cast(left.schema[key].dataType)).drop("_found")
+    return required(left.join(found, key, "left"), F.col("_found"), _said(f"no match for {key} ", key)).drop("_found")
 
 
 def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """Refuses a table without rows: looks for one row at once, which runs a small job."""
     if not df.take(1):
         raise ValueError(f"{what} has no rows")
     return df

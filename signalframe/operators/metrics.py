@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audits import required
+
 
 def predicted(rows: DataFrame, p: str = "y_prob") -> DataFrame:
     """y_pred: the first class with the largest probability."""
@@ -21,8 +23,8 @@ def collapsed(rows: DataFrame, members: list[list[int]]) -> DataFrame:
         raise ValueError("a class stands in two groups")
     total = F.array(*[sum((F.col("y_prob")[c] for c in m[1:]), F.col("y_prob")[m[0]]) for m in members])
     of = F.coalesce(*[F.when(F.col("y_true").isin(m), k) for k, m in enumerate(members)])
-    of = F.when(of.isNull() & F.col("y_true").isNotNull(), F.raise_error(F.concat(F.lit("no group holds class "), F.col("y_true"))).cast("int")).otherwise(of)
-    out = rows.withColumn("y_prob", total).withColumn("y_true", of)
+    out = required(rows, of.isNotNull() | F.col("y_true").isNull(), F.concat(F.lit("no group holds class "), F.col("y_true")))
+    out = out.withColumn("y_prob", total).withColumn("y_true", of)
     return predicted(out)
 
 

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import splits
-from .audits import not_empty
+from .audits import not_empty, required
 
 
 def valid(rows: DataFrame, classes: int, y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """The rows as they are; the job fails at a row without ``classes`` finite probabilities or a class in range."""
     wrong = F.when(F.col(p).isNull() | (F.size(p) != classes), "probabilities of another number of classes")
     wrong = wrong.when(F.exists(p, lambda x: x.isNull() | F.isnan(x.cast("double"))), "a probability that is no number")
+    wrong = wrong.when(F.exists(p, lambda x: F.abs(x.cast("double")) == F.lit(float("inf"))), "an infinite probability")
     wrong = wrong.when(F.col(y).isNull() | (F.col(y) < 0) | (F.col(y) >= classes), "a class out of range")
-    kind = rows.schema[y].dataType
-    return rows.withColumn(y, F.when(wrong.isNotNull(), F.raise_error(wrong).cast(kind)).otherwise(F.col(y)))
+    return required(rows, wrong.isNull(), wrong)
 
 
 def saved(rows: DataFrame, path: str, classes: int, **columns: str) -> None:

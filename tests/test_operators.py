@@ -324,3 +324,37 @@ def test_records_are_checked_and_work_goes_on(spark, tmp_path):
             records.valid(spark.createDataFrame([bad], schema), 2).collect()
     assert [r.id for r in records.remaining(rows, rows.filter("id = 1"), "id").collect()] == [2]
     assert records.remaining(rows, None, "id").count() == 2
+
+
+def failing(df):
+    """Every way to ask for the rows: all columns, each alone, and their number."""
+    return [df.collect, df.count, *[df.select(c).collect for c in df.columns]]
+
+
+def test_checks_stay_whatever_columns_are_asked_for(spark):
+    from signalframe.operators import accounting, records
+
+    orders, customers = spark.createDataFrame([(1, "a"), (2, "b")], "k long, o string"), spark.createDataFrame([(1, "m")], "k long, m string")
+    left, right = spark.createDataFrame([(1, 5), (2, 6)], "id long, a int"), spark.createDataFrame([(1, 5), (3, 6)], "id long, a int")
+    record = "y_true int, y_prob array<double>, z int"
+    probabilities = [[(0, [0.5], 1)], [(2, [0.5, 0.5], 1)], [(0, [0.5, float("inf")], 1)], [(None, [0.5, 0.5], 1)]]
+    scores = spark.createDataFrame([(0.1, 0.1), (0.2, None)], "a double, b double")
+    apart = spark.createDataFrame([(0.1, 0.3)], "a double, b double")
+    checked = [audits.complete(orders, customers, "k"), audits.aligned(left, right, "id"), metrics.collapsed(spark.createDataFrame([(3, [0.5, 0.2, 0.1, 0.2])], "y_true int, y_prob array<double>"), [[0, 1], [2]]), accounting.parity(scores, "a", "b"), accounting.parity(apart, "a", "b")]
+    checked += [records.valid(spark.createDataFrame(rows, record), 2) for rows in probabilities]
+    for df in checked:
+        for ask in failing(df):
+            with pytest.raises(Exception, match="USER_RAISED|no match|aligned|class|probabilit|differ|alone"):
+                ask()
+    assert audits.complete(orders.limit(1), customers, "k").select("m").collect()[0].m == "m"
+    assert accounting.parity(scores.limit(1), "a", "b").first().n == 1
+
+
+def test_drift_between_versions_of_scores_fails(spark):
+    from signalframe.operators import accounting
+
+    rows = [(i % 2, 0.01 * i, 0.01 * i + (0.001 if i % 3 else 0)) for i in range(50)]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+    assert accounting.drifted(df, "y", "a", "b", 0.05).first().r > 0.99
+    with pytest.raises(Exception, match="drift"):
+        accounting.drifted(df.withColumn("b", -F.col("b")), "y", "a", "b").count()
