@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..session import dropped, kept
 
@@ -110,19 +111,22 @@ def even_edges(rows: DataFrame, features: list[str], bins: int) -> list[list[flo
     return out
 
 
+def _codes(columns: list[pa.Array], n: int, edges: list[list[float]]) -> np.ndarray:
+    codes = np.empty((n, len(edges)), np.uint8)
+    for k, (column, e) in enumerate(zip(columns, edges, strict=True)):
+        x = column.to_numpy(zero_copy_only=False).astype(np.float64)
+        codes[:, k] = np.where(np.isnan(x), MISSING, np.searchsorted(np.array(e), x, "left"))
+    return codes
+
+
 def binned(rows: DataFrame, features: list[str], edges: list[list[float]], group: str, y: str | None = "y", id_: str = "id", only: str | None = None) -> DataFrame:
     """(id, grp, only, y, codes, raw): each feature's bin as one byte; nulls and NaN have a code of their own."""
-    table = [np.array(e) for e in edges]
-    if any(len(e) >= MISSING for e in table):
+    if any(len(e) >= MISSING for e in edges):
         raise ValueError(f"a feature has more than {MISSING - 1} edges")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.empty((batch.num_rows, len(table)), np.uint8)
-            for k, e in enumerate(table):
-                x = batch.column(4 + k).to_numpy(zero_copy_only=False).astype(np.float64)
-                codes[:, k] = np.where(np.isnan(x), MISSING, np.searchsorted(e, x, "left"))
-            packed = pa.array([r.tobytes() for r in codes], pa.binary())
+            packed = pa.array([r.tobytes() for r in _codes(batch.columns[4:], batch.num_rows, edges)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, pa.array([b""] * batch.num_rows, pa.binary())], COLUMNS)
 
     mark, seen = F.col(y).cast("int") if y else F.lit(None).cast("int"), F.col(only).cast("long") if only else F.lit(None).cast("long")
@@ -294,21 +298,18 @@ def fitted(rows: DataFrame, features: list[str], *, group: str = "grp", hold_out
     return Boosted(models, features, edges, classes, s)
 
 
-def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str = "id", only: str | None = None) -> DataFrame:
-    """(id, grp, p): class probabilities by the model that held the row's group out, or by the only model.
+def appended(boosted: Boosted, rows: DataFrame, group: str | None = "grp", name: str = "p") -> DataFrame:
+    """The rows with class probabilities by the model that held the row's group out, or by the only model.
 
-    Rows may be another matrix than the one fitted, with the same features. A group whose model isn't there gets null. Of
-    rows that are there for one model alone, those of its own group are scored, and the others left out.
+    Rows may be another matrix than the one fitted, with the same features. A group whose model isn't there gets null.
     """
-    width = len(boosted.features)
-    by = {m.held: m for m in boosted.models}
-    if only:
-        rows = rows.filter(F.col(only).isNull() | (F.col(only) == F.col(group)))
+    by, columns = {m.held: m for m in boosted.models}, len(rows.columns)
+    schema = StructType([*rows.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp, _, codes = _unpacked(batch, width)
-            out: list[list[float] | None] = [None] * batch.num_rows
+            grp = batch.column(columns).fill_null(NONE).to_numpy(zero_copy_only=False)
+            codes, out = _codes(batch.columns[columns + 1 :], batch.num_rows, boosted.edges), [None] * batch.num_rows
             for held, model in by.items():
                 own = np.arange(len(grp)) if held is None else np.flatnonzero(grp == held)
                 raw = model.raw(codes[own])
@@ -320,9 +321,17 @@ def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str =
                     p = e / e.sum(1, keepdims=True)
                 for i, v in zip(own.tolist(), p.tolist(), strict=True):
                     out[i] = v
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["id", "grp", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:columns], name])
 
-    return binned(rows, boosted.features, boosted.edges, group, None, id_, only).mapInArrow(score, "id long, grp long, p array<double>")
+    of = F.col(group).cast("long") if group else F.lit(None).cast("long")
+    return rows.select("*", of.alias("_grp"), *[F.col(f).cast("double").alias(f"_x{k}") for k, f in enumerate(boosted.features)]).mapInArrow(score, schema)
+
+
+def scored(boosted: Boosted, rows: DataFrame, *, group: str = "grp", id_: str = "id", only: str | None = None) -> DataFrame:
+    """(id, grp, p) as ``appended``. Of rows that are there for one model alone, those of its own group are scored, and the others left out."""
+    if only:
+        rows = rows.filter(F.col(only).isNull() | (F.col(only) == F.col(group)))
+    return appended(boosted, rows, group, "_p").select(F.col(id_).alias("id"), F.col(group).alias("grp"), F.col("_p").alias("p"))
 
 
 def nodes(boosted: Boosted) -> list[tuple]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, floors, gate, metrics, normalise, resampling
+from ..operators import boosting, floors, gate, importance, metrics, normalise, resampling, sampling
 from ..sources import views
 from ..sources.views import DAY, EV, PRED_BIN
 from .event_queries import FLOORS, offline_sql, rounded
@@ -206,3 +206,56 @@ def g06_intervals(spark, d):
     """The interval of every floor's precision, with the same draws of participants for all floors."""
     ratios = resampling.bootstrap_ratio_by(gate.replay(views.binary_predictions(spark, d), FLOORS), "floor", "correct", "offers", REPS, "g06")
     return rounded(resampling.interval(ratios, "ratio", "floor"), "low", "high", places=5)
+
+
+#: A linear score of the windows, as a given model: importance asks what it loses without a feature.
+LINEAR = {"n": 0.4, "mean": -0.01, "sd": 0.02, "hours": -0.2, "high": 0.004}
+LINEAR_SQL = " + ".join(f"{w}::DOUBLE * {c}" for c, w in LINEAR.items())
+SHUFFLES = 5
+
+
+def linear(df):
+    total = None
+    for c, w in LINEAR.items():
+        part = F.lit(w) * F.col(c)
+        total = part if total is None else total + part
+    return df.withColumn("p", F.round(1 / (1 + F.exp(-total)), 6))
+
+
+@query("m15_permutation_importance", f"""WITH {WINDOWED}, nu AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k FROM wt), fe AS (SELECT id, unnest({list(LINEAR)}) AS feature, unnest([{', '.join(LINEAR)}]) AS other FROM wt),
+dr AS (SELECT feature, repeat, other, row_number() OVER (PARTITION BY feature, repeat ORDER BY md5('m15:' || feature || ':' || repeat || ':' || id), id) - 1 AS k FROM fe, range({SHUFFLES}) r(repeat)),
+sw AS (SELECT nu.id, nu.y, feature, repeat, {', '.join(f"CASE WHEN feature = '{c}' THEN other ELSE {c} END AS {c}" for c in LINEAR)} FROM dr JOIN nu USING (k)),
+sc AS (SELECT feature, repeat, y, round(1 / (1 + exp(-({LINEAR_SQL}))), 6) AS p FROM sw UNION ALL SELECT 'none', 0, y, round(1 / (1 + exp(-({LINEAR_SQL}))), 6) FROM wt),
+st AS (SELECT feature, repeat, p, count(*) FILTER (y = 1)::DOUBLE AS pos, count(*) FILTER (y <> 1)::DOUBLE AS neg FROM sc GROUP BY ALL), be AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature, repeat ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM st),
+au AS (SELECT feature, repeat, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM be GROUP BY ALL)
+SELECT a.feature, round(any_value(b.auc), 6) AS base, round(avg(a.auc), 6) AS mean, round(stddev_pop(a.auc), 6) AS sd, round(any_value(b.auc) - avg(a.auc), 6) AS drop, row_number() OVER (ORDER BY round(any_value(b.auc) - avg(a.auc), 9) DESC, a.feature)::INTEGER AS rank FROM au a, au b WHERE a.feature <> 'none' AND b.feature = 'none' GROUP BY a.feature""")
+def m15(spark, d):
+    """What a linear score of the windows loses in AUC when a feature is shuffled, over five shuffles of each."""
+    out = importance.permutation_importance(labelled_windows(spark, d), list(LINEAR), linear, SHUFFLES, "m15")
+    return rounded(out, "base", "mean", "sd", "drop")
+
+
+@query("m15_permutation_importance_full")
+def m15_full(spark, d):
+    """The same with the reference's twenty shuffles of all ten features, for boosted trees of few rounds."""
+    rows, boosted = windows_fit(spark, d, boosting.Settings(rounds=4))
+
+    score = lambda df: boosting.appended(boosted, df, None, "both").withColumn("p", F.round(F.col("both")[1], 9))
+    out = importance.permutation_importance(rows, FEATURES, score, 20, "m15")
+    return rounded(out, "base", "mean", "sd", "drop")
+
+
+@query("m15_within_group_auc", f"""WITH {WINDOWED}, st AS (SELECT grp, n AS s, count(*) FILTER (y = 1)::DOUBLE AS pos, count(*) FILTER (y <> 1)::DOUBLE AS neg FROM wt GROUP BY ALL), be AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY grp ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM st),
+o AS (SELECT grp, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM be GROUP BY grp), al AS (SELECT s, sum(pos) AS pos, sum(neg) AS neg FROM st GROUP BY s), ab AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM al)
+SELECT (SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) FROM ab) AS auc, count(auc) AS groups, round(avg(auc), 6) AS mean, round(min(auc), 6) AS low, round(max(auc), 6) AS high FROM o""")
+def m15_within(spark, d):
+    return rounded(importance.within_groups(labelled_windows(spark, d), "n"), "auc", "mean", "low", "high")
+
+
+@query("l11_weighted_sample", f"""WITH {WINDOWED}, c AS (SELECT y, count(*) AS m FROM wt GROUP BY y), w AS (SELECT id, y, CAST(floor(4294967296::DOUBLE / sqrt(m)) AS BIGINT) AS weight FROM wt JOIN c USING (y)),
+s AS (SELECT id, weight, sum(weight) OVER (ORDER BY id)::BIGINT AS upto FROM w), t AS (SELECT sum(weight)::BIGINT AS total, count(*) AS n FROM w), d AS (SELECT ('0x' || substr(md5('l11:' || i), 1, 15))::BIGINT % total AS at FROM t, range((SELECT count(*) FROM wt)) r(i))
+SELECT id, count(*) AS times FROM d JOIN s ON d.at < s.upto AND d.at >= s.upto - s.weight GROUP BY id""")
+def l11_sample(spark, d):
+    """As many draws as windows, with replacement, each class weighing as the square root of its number."""
+    rows = sampling.balanced_weight(labelled_windows(spark, d), "y")
+    return sampling.weighted_draws(rows, "id", "weight", rows.count(), "l11")
