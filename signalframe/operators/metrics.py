@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .audits import required
+from .ordering import running
 
 
 def predicted(rows: DataFrame, p: str = "y_prob") -> DataFrame:
@@ -61,12 +62,15 @@ def summary(classes: DataFrame) -> DataFrame:
 def auc(rows: DataFrame, keys: list[str], y: str = "y", p: str = "p", weight: Column | None = None) -> DataFrame:
     """(keys, auc) by the rank formula with ties shared; null where one class is absent.
 
-    Rows of equal score are summed before any order is made, so only distinct scores are sorted.
+    Rows of equal score are summed before any order is made, so only distinct scores are sorted; without keys by ranges.
     """
     w = weight if weight is not None else F.lit(1.0)
     by = rows.groupBy(*keys, F.col(p).alias("score")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("neg"))
-    order = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0.0)))
+    if keys:
+        order = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        by = by.withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0.0)))
+    else:
+        by = running(by, ["score"], {"below": F.col("neg")})
     g = by.groupBy(*keys) if keys else by.groupBy()
     return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
@@ -123,10 +127,67 @@ def record_metrics(rows: DataFrame, y: str = "y", p: str = "p", threshold: float
     )
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
-    """q-values: the running minimum, from the largest p down, of p times the number of tests over its rank."""
-    up = Window.orderBy(F.col(p), F.col(key))
-    down = Window.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "name", family: str | None = None) -> DataFrame:
+    """q-values: the running minimum, from the largest p down, of p times the number of tests over its rank; in each family."""
+    own = Window.partitionBy(*([family] if family else []))
+    up = own.orderBy(F.col(p), F.col(key))
+    down = own.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = tests.withColumn("rank", F.row_number().over(up)).withColumn("raw", F.col(p) * n / F.col("rank"))
     return out.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(down))).drop("raw")
+
+
+def two_families(tests: DataFrame, construct: str, alpha: float = 0.05, p: str = "p", key: str = "name", low: str = "low", chance: float = 0.5) -> DataFrame:
+    """(family, the columns of ``tests``, rank, q, survives, survives_both): all tests, and the best of each construct.
+
+    ``low`` is the lower end of a test's interval: the criterion is that q is below ``alpha`` and the interval above chance.
+    """
+    best = Window.partitionBy(construct).orderBy(p, key)
+    narrow = tests.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+    both = tests.withColumn("family", F.lit("all")).unionByName(narrow.withColumn("family", F.lit("constructs")))
+    out = benjamini_hochberg(both, p, key, "family").withColumn("survives", F.col("q") < alpha)
+    return out.withColumn("survives_both", F.col("survives") & (F.col(low) > chance))
+
+
+def record_block(rows: DataFrame, reps: int, permutations: int, seed: str, y: str = "y", p: str = "p", group: str = "grp") -> DataFrame:
+    """One row for a binary prediction record: the counts, rates and kappa of ``record_metrics``, and groups, AUC with its interval
+    over drawn groups, p of labels permuted within groups, average precision and its lift, and the scores' spread.
+
+    ``rows`` has id, y, p and the group; rows without a score are left out.
+    """
+    from . import resampling
+
+    rows = rows.filter(F.col(p).isNotNull()).select("id", F.col(group).alias("grp"), F.col(y).cast("int").alias("y"), F.col(p).alias("p"))
+    drawn = resampling.interval(resampling.bootstrap_auc(rows, reps, f"{seed}-boot", ["p"]), "auc_p").withColumn("excludes_chance", F.col("low") > 0.5)
+    permuted = resampling.permutation_p(rows, permutations, f"{seed}-perm").select("p_value")
+    scores = rows.agg(F.countDistinct("grp").alias("groups"), F.min("p").alias("score_min"), F.max("p").alias("score_max"), F.avg("p").alias("score_mean"), (F.max("p") - F.min("p")).alias("score_spread"))
+    out = record_metrics(rows)
+    for part in (auc(rows, []), drawn, permuted, average_precision(rows, []), scores):  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out.withColumn("beats_baseline", F.col("accuracy") > F.col("baseline"))
+
+
+def by_fold(rows: DataFrame, classes: int, positive: int, fold: str = "fold", y: str = "y_true", pred: str = "y_pred", p: str = "p") -> DataFrame:
+    """(fold, n, accuracy, macro_f1, weighted_f1, kappa, recalls, missing, auc, f1) of every fold.
+
+    ``recalls`` holds each class's recall, 0 where the fold has none of it; ``missing`` the classes that it lacks. ``auc``
+    and ``f1`` are those of class ``positive`` against the others, by the score p and the threshold 0.5; null where the
+    fold has one side alone. All folds are one aggregation.
+    """
+    spark = rows.sparkSession
+    cells = rows.groupBy(fold, F.col(y).alias("t"), F.col(pred).alias("q")).agg(F.count(F.lit(1)).alias("c"))
+    grid = rows.select(fold).distinct().crossJoin(F.broadcast(spark.range(classes).select(F.col("id").cast("int").alias("class"))))  # folds times classes
+    own = lambda k, name: cells.groupBy(fold, F.col(k).alias("class")).agg(F.sum("c").alias(name), F.sum(F.when(F.col("t") == F.col("q"), F.col("c")).otherwise(0)).alias(f"{name}_hit"))
+    each = grid.join(own("t", "support"), [fold, "class"], "left").join(own("q", "predicted").drop("predicted_hit"), [fold, "class"], "left").na.fill(0)
+    each = each.withColumnRenamed("support_hit", "tp").withColumn("recall", F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0)))
+    n = F.sum("support")
+    seen, agree, chance = (F.col("support") > 0) | (F.col("predicted") > 0), F.sum("tp") / n, F.sum(F.col("support") * F.col("predicted")) / (n * n)
+    recalls = F.transform(F.array_sort(F.collect_list(F.struct("class", "recall"))), lambda x: x["recall"])
+    out = each.groupBy(fold).agg(
+        n.alias("n"), agree.alias("accuracy"), F.avg(F.when(seen, F.col("f1"))).alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / n).alias("weighted_f1"), F.try_divide(agree - chance, 1 - chance).alias("kappa"),
+        recalls.alias("recalls"), F.array_sort(F.collect_list(F.when(F.col("support") == 0, F.col("class")))).alias("missing"),
+    )
+    two = rows.select(fold, (F.col(y) == positive).cast("int").alias("y"), F.col(p).alias("p"))
+    yes, true = F.col("p") >= 0.5, F.col("y") == 1
+    f1 = two.groupBy(fold).agg(F.when((F.max("y") == 1) & (F.min("y") == 0), F.coalesce(F.try_divide(2 * F.count_if(yes & true), F.count_if(yes) + F.count_if(true)), F.lit(0.0))).alias("f1"))
+    return out.join(auc(two, [fold]), fold).join(f1, fold)

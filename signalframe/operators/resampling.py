@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import auc
+from .ordering import numbered
 
 
 def draw(seed: str, *parts):
@@ -60,6 +61,21 @@ def bootstrap_ratio_by(per_group: DataFrame, key: str, hit: str, n: str, reps: i
     return drawn.groupBy(key, "rep").agg(F.try_divide(F.sum(F.col(hit) * F.col("times")), F.sum(F.col(n) * F.col("times"))).alias("ratio"))
 
 
+def independent_means(rows: DataFrame, side: Column, value: str, reps: int, seed: str, key: str = "id") -> DataFrame:
+    """(rep, diff): the mean of the rows of ``side`` less that of the others, each drawn by itself with replacement.
+
+    Each side's rows are numbered by ranges, and draws are multiplicities of these numbers.
+    """
+    own = rows.select(F.col(key).alias("_key"), side.alias("_side"), F.col(value).cast("double").alias("_v")).filter("_side is not null and _v is not null")
+    placed = numbered(own, ["_key"], "slot", ("_side",))
+    counts = own.groupBy("_side").agg(F.count(F.lit(1)).alias("n"))
+    slots = _dealt(placed.join(F.broadcast(counts), "_side"), 1, "_side", "slot").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    drawn = slots.select("rep", "_side", F.pmod(draw(seed, "rep", F.col("_side").cast("string"), "slot"), F.col("n")).alias("slot"))
+    drawn = drawn.groupBy("rep", "_side", "slot").agg(F.count(F.lit(1)).alias("times")).join(placed, ["_side", "slot"])
+    mean = lambda one: F.try_divide(F.sum(F.when(F.col("_side") == one, F.col("_v") * F.col("times"))), F.sum(F.when(F.col("_side") == one, F.col("times"))))
+    return drawn.groupBy("rep").agg((mean(True) - mean(False)).alias("diff"))
+
+
 def bootstrap_ratio_difference(per_group: DataFrame, a: tuple[str, str], b: tuple[str, str], reps: int, seed: str) -> DataFrame:
     """(rep, diff): the ratio of the counts ``b`` less that of ``a``, over the same drawn groups; null where either is."""
     drawn = per_group.join(cluster_draws(per_group.select("grp"), reps, seed), "grp")
