@@ -221,10 +221,24 @@ def test_search_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, [0.5, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [float("inf"), 0.0]), (5, [1.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (None, [9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in cover_tree.top_k(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 6, 1024 * 1024 * 5), (0, 2, 100, 512 * 1024), (100, 1, 0, 512 * 1024), (100, 2, 6, 512 * 1024)]
+    assert got == [(0, 1, 6, 1024 * 1024 * 5), (0, 2, 6, 1024 * 1024 * 5), (0, 3, 100, 512 * 1024), (100, 1, 0, 512 * 1024), (100, 2, 6, 512 * 1024), (100, 3, 6, 512 * 1024)]
     assert cover_tree.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_keeps_rows_of_equal_ids_apart_and_refuses_what_64_bits_do_not_hold(spark):
+    rows = [(1, [1.0], "a"), (1, [2.0], "b"), (100, [1.0], "c"), (100, [3.0], "d"), (100, [3.0], "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rid string")
+    got = sorted(tuple(r) for r in cover_tree.top_k(df, F.col("vec_id") == 100, 2).collect())
+    m = 1024 * 1024
+    # the row of 1 finds both of 3; each row of 3 finds the other one, then the better row of the repeated id
+    assert got == sorted([(100, 1, 100, 3 * m), (100, 2, 100, 3 * m), (100, 1, 100, 9 * m), (100, 2, 1, 6 * m), (100, 1, 100, 9 * m), (100, 2, 1, 6 * m)])
+    large = spark.createDataFrame([(100, [1e9]), (1, [2e8]), (2, [-1e3])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        cover_tree.top_k(large.withColumn("embedding", F.transform("embedding", lambda x: x * 1e3)), F.col("vec_id") == 100).collect()
+    exact = [(r.vec_id, r.score) for r in cover_tree.top_k(large.filter("vec_id <> 1"), F.col("vec_id") == 100).collect()]
+    assert exact == [(2, -(1024 * 10**9) * (1024 * 10**3))]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()
