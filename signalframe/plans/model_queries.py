@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, floors, gate, importance, metrics, normalise, resampling, sampling
+from ..operators import boosting, floors, gate, importance, metrics, normalise, resampling, sampling, sensitivity, windows
 from ..sources import views
 from ..sources.views import DAY, EV, PRED_BIN
 from .event_queries import FLOORS, offline_sql, rounded
@@ -259,3 +259,71 @@ def l11_sample(spark, d):
     """As many draws as windows, with replacement, each class weighing as the square root of its number."""
     rows = sampling.balanced_weight(labelled_windows(spark, d), "y")
     return sampling.weighted_draws(rows, "id", "weight", rows.count(), "l11")
+
+
+#: Window lengths of the grid, in bins of half a day.
+LENGTHS, HALF = [1, 2, 4, 6], DAY // 2
+GRID_SQL = f"""WITH {EV}, ln(factor) AS (SELECT unnest({LENGTHS})), ge AS (SELECT factor, participant, ts // ({HALF} * factor) AS w, value, type, ts - lag(ts) OVER (PARTITION BY factor, participant, ts // ({HALF} * factor) ORDER BY ts, event_id) AS gap FROM ev, ln),
+gw AS (SELECT factor, participant, w, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) AS high, avg(gap) AS gap_mean, stddev_pop(gap) AS gap_sd, max(gap)::DOUBLE AS gap_max, count(*) FILTER (type = 'visibility') AS left_page FROM ge GROUP BY factor, participant, w)"""
+
+
+def grid_windows(spark, d):
+    e = views.events(spark, d)
+    bins = sensitivity.states(e, HALF, {"left_page": F.col("type") == "visibility"})
+    return sensitivity.merged(bins, LENGTHS, ["left_page"])
+
+
+@query("n04_merged_windows", GRID_SQL + " SELECT factor::INTEGER AS factor, participant, w, n, round(mean, 6) AS mean, round(sd, 5) AS sd, low, high, round(gap_mean, 2) AS gap_mean, round(gap_sd, 1) AS gap_sd, gap_max, left_page FROM gw")
+def n04(spark, d):
+    """Windows of half a day to three days, merged from the states of half days."""
+    return rounded(rounded(rounded(rounded(grid_windows(spark, d), "mean"), "sd", places=5), "gap_mean", places=2), "gap_sd", places=1)
+
+
+@query("n04_sensitivity_grid", GRID_SQL + f""", sc AS (SELECT factor, participant, CAST(left_page >= 0.3 * n AS INTEGER) AS y, round(0.4 * n - 0.01 * mean + 0.003 * high, 6) AS p FROM gw), st AS (SELECT factor, participant, avg(p) AS m, stddev_pop(p) AS s FROM sc GROUP BY ALL),
+x AS (SELECT factor, 'raw' AS norm, y, p FROM sc UNION ALL SELECT sc.factor, 'z', y, round((p - m) / CASE WHEN s < 1e-9 THEN 1 ELSE s END, 6) FROM sc JOIN st USING (factor, participant)),
+co AS (SELECT factor, norm, p, count(*) FILTER (y = 1)::DOUBLE AS pos, count(*) FILTER (y <> 1)::DOUBLE AS neg FROM x GROUP BY ALL), be AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY factor, norm ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM co)
+SELECT factor::INTEGER AS factor, norm, CAST(sum(pos + neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 5) AS auc FROM be GROUP BY factor, norm""")
+def n04_grid(spark, d):
+    """A score's AUC at every window length, as it is and normalised within participants."""
+    s = grid_windows(spark, d).select("factor", "participant", (F.col("left_page") >= 0.3 * F.col("n")).cast("int").alias("y"), F.round(0.4 * F.col("n") - 0.01 * F.col("mean") + 0.003 * F.col("high"), 6).alias("p"))
+    z = windows.group_z(s.withColumn("key", F.concat_ws("/", "factor", "participant")), ["p"], "key")
+    both = s.select("factor", F.lit("raw").alias("norm"), "y", "p").unionByName(z.select("factor", F.lit("z").alias("norm"), "y", F.round("p_z", 6).alias("p")))
+    n = both.groupBy("factor", "norm").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+    return rounded(n.join(metrics.auc(both, ["factor", "norm"]), ["factor", "norm"]), "auc", places=5)
+
+
+@query("x03_two_stage")
+def x03(spark, d):
+    """Windows by the kind of event that dominates them, none first: fitted on seven of ten sessions, judged on the others."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators.two_stage import TwoStage
+
+    top = F.greatest("clicks", "keys", "scrolls")
+    label = F.when(top < 2, 0).when(F.col("clicks") == top, 1).when(F.col("keys") == top, 2).otherwise(3)
+    rows = labelled_windows(spark, d).withColumn("y", label)
+    stage = lambda: Pipeline(stages=[VectorAssembler(inputCols=["n", "mean", "sd", "low", "high", "hours"], outputCol="features"), LogisticRegression(regParam=0.01)])
+    train = F.pmod("grp", F.lit(10)) < 7
+    out = TwoStage(stage(), stage()).fit(rows.filter(train)).transform(rows.filter(~train))
+    need = metrics.auc(out.select((F.col("y") > 0).cast("int").alias("need"), "p_need"), [], "need", "p_need").select(F.round("auc", 6).alias("need_auc"))
+    summary = metrics.summary(metrics.by_class(metrics.confusion(out.select(F.col("y").alias("y_true"), "y_pred"), 4)))
+    return rounded(summary.crossJoin(F.broadcast(need)), "accuracy", "macro_f1", "weighted_f1", "balanced_accuracy", "kappa")  # one row each
+
+
+@query("k07_sharded_append", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS participants FROM events GROUP BY event_type")
+def k07(spark, d):
+    """The events written as committed shards in two runs, the second of which writes what is missing, and read back."""
+    import uuid
+
+    from ..operators import records
+    from ..session import scratch_dir
+    from ..sources import shards
+
+    shards.register(spark)
+    path, schema = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex[:12]}", "event_id long, user_id long, event_type string"
+    rows = views.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    for part in (rows.filter("event_id % 3 = 0"), rows):
+        records.remaining(part, shards.read(spark, path, schema), "event_id").write.format("shards").mode("append").save(path)
+    return shards.read(spark, path, schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("participants"))
