@@ -51,3 +51,26 @@ def section_windows(windows: DataFrame, completions: DataFrame, cap_ms: int, fir
     hit = as_of(windows, completions, key, forward=True).filter("r_ts is not null")
     starts = c.select(F.col(key).alias("k"), F.col("seq").alias("s"), "start")
     return hit.join(starts, (F.col(key) == F.col("k")) & (F.col("r_seq") == F.col("s"))).filter("ts > start").select(key, F.col("seq").alias("window_seq"), F.col("ts").alias("window_ts"), F.col("r_seq").alias("section_seq"), "start")
+
+
+def unpaired(events: DataFrame, within_ms: int, key: str = "participant") -> DataFrame:
+    """(key, ts, event_id, down) without the clicks that take a down: the latest unmatched one of the ``within_ms`` before.
+
+    What a click takes depends on the events of that span before it alone: later downs are taken before earlier ones, so
+    nothing older can change which of the span's downs are left. So a participant is cut into slots of that length, and
+    each is folded with the slot before it; a row holds two slots of one participant, not all of it.
+    """
+    slot = F.floor(F.col("ts") / within_ms)
+    s = events.select(key, F.explode(F.array(slot, slot + 1)).alias("slot"), "ts", "event_id", "down")
+    s = s.groupBy(key, "slot").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "down"))).alias("s"))
+    own = lambda t: F.floor(t / within_ms) == F.col("slot")
+    kind = "array<struct<ts:bigint,event_id:bigint,down:boolean>>"
+    zero = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast(kind).alias("kept"))
+
+    def step(a, r):
+        live = F.filter(a["open"], lambda t: r["ts"] - t <= within_ms)
+        keep = (r["down"] | (F.size(live) == 0)) & own(r["ts"])
+        left = F.when(r["down"], F.array_append(live, r["ts"])).otherwise(F.slice(live, F.lit(1), F.greatest(F.size(live) - 1, F.lit(0))))
+        return F.struct(left.alias("open"), F.when(keep, F.array_append(a["kept"], r)).otherwise(a["kept"]).alias("kept"))
+
+    return s.select(key, F.explode(F.aggregate("s", zero, step)["kept"]).alias("e")).select(key, "e.ts", "e.event_id", "e.down")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def shuffle_key(seed: str, column: str):
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(column).cast("string")))
@@ -44,18 +46,44 @@ def stratified_folds(labelled: DataFrame, k: int, seed: str) -> DataFrame:
     return labelled.select("grp", "label", F.pmod(F.row_number().over(w) - 1, F.lit(k)).alias("fold"))
 
 
-def balanced_folds(sizes: DataFrame, k: int) -> DataFrame:
-    """(grp, n, fold): groups, largest first, each to the fold with the fewest rows so far; equal folds by number.
+def greedy_phases(loads: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """How ``count`` groups of one size go to the folds, each to that with the fewest rows, of equals the first.
 
-    A fold over one ordered array of group sizes: this table has one row a group, not one a row of data.
+    Phases (begin, end, folds): the groups numbered begin to end - 1 go to these folds in turn. The lowest folds fill up in
+    turn until they reach the next one, which then joins; so there are as many phases as folds at most. ``loads`` is
+    brought up to date.
     """
-    s = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "grp"))).alias("s"))
-    kind = s.schema["s"].dataType.elementType["grp"].dataType.simpleString()
-    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("load"), F.array().cast(f"array<struct<grp:{kind},n:bigint,fold:int>>").alias("out"))
+    waiting = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    active, at, out = [waiting.pop(0)], 0, []
+    while at < count:
+        if waiting:  # what the active folds take before the next is the lowest
+            top = (loads[waiting[0]], waiting[0])
+            steps = sum(max(0, -((loads[f] - top[0]) // size) + (f < top[1] if (top[0] - loads[f]) % size == 0 else 0)) for f in active)
+        else:
+            steps = count - at
+        steps = min(steps, count - at)
+        active.sort(key=lambda f: (loads[f], f))
+        if steps:
+            out.append((at, at + steps, active.copy()))
+            for i, f in enumerate(active):
+                loads[f] += size * (steps // len(active) + (i < steps % len(active)))
+            at += steps
+        if waiting:
+            active.append(waiting.pop(0))
+    return out
 
-    def step(a, r):
-        f = F.array_position(a["load"], F.array_min(a["load"])).cast("int") - 1
-        load = F.transform(a["load"], lambda x, i: F.when(i == f, x - r["m"]).otherwise(x))
-        return F.struct(load.alias("load"), F.array_append(a["out"], F.struct(r["grp"].alias("grp"), (-r["m"]).alias("n"), f.alias("fold"))).alias("out"))
 
-    return s.select(F.explode(F.aggregate("s", zero, step)["out"]).alias("o")).select("o.*")
+def balanced_folds(sizes: DataFrame, k: int) -> DataFrame:
+    """(grp, n, fold): groups, largest first, each to the fold with the fewest rows so far; equal folds by number.
+
+    Groups of one size are dealt in few phases, so only the different sizes and their numbers reach the driver. A group
+    finds its place among those of its size by ranges, and its phase by a join.
+    """
+    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()  # a row a size
+    loads, phases = [0] * k, []
+    for r in counts:
+        phases += [(r.n, *p) for p in greedy_phases(loads, r.n, r.c)]
+    table = sizes.sparkSession.createDataFrame(phases, "n long, begin long, end long, folds array<int>")
+    placed = numbered(sizes.select("grp", F.col("n").cast("long").alias("n")), ["grp"], "t", ("n",))
+    out = placed.join(table, "n").filter("t >= begin and t < end")
+    return out.select("grp", "n", F.get("folds", ((F.col("t") - F.col("begin")) % F.size("folds")).cast("int")).alias("fold"))

@@ -326,20 +326,17 @@ def o05(spark, d):
     return s.agg(best.alias("b")).select("b.*")
 
 
-@query("g08_click_pairing")
-def g08(spark, d):
-    """Downs (even event ids) and clicks (odd) of a participant: a click takes the latest unmatched down within a day."""
-    e = views.events(spark, d).filter("type = 'click'").groupBy("participant").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<bigint>").alias("kept"))
+PAIRING = f"""WITH RECURSIVE {EV}, c AS (SELECT participant, ts, event_id, event_id % 2 = 0 AS down, row_number() OVER (PARTITION BY participant ORDER BY ts, event_id) AS k FROM ev WHERE type = 'click'),
+z AS (SELECT DISTINCT participant, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, false AS keep, []::BIGINT[] AS open FROM c UNION ALL
+  SELECT participant, k, event_id, down OR len(live) = 0, CASE WHEN down THEN list_append(open, ts) ELSE live[1:-2] END FROM (SELECT c.participant, c.k, c.event_id, c.ts, c.down, z.open, list_filter(z.open, lambda t: c.ts - t <= {DAY}) AS live FROM z JOIN c ON c.participant = z.participant AND c.k = z.k + 1))
+SELECT participant, event_id FROM z WHERE keep"""
 
-    def step(a, r):
-        down = F.pmod(r["event_id"], F.lit(2)) == 0
-        live = F.filter(a["open"], lambda t: r["ts"] - t <= DAY)
-        paired = F.size(live) > 0
-        kept = F.when(down | ~paired, F.array_append(a["kept"], r["event_id"])).otherwise(a["kept"])
-        return F.struct(F.when(down, F.array_append(a["open"], r["ts"])).when(paired, F.slice(live, F.lit(1), F.size(live) - 1)).otherwise(live).alias("open"), kept.alias("kept"))
 
-    return e.select("participant", F.explode(F.aggregate("s", zero, step)["kept"]).alias("event_id"))
+@query("g08_click_pairing", PAIRING)
+def g08(spark, d):
+    """Downs (even event ids) and clicks (odd) of a participant: a click takes the latest unmatched down within a day."""
+    e = views.events(spark, d).filter("type = 'click'").select("participant", "ts", "event_id", (F.pmod("event_id", F.lit(2)) == 0).alias("down"))
+    return labels.unpaired(e, DAY).select("participant", "event_id")
 
 
 @query("j15_dense_domain", f"WITH {EV}, p AS (SELECT DISTINCT participant FROM ev), t AS (SELECT DISTINCT type FROM ev) SELECT p.participant, t.type, count(ev.event_id) AS n FROM p CROSS JOIN t LEFT JOIN ev ON ev.participant = p.participant AND ev.type = t.type GROUP BY ALL")

@@ -254,7 +254,10 @@ def l04(spark, d):
     return splits.stratified_folds(user_labels(spark, d), 5, "l04")
 
 
-@query("l07_balanced_folds")
+@query("l07_balanced_folds", f"""WITH RECURSIVE {PRED_BIN}, o AS (SELECT grp, count(*) AS n FROM pb GROUP BY grp), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp) AS k FROM o),
+z AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS grp, CAST(0 AS BIGINT) AS n, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load UNION ALL
+  SELECT k, grp, n, fold, list_transform(load, lambda v, i: CASE WHEN i = fold + 1 THEN v + n ELSE v END) FROM (SELECT r.k, r.grp, r.n, list_position(z.load, list_min(z.load)) - 1 AS fold, z.load FROM z JOIN r ON r.k = z.k + 1))
+SELECT grp, n, fold FROM z WHERE k > 0""")
 def l07(spark, d):
     return splits.balanced_folds(views.binary_predictions(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n")), 5)
 
