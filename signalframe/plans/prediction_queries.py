@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import hypothesis_tests as tests
-from ..operators import metrics, resampling, splits
+from ..operators import metrics, resampling, split_draws, splits
 from ..sources import views
 from ..sources.views import PRED_BIN, PRED_DOC, PRED_MULTI
 from .event_queries import rounded
@@ -143,7 +143,9 @@ def r02(spark, d, reps=20):
 
 @query("r02_row_bootstrap_full")
 def r02_full(spark, d):
-    return r02(spark, d, FULL_AUC)
+    """At the reference's repetitions, with draws split over ranges of scores instead of repeated rows."""
+    a = split_draws.bootstrap_auc_rows(views.document_predictions(spark, d), FULL_AUC, "r02", p="pa")
+    return rounded(resampling.interval(rounded(a, "auc"), "auc"), "low", "high", places=5)
 
 
 @query("r05_paired_bootstrap", f"WITH {PRED_DOC}, {DRAWS.format(src='pd', seed='r05', reps=REPS)}, x AS (SELECT rep, y, pa, pb, times FROM pd JOIN dm USING (grp)), a AS ({auc_sql('x', 'rep', 'y', 'pa', 'times')}), b AS ({auc_sql('x', 'rep', 'y', 'pb', 'times')}) SELECT round(quantile_cont(a.auc - b.auc, 0.025), 4) AS low, round(quantile_cont(a.auc - b.auc, 0.975), 4) AS high, round(avg(CAST(a.auc > b.auc AS INTEGER)), 6) AS share_above FROM a JOIN b USING (rep)")
@@ -189,7 +191,8 @@ def r04(spark, d, reps=20):
 
 @query("r04_within_group_permutation_full")
 def r04_full(spark, d):
-    return r04(spark, d, FULL_PERM)
+    """At the reference's repetitions, with positives split over blocks instead of repeated rows."""
+    return rounded(split_draws.permutation_p(views.binary_predictions(spark, d), FULL_PERM, "r04"), "p_value")
 
 
 @query("r10_benjamini_hochberg", f"WITH {PRED_DOC}, t AS (SELECT grp AS name, round((abs(hash_) % 1000 + 1) / CAST(1001 AS DOUBLE), 6) AS p FROM (SELECT grp, count(*) * 37 + sum(y) * 11 AS hash_ FROM pd GROUP BY grp)), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS rank, count(*) OVER () AS m FROM t) SELECT name, p, rank::INTEGER AS rank, round(least(1, min(p * m / rank) OVER (ORDER BY p DESC, name DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS q FROM r")

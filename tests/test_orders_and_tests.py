@@ -4,10 +4,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import accounting, floors, hypothesis_tests, importance, labels, metrics, ordering, resampling, sampling, sensitivity, splits
+from signalframe.operators import accounting, floors, hypothesis_tests, importance, labels, metrics, ordering, resampling, sampling, sensitivity, split_draws, splits
 
 
 def test_running_sums_and_positions_by_ranges(spark):
@@ -187,3 +188,52 @@ def test_parity_counts_lone_nulls(spark, bad):
     df = spark.createDataFrame([(0.1, 0.1, None), (0.2, None, 0.2)], "a double, b double, c double")
     with pytest.raises(Exception, match="alone"):
         accounting.parity(df, "a", bad).count()
+
+
+def test_shares_of_blocks_add_up():
+    sizes, draws = np.array([3, 0, 10, 7, 1]), np.array([0, 5, 21, 13])
+    for replace in (True, False):
+        each = [split_draws.shares("s", sizes, b, draws, replace) for b in range(5)]
+        assert np.array_equal(sum(each), draws) and not each[1].any()
+        assert replace or all((e <= n).all() for e, n in zip(each, sizes, strict=True))
+    many = np.array([split_draws.shares("t", sizes, b, np.full(4000, 21), True).mean() for b in range(5)])
+    assert np.allclose(many, sizes, atol=0.15)
+
+
+def plain_auc(pos, neg):
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+@pytest.mark.parametrize("cells", [1 << 16, 10])
+def test_split_bootstrap_has_the_plain_ones_distribution(spark, monkeypatch, cells):
+    monkeypatch.setattr(split_draws, "CELLS", cells)
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 80)
+    p = np.round(y * 0.3 + rng.random(80), 1 if cells > 10 else 2)
+    rows = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p, strict=True))], "id long, y int, p double")
+    got = np.array([r.auc for r in split_draws.bootstrap_auc_rows(rows, 600, "b").collect()])
+    plain = []
+    for _ in range(600):
+        i = rng.integers(0, 80, 80)
+        plain.append(plain_auc(p[i][y[i] == 1], p[i][y[i] == 0]))
+    assert len(got) == 600 and abs(got.mean() - np.mean(plain)) < 0.01 and abs(got.std() - np.std(plain)) < 0.008
+    assert split_draws.bootstrap_auc_rows(rows.filter("y = 1"), 3, "b").select("auc").distinct().collect()[0].auc is None
+
+
+@pytest.mark.parametrize("size", [4096, 8])
+def test_split_permutations_have_the_plain_ones_p(spark, monkeypatch, size):
+    monkeypatch.setattr(split_draws, "ROWS", size)
+    monkeypatch.setattr(split_draws, "STEP", 500)
+    rng = np.random.default_rng(7)
+    g, y = np.repeat([0, 1, 2], [30, 25, 5]), rng.integers(0, 2, 60)
+    p = np.round(0.08 * y + rng.random(60), 2)
+    rows = spark.createDataFrame([(i, int(a) if a else None, int(b), float(c)) for i, (a, b, c) in enumerate(zip(g, y, p, strict=True))], "id long, grp long, y int, p double")
+    got = split_draws.permutation_p(rows, 3000, "q").first().p_value
+    seen, hits = plain_auc(p[y == 1], p[y == 0]), 0
+    for _ in range(3000):
+        z = y.copy()
+        for k in range(3):
+            z[g == k] = rng.permutation(z[g == k])
+        hits += plain_auc(p[z == 1], p[z == 0]) >= seen - 1e-12
+    assert abs(got - (hits + 1) / 3001) < 0.035
+    assert split_draws.permutation_p(rows.withColumn("p", F.lit(0.5)), 20, "q").first().p_value == 1.0
