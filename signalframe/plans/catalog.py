@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounting_queries, event_queries, inference_queries, model_queries, other_queries, prediction_queries  # noqa: F401
+from . import accounting_queries, event_queries, inference_queries, model_queries, other_queries, prediction_queries, scan_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
