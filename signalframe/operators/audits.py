@@ -72,3 +72,26 @@ def quality(rows: DataFrame, group: str, label: str) -> DataFrame:
 def verdict(minority: Column) -> Column:
     """Whether a class is large enough to train on: bands by the count of the rarer class."""
     return F.when(minority < 10, "unusable").when(minority < 50, "very weak").when(minority < 200, "weak").otherwise("usable")
+
+
+def of_schema(windows: DataFrame, features: str, width: int, version: str | None = None, expected: object = None) -> DataFrame:
+    """The windows as they are; the job fails at one whose rows of features aren't ``width`` wide, or of another schema version."""
+    same = F.col(features).isNotNull() & F.forall(features, lambda r: F.coalesce(F.size(r), F.lit(-1)) == width)
+    out = required(windows, same, F.concat(F.lit(f"features of another width than {width}: "), F.coalesce(F.size(F.get(features, F.lit(0))), F.lit(-1))))
+    return out if version is None else required(out, F.col(version).eqNullSafe(F.lit(expected)), F.concat(F.lit(f"{version} isn't {expected}: "), F.coalesce(F.col(version).cast("string"), F.lit("null"))))
+
+
+def codebook_checks(book: DataFrame, used: DataFrame, title: str = "title", marker: str = "marker") -> DataFrame:
+    """(problem, name, n) of a codebook against the titles in use, which must be told apart.
+
+    duplicate_title and duplicate_marker stand more than once in the book, with how often; missing titles are used and not
+    in the book, with their uses; orphans are in the book and not used.
+    """
+    own, uses = book.groupBy(F.col(title).alias("name")).agg(F.count(F.lit(1)).alias("n")), used.groupBy(F.col(title).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    marks = book.filter(F.col(marker).isNotNull()).groupBy(F.col(marker).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    found = [("duplicate_title", own.filter("n > 1")), ("duplicate_marker", marks.filter("n > 1")), ("missing", uses.join(own.select("name"), "name", "left_anti")), ("orphan", own.join(uses.select("name"), "name", "left_anti"))]
+    out = None
+    for problem, rows in found:
+        one = rows.select(F.lit(problem).alias("problem"), F.col("name").cast("string").alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

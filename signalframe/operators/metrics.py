@@ -191,3 +191,26 @@ def by_fold(rows: DataFrame, classes: int, positive: int, fold: str = "fold", y:
     yes, true = F.col("p") >= 0.5, F.col("y") == 1
     f1 = two.groupBy(fold).agg(F.when((F.max("y") == 1) & (F.min("y") == 0), F.coalesce(F.try_divide(2 * F.count_if(yes & true), F.count_if(yes) + F.count_if(true)), F.lit(0.0))).alias("f1"))
     return out.join(auc(two, [fold]), fold).join(f1, fold)
+
+
+def matrix_report(matrix: DataFrame, classes: int) -> DataFrame:
+    """One row for a confusion matrix: errors, those between neighbouring classes, the worst pair, classes lost, the ceiling.
+
+    ``worst_true`` and ``worst_pred`` are the commonest error, the first of equals; ``zero_recall`` the classes that occur
+    and are never found, ``absent`` those that don't occur; the macro F1 over all classes can't exceed ``ceiling``.
+    """
+    wrong = F.col("y_true") != F.col("y_pred")
+    worst = F.max_by(F.struct("y_true", "y_pred", "n"), F.when(wrong & (F.col("n") > 0), F.struct("n", -F.col("y_true"), -F.col("y_pred"))))
+    errors = matrix.agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("errors"), F.sum(F.when(F.abs(F.col("y_true") - F.col("y_pred")) == 1, F.col("n")).otherwise(0)).alias("adjacent"), worst.alias("w"))
+    of = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("class"))))
+    lost = by_class(matrix).agg(of((F.col("support") > 0) & (F.col("tp") == 0)).alias("zero_recall"), of(F.col("support") == 0).alias("absent"))
+    out = errors.crossJoin(F.broadcast(lost))  # one row each
+    return out.select("errors", "adjacent", F.col("w.y_true").alias("worst_true"), F.col("w.y_pred").alias("worst_pred"), F.col("w.n").alias("worst_n"), "zero_recall", "absent", ((F.lit(classes) - F.size("absent")) / F.lit(float(classes))).alias("ceiling"))
+
+
+def without_groups(rows: DataFrame, group: str, y: str = "y", p: str = "p") -> DataFrame:
+    """(low, high, largest, auc_without_largest): the range of AUC with each group left out, and without the largest group."""
+    left = auc_without_group(rows, group, y, p)
+    sizes = rows.groupBy(F.col(group).alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    both = left.join(sizes, "held")
+    return both.agg(F.min("auc").alias("low"), F.max("auc").alias("high"), F.min_by("held", F.struct(-F.col("n"), "held")).alias("largest"), F.min_by("auc", F.struct(-F.col("n"), "held")).alias("auc_without_largest"))

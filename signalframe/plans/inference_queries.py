@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hypothesis_tests as tests
-from ..operators import metrics, resampling
+from ..operators import audits, metrics, resampling
 from ..sources import views
 from ..sources.views import PRED_DOC, PRED_MULTI
 from .event_queries import rounded
-from .prediction_queries import DRAWS, FULL_PERM, PRE_POST, REPS, auc_sql, multi
+from .prediction_queries import CM, DRAWS, FULL_PERM, PRE_POST, REPS, auc_sql, multi
 from .registry import query
 
 #: Intervals of Simpson's rule, by which SQL integrates the densities of t and of the normal distribution.
@@ -124,3 +124,25 @@ def m11(spark, d):
     out = metrics.by_fold(rows, 10, 3)
     out = out.withColumn("recalls", F.array_join(F.transform("recalls", lambda r: F.round(1000 * r, 0).cast("long").cast("string")), ",")).withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
     return rounded(out, "accuracy", "macro_f1", "weighted_f1", "kappa", "auc", "f1")
+
+
+@query("m08_matrix_report", f"""WITH {CM}, kk AS (SELECT y_true AS class, sum(n) AS support, sum(n) FILTER (y_true = y_pred) AS tp FROM cm GROUP BY y_true), er AS (SELECT sum(n) FILTER (y_true <> y_pred)::BIGINT AS errors, sum(n) FILTER (abs(y_true - y_pred) = 1)::BIGINT AS adjacent, arg_max({{'t': y_true, 'p': y_pred, 'n': n}}, (n, -y_true, -y_pred)) FILTER (y_true <> y_pred) AS w FROM cm)
+SELECT errors, adjacent, w.t::INTEGER AS worst_true, w.p::INTEGER AS worst_pred, w.n AS worst_n, (SELECT coalesce(string_agg(class, ',' ORDER BY class), '') FROM kk WHERE support > 0 AND tp = 0) AS zero_recall, (SELECT coalesce(string_agg(class, ',' ORDER BY class), '') FROM kk WHERE support = 0) AS absent, (SELECT (10 - count(*)) / 10::DOUBLE FROM kk WHERE support = 0) AS ceiling FROM er""")
+def m08(spark, d):
+    """Errors of the ten classes: neighbours, the worst pair, classes that are never found or never occur."""
+    out = metrics.matrix_report(metrics.confusion(multi(spark, d), 10), 10)
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("zero_recall", "absent")})
+
+
+@query("m16_without_groups", f"WITH {PRED_DOC}, g AS (SELECT DISTINCT grp AS held FROM pd), x AS (SELECT held, y, pa FROM pd JOIN g ON grp <> held), a AS ({auc_sql('x', 'held', 'y', 'pa')}), n AS (SELECT grp AS held, count(*) AS n FROM pd GROUP BY grp) SELECT min(auc) AS low, max(auc) AS high, arg_min(held, (-n, held)) AS largest, arg_min(auc, (-n, held)) AS auc_without_largest FROM a JOIN n USING (held)")
+def m16(spark, d):
+    return rounded(metrics.without_groups(views.document_predictions(spark, d), "grp", p="pa"), "low", "high", "auc_without_largest")
+
+
+@query("d04_codebook_checks", """WITH b AS (SELECT p_brand || ' ' || p_size AS title, p_type AS marker FROM part WHERE p_size < 20), u AS (SELECT p_brand || ' ' || p_size AS title FROM part WHERE p_size >= 15 AND p_size < 30)
+SELECT 'duplicate_title' AS problem, title AS name, count(*) AS n FROM b GROUP BY title HAVING count(*) > 1 UNION ALL SELECT 'duplicate_marker', marker, count(*) FROM b GROUP BY marker HAVING count(*) > 1
+UNION ALL SELECT 'missing', title, count(*) FROM u WHERE title NOT IN (SELECT title FROM b) GROUP BY title UNION ALL SELECT 'orphan', title, count(*) FROM b WHERE title NOT IN (SELECT title FROM u) GROUP BY title""")
+def d04(spark, d):
+    """A codebook of small parts against the titles of larger ones: what stands twice, what is missing, what nothing uses."""
+    p = views.table(spark, d, "part").withColumn("title", F.concat_ws(" ", "p_brand", "p_size"))
+    return audits.codebook_checks(p.filter("p_size < 20").withColumn("marker", F.col("p_type")), p.filter("p_size >= 15 and p_size < 30"))

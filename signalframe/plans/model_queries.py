@@ -148,7 +148,7 @@ def g07_selected(spark, d):
 # outer folds hold a twentieth of the participants out, inner folds a fifth of the others; an inner score is the reading's
 # score times how much commoner positives are among the rows that its inner fold may learn from
 NESTED = f"""WITH RECURSIVE {PRED_BIN}, ou AS (SELECT CAST(i AS BIGINT) AS o FROM range({SESSIONS}) t(i)), fo AS (SELECT *, grp % {SESSIONS} AS o, grp // {SESSIONS} % 5 AS f FROM pb),
-ra AS (SELECT ou.o, i.i AS f, (sum(y) FILTER (fo.f <> i.i) / count(*) FILTER (fo.f <> i.i)) / (sum(y) / count(*)) AS r FROM ou, range(5) i(i), fo WHERE fo.o <> ou.o GROUP BY ou.o, i.i),
+ra AS (SELECT ou.o, i.i AS f, coalesce((coalesce(sum(y) FILTER (fo.f <> i.i), 0) / nullif(count(*) FILTER (fo.f <> i.i), 0)) / nullif(sum(y) / count(*), 0), 1) AS r FROM ou, range(5) i(i), fo WHERE fo.o <> ou.o GROUP BY ou.o, i.i),
 r0 AS MATERIALIZED (SELECT ra.o, fo.grp, fo.idx, fo.y, round(least(1, p * r), 6) AS p, true AS inside FROM fo JOIN ra ON fo.f = ra.f AND fo.o <> ra.o UNION ALL SELECT o, grp, idx, y, p, false FROM fo), fl AS (SELECT unnest({FLOORS})::DOUBLE AS floor),
 g AS (SELECT o, grp, floor, CAST(-1 AS BIGINT) AS idx, 0 AS streak, 0 AS cool, false AS fire, 0 AS hit, inside FROM (SELECT DISTINCT o, grp, inside FROM r0), fl
   UNION ALL
@@ -171,7 +171,7 @@ def inner_scores(spark, d):
     of = sums.select(F.col("own").alias("outer"), "f", F.col("s").alias("sb"), F.col("c").alias("cb"))
     r = F.broadcast(by_fold).join(F.broadcast(outer).crossJoin(F.broadcast(every))).join(of, ["outer", "f"], "left").na.fill(0)  # folds times folds
     others, counted = F.col("sa") - F.col("so"), F.col("ca") - F.col("co")
-    r = r.select("outer", "f", ((others - F.col("sf") + F.col("sb")) / (counted - F.col("cf") + F.col("cb")) / (others / counted)).alias("r"))
+    r = r.select("outer", "f", F.coalesce(F.try_divide(F.try_divide(others - F.col("sf") + F.col("sb"), counted - F.col("cf") + F.col("cb")), F.try_divide(others, counted)), F.lit(1.0)).alias("r"))
     inner = rows.join(F.broadcast(r), "f").filter("own <> outer").select("outer", "grp", "idx", "y", F.round(F.least(F.lit(1.0), F.col("p") * F.col("r")), 6).alias("p"))
     return inner, rows.select(F.col("own").alias("outer"), "grp", "idx", "y", "p")
 

@@ -358,3 +358,27 @@ def test_drift_between_versions_of_scores_fails(spark):
     assert accounting.drifted(df, "y", "a", "b", 0.05).first().r > 0.99
     with pytest.raises(Exception, match="drift"):
         accounting.drifted(df.withColumn("b", -F.col("b")), "y", "a", "b").count()
+
+
+def test_features_of_another_width_or_version_are_refused(spark):
+    rows = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]], "v2"), (2, [[1.0, 2.0]], "v2")], "id long, features array<array<double>>, version string")
+    assert audits.of_schema(rows, "features", 2, "version", "v2").count() == 2
+    for bad in (audits.of_schema(rows, "features", 3), audits.of_schema(rows, "features", 2, "version", "v3"), audits.of_schema(rows.withColumn("features", F.lit(None).cast("array<array<double>>")), "features", 2)):
+        for ask in failing(bad):
+            with pytest.raises(Exception, match="width|version"):
+                ask()
+
+
+def test_matrix_report_of_lost_classes(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 0), (1, 0), (3, 2), (3, 3)], "y_true int, y_pred int")
+    r = metrics.matrix_report(metrics.confusion(rows, 4), 4).first()
+    assert (r.errors, r.adjacent, r.worst_true, r.worst_pred, r.worst_n, r.zero_recall, r.absent, r.ceiling) == (3, 3, 1, 0, 2, [1], [2], 0.75)
+    right = metrics.matrix_report(metrics.confusion(rows.filter("y_true = y_pred"), 4), 4).first()
+    assert (right.errors, right.worst_n, right.absent) == (0, None, [1, 2])
+
+
+def test_codebook_checks(spark):
+    book = spark.createDataFrame([("a", "m"), ("a", "m"), ("b", None), ("c", "k")], "title string, marker string")
+    used = spark.createDataFrame([("a",), ("d",), ("d",), ("b",)], "title string")
+    got = {(r.problem, r.name, r.n) for r in audits.codebook_checks(book, used).collect()}
+    assert got == {("duplicate_title", "a", 2), ("duplicate_marker", "m", 2), ("missing", "d", 2), ("orphan", "c", 1)}
