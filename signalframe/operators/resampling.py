@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .metrics import auc
 from .ordering import numbered
 
+#: Groups times repetitions whose multiplicities one task may hold, cells of a range of scores, and cells of a numpy step.
+DRAWN, CELLS, STEP = 1 << 22, 1 << 13, 1 << 20
+
 
 def draw(seed: str, *parts):
     """A whole number from 0 to 2**32 - 1."""
@@ -32,17 +38,64 @@ def cluster_draws(groups: DataFrame, reps: int, seed: str) -> DataFrame:
 
 
 def bootstrap_auc(rows: DataFrame, reps: int, seed: str, scores: list[str]) -> DataFrame:
-    """(rep, auc per score column): the same draws for every score. Repetitions with one class only give null."""
-    counts = rows.groupBy("grp", "y", *scores).agg(F.count(F.lit(1)).alias("c"))
-    drawn = counts.join(cluster_draws(rows.select("grp").distinct(), reps, seed), "grp")
-    weight = F.col("c") * F.col("times").cast("double")
+    """(rep, auc per score column): the same draws for every score. Repetitions with one class only give null.
+
+    Rows are counted by group and score once. Few groups' multiplicities stand beside these counts, which are weighed with
+    them in tasks, so that no row is made for a count and repetition; many groups' are joined to the counts.
+    """
+    counts = kept(rows.groupBy("grp", "y", *scores).agg(F.count(F.lit(1)).alias("c")), "group-counts")
+    groups = counts.select("grp").distinct()
+    n, draws = groups.count(), cluster_draws(groups, reps, seed)
+    few = n * reps <= DRAWN
+    drawn = None if few else counts.join(draws, "grp")
     out = None
     for s in scores:
-        one = auc(drawn, ["rep"], "y", s, weight).withColumnRenamed("auc", f"auc_{s}")
+        one = _weighed_auc(counts, draws, n, reps, s) if few else auc(drawn, ["rep"], "y", s, F.col("c") * F.col("times").cast("double"))
+        one = one.withColumnRenamed("auc", f"auc_{s}")
         out = one if out is None else out.join(one, "rep")
     return out
 
 
+def _weighed_auc(counts: DataFrame, draws: DataFrame, groups: int, reps: int, p: str) -> DataFrame:
+    """(rep, auc) of counts by grp, y and score, each weighing as often as its group is drawn.
+
+    Counts are cut into ranges of scores; a range gives every repetition's positives, negatives and pairs within it, and a
+    running sum over the ranges gives the pairs between them. All are whole or half numbers, so sums are exact.
+    """
+    true = F.coalesce(F.col("y") == 1, F.lit(False))
+    cells = counts.groupBy("grp", F.col(p).alias("score")).agg(F.sum(F.when(true, F.col("c")).otherwise(0)).alias("pos"), F.sum(F.when(true, 0).otherwise(F.col("c"))).alias("neg"))
+    cells = kept(cells, "group-cells")
+    parts = max(1, -(-cells.count() // max(CELLS, 8 * groups)))
+    ranged = kept(cells.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()), "group-ranges")
+    own = ranged.groupBy("part", "grp").agg(F.collect_list(F.struct(F.col("score").cast("double").alias("score"), "pos", "neg")).alias("cells"))
+    times = draws.groupBy("grp").agg(F.collect_list(F.struct("rep", "times")).alias("draws"))
+
+    def weigh(t: pa.Table) -> pa.Table:
+        lists, drawn = (t.column(c).combine_chunks() for c in ("cells", "draws"))
+        weight = np.zeros((reps, len(t)))
+        d = drawn.flatten()
+        weight[d.field("rep").to_numpy(), np.repeat(np.arange(len(t)), np.diff(drawn.offsets.to_numpy()))] = d.field("times").to_numpy()
+        group, flat = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+        null = flat.field("score").is_null().to_numpy(zero_copy_only=False)
+        level = np.unique(flat.field("score").fill_null(0.0).to_numpy(), return_inverse=True)[1] + 1
+        level[null] = 0  # nulls come first, as in an order of Spark
+        order = np.argsort(level, kind="stable")
+        group, pos, neg = group[order], flat.field("pos").to_numpy()[order], flat.field("neg").to_numpy()[order]
+        starts = np.flatnonzero(np.concatenate([[True], level[order][1:] != level[order][:-1]]))
+        out, step = np.zeros((3, reps)), max(1, STEP // len(group))
+        for a in range(0, reps, step):
+            w = weight[a : a + step][:, group]
+            up, down = np.add.reduceat(w * pos, starts, axis=1), np.add.reduceat(w * neg, starts, axis=1)
+            out[:, a : a + step] = (up * (np.cumsum(down, axis=1) - down / 2)).sum(1), up.sum(1), down.sum(1)
+        return pa.table({"part": pa.array(np.full(reps, t.column("part")[0].as_py())), "rep": pa.array(np.arange(reps, dtype=np.int32)), **{k: pa.array(v) for k, v in zip(("pairs", "pos", "neg"), out, strict=True)}})
+
+    # a number of partitions of its own: sizes don't tell how long a range takes
+    each = own.join(times, "grp").select("part", "cells", "draws").repartition(2 * parts, "part").groupBy("part").applyInArrow(weigh, "part long, rep int, pairs double, pos double, neg double")
+    before = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    each = each.withColumn("all", F.col("pairs") + F.col("pos") * before)
+    return each.groupBy("rep").agg(F.try_divide(F.sum("all"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
 def interval(values: DataFrame, column: str, *keys: str) -> DataFrame:
     """(keys, low, high, kept): the central 95 %, and how many repetitions counted."""
     q = F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))

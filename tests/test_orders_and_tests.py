@@ -237,3 +237,20 @@ def test_split_permutations_have_the_plain_ones_p(spark, monkeypatch, size):
         hits += plain_auc(p[z == 1], p[z == 0]) >= seen - 1e-12
     assert abs(got - (hits + 1) / 3001) < 0.035
     assert split_draws.permutation_p(rows.withColumn("p", F.lit(0.5)), 20, "q").first().p_value == 1.0
+
+
+def drawn_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"s{g}" if g else None, int(y), None if p < 0.05 else round(float(p), 1 if i % 2 else 3), float(q)) for i, (g, y, p, q) in enumerate(zip(rng.integers(0, 9, 600), rng.integers(0, 2, 600), rng.random(600), rng.integers(0, 4, 600), strict=True))]
+    return spark.createDataFrame(rows, "id long, grp string, y int, pa double, pb double")
+
+
+def test_bootstrap_of_few_groups_makes_no_row_for_a_count_and_repetition(spark, monkeypatch):
+    rows = drawn_rows(spark)
+    monkeypatch.setattr(resampling, "CELLS", 10)  # several ranges of scores
+    few = resampling.bootstrap_auc(rows, 50, "f", ["pa"])
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.rep: r.auc_pa for r in few.collect()}
+    monkeypatch.setattr(resampling, "DRAWN", 0)
+    assert got == {r.rep: r.auc_pa for r in resampling.bootstrap_auc(rows, 50, "f", ["pa"]).collect()}
+    assert "Aggregate [rep" in plan and "score" not in plan.split("FlatMapGroupsInArrow")[0]  # after the weighing, no scores
