@@ -254,3 +254,11 @@ def test_bootstrap_of_few_groups_makes_no_row_for_a_count_and_repetition(spark,
     monkeypatch.setattr(resampling, "DRAWN", 0)
     assert got == {r.rep: r.auc_pa for r in resampling.bootstrap_auc(rows, 50, "f", ["pa"]).collect()}
     assert "Aggregate [rep" in plan and "score" not in plan.split("FlatMapGroupsInArrow")[0]  # after the weighing, no scores
+
+
+def test_paired_bootstrap_of_few_groups_has_the_same_draws_for_both_scores(spark, monkeypatch):
+    rows = drawn_rows(spark)
+    got = sorted(map(tuple, resampling.bootstrap_auc(rows.withColumn("pc", F.col("pb") * 2), 40, "g", ["pa", "pb", "pc"]).collect()))
+    assert len(got) == 40 and all(r[2] == r[3] for r in got)
+    monkeypatch.setattr(resampling, "DRAWN", 0)
+    assert [r[:3] for r in got] == sorted(map(tuple, resampling.bootstrap_auc(rows, 40, "g", ["pa", "pb"]).collect()))
