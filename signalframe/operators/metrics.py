@@ -149,17 +149,18 @@ def two_families(tests: DataFrame, construct: str, alpha: float = 0.05, p: str =
     return out.withColumn("survives_both", F.col("survives") & (F.col(low) > chance))
 
 
-def record_block(rows: DataFrame, reps: int, permutations: int, seed: str, y: str = "y", p: str = "p", group: str = "grp") -> DataFrame:
+def record_block(rows: DataFrame, reps: int, permutations: int, seed: str, y: str = "y", p: str = "p", group: str = "grp", split: bool = False) -> DataFrame:
     """One row for a binary prediction record: the counts, rates and kappa of ``record_metrics``, and groups, AUC with its interval
     over drawn groups, p of labels permuted within groups, average precision and its lift, and the scores' spread.
 
-    ``rows`` has id, y, p and the group; rows without a score are left out.
+    ``rows`` has id, y, p and the group; rows without a score are left out. With ``split``, permutations are drawn by shares of
+    blocks, for thousands of them; else by md5, as SQL repeats them, which makes a row for each row and permutation.
     """
-    from . import resampling
+    from . import resampling, split_draws
 
     rows = rows.filter(F.col(p).isNotNull()).select("id", F.col(group).alias("grp"), F.col(y).cast("int").alias("y"), F.col(p).alias("p"))
     drawn = resampling.interval(resampling.bootstrap_auc(rows, reps, f"{seed}-boot", ["p"]), "auc_p").withColumn("excludes_chance", F.col("low") > 0.5)
-    permuted = resampling.permutation_p(rows, permutations, f"{seed}-perm").select("p_value")
+    permuted = (split_draws if split else resampling).permutation_p(rows, permutations, f"{seed}-perm").select("p_value")
     scores = rows.agg(F.countDistinct("grp").alias("groups"), F.min("p").alias("score_min"), F.max("p").alias("score_max"), F.avg("p").alias("score_mean"), (F.max("p") - F.min("p")).alias("score_spread"))
     out = record_metrics(rows)
     for part in (auc(rows, []), drawn, permuted, average_precision(rows, []), scores):  # one row each

@@ -262,3 +262,10 @@ def test_paired_bootstrap_of_few_groups_has_the_same_draws_for_both_scores(spark
     assert len(got) == 40 and all(r[2] == r[3] for r in got)
     monkeypatch.setattr(resampling, "DRAWN", 0)
     assert [r[:3] for r in got] == sorted(map(tuple, resampling.bootstrap_auc(rows, 40, "g", ["pa", "pb"]).collect()))
+
+
+def test_record_block_with_split_permutations_repeats_no_rows(spark, monkeypatch):
+    rows = drawn_rows(spark).filter("grp is not null")
+    exact = metrics.record_block(rows, 20, 300, "b", p="pa").first().p_value
+    monkeypatch.setattr(resampling, "permutation_p", None)  # which makes a row for each row and permutation
+    assert abs(metrics.record_block(rows, 20, 2000, "b", p="pa", split=True).first().p_value - exact) < 0.12
