@@ -248,10 +248,12 @@ def x02(spark, d):
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    from ..session import kept
     from .event_queries import a06
 
     names = [f"{c}_{s}" for c in ("click_count", "keystroke_count", "idle_time_pct") for s in ("mean", "std", "trend")]
     w = a06(spark, d).withColumn("y", (F.col("tab_switch_count_mean") > 0.45).cast("double")).withColumn("fold", F.pmod(F.xxhash64("participant"), F.lit(3)))
+    w = kept(w.select("participant", "window_index", "y", "fold", *names), "arm-windows")  # each fold reads them several times
     rows = VectorAssembler(inputCols=names, outputCol="raw").transform(w)
     out = None
     for k in range(3):  # the folds of a fit on the driver's schedule; each fit is a Spark job

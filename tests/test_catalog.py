@@ -47,3 +47,8 @@ def test_entry_works_without_the_corpus_operators():
 
     assert set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_logistic_arm_reads_its_windows_from_a_table(spark):
+    plan = catalog.queries()["x02_logistic_arm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
