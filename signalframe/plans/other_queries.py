@@ -235,7 +235,8 @@ def s02(spark, d):
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("type"))
     path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
     out = e.select(F.col("participant").alias("session"), F.col("ts").alias("timestamp"), kind.alias("type"), F.when(F.col("key") == "Backspace", "BACK_SPACE").otherwise(F.col("key")).alias("key"), "x", "y", F.col("value").alias("yPosition"), "event_id")
-    out.sortWithinPartitions("ts", "event_id").coalesce(1).drop("event_id").write.option("sep", "\t").option("header", True).csv(path)
+    # a session is whole in one of the files, as its differences need
+    out.repartition("session").sortWithinPartitions("ts", "event_id").drop("event_id").write.option("sep", "\t").option("header", True).csv(path)
     log = files.interaction_log(spark, [path]).withColumn("participant", F.concat(F.lit("log_"), F.regexp_extract("participant", r"_([^_]+)$", 1)))
     g = log.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "key").alias("keys"), F.count_if(F.col("key") == "Backspace").alias("backspaces"), F.round(F.sum(F.when(F.col("type") == "scroll", F.col("dy"))), 4).alias("scrolled"))
     return g

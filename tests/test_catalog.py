@@ -52,3 +52,19 @@ def test_entry_works_without_the_corpus_operators():
 def test_logistic_arm_reads_its_windows_from_a_table(spark):
     plan = catalog.queries()["x02_logistic_arm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_log_round_trip_writes_more_than_one_file(spark):
+    from pathlib import Path
+
+    from signalframe.session import scratch_dir
+
+    folder, adaptive = Path(scratch_dir(spark)), spark.conf.get("spark.sql.adaptive.enabled")
+    before = set(folder.glob("log-*"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put these few rows together
+    try:
+        assert catalog.queries()["s02_log_round_trip"](spark, SF).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    (log,) = set(folder.glob("log-*")) - before
+    assert len(list(log.glob("part-*"))) > 1
