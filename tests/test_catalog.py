@@ -42,6 +42,19 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_paired_bootstrap_in_full_equals_sql_and_joins_no_counts_to_draws(spark, con, monkeypatch):
+    from signalframe.operators import resampling
+    from signalframe.plans.prediction_queries import FULL_AUC, REPS
+
+    def joined(*_):
+        raise AssertionError("a row for each count and repetition")
+
+    monkeypatch.setattr(resampling, "auc", joined)
+    sql = catalog.oracle_sql()["r05_paired_bootstrap"].replace(f"range({REPS})", f"range({FULL_AUC})")
+    got = catalog.queries()["r05_paired_bootstrap_full"](spark, SF).toPandas()
+    assert f"range({FULL_AUC})" in sql and rows_of(got) == rows_of(con.execute(sql).df())
+
+
 def test_entry_works_without_the_corpus_operators():
     import __spark_entry__ as entry
 
