@@ -77,6 +77,15 @@ class Model:
                 out[:, c] += tree.value[tree.reached(codes, _depth(tree))]
         return out
 
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """A column a class."""
+        raw = self.raw(codes)
+        if raw.shape[1] == 1:
+            p = 1 / (1 + np.exp(-raw))
+            return np.concatenate([1 - p, p], 1)
+        e = np.exp(raw - raw.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
 
 def _depth(tree: Tree) -> int:
     return len(tree.feature).bit_length() - 1
@@ -312,13 +321,7 @@ def appended(boosted: Boosted, rows: DataFrame, group: str | None = "grp", name:
             codes, out = _codes(batch.columns[columns + 1 :], batch.num_rows, boosted.edges), [None] * batch.num_rows
             for held, model in by.items():
                 own = np.arange(len(grp)) if held is None else np.flatnonzero(grp == held)
-                raw = model.raw(codes[own])
-                if raw.shape[1] == 1:
-                    p = 1 / (1 + np.exp(-raw))
-                    p = np.concatenate([1 - p, p], 1)
-                else:
-                    e = np.exp(raw - raw.max(1, keepdims=True))
-                    p = e / e.sum(1, keepdims=True)
+                p = model.probabilities(codes[own])
                 for i, v in zip(own.tolist(), p.tolist(), strict=True):
                     out[i] = v
             yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:columns], name])

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import accounting, floors, hypothesis_tests, importance, labels, metrics, ordering, resampling, sampling, sensitivity, split_draws, splits
+from signalframe.operators import accounting, boosting, floors, hypothesis_tests, importance, labels, metrics, ordering, resampling, sampling, sensitivity, split_draws, splits
+from signalframe.session import kept
 
 
 def test_running_sums_and_positions_by_ranges(spark):
@@ -311,3 +312,36 @@ def test_shuffled_packs_draws_by_ranges(spark, monkeypatch):
             drawn = sorted(rows, key=lambda r, f=f, repeat=repeat: hashlib.md5(f"s:{f}:{repeat}:{r[0]}".encode()).hexdigest())
             want |= {(f, repeat, taker[0], giver[k], taker[2]) for taker, giver in zip(by_id, drawn, strict=True)}
     assert set(map(tuple, importance.shuffled(df, ["a", "b"], 3, "s", keep=("b",)).collect())) == want
+
+
+def test_importance_of_trees_writes_no_row_a_repetition(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(11 * i % 307 - 20, i % 4, None if i % 19 == 0 else rng.random(), math.nan if i % 23 == 0 else float(rng.randint(0, 6)), 1.0) for i in range(300)]
+    df = spark.createDataFrame([(*r, int((r[2] or 0) + 0.1 * r[3] + rng.gauss(0, 0.1) > 0.6)) for r in rows], "id long, grp long, a double, b double, c double, y int").repartition(3)
+    features = ["a", "b", "c"]
+    boosted = boosting.fitted(df, features, edges=boosting.even_edges(df, features, 16), settings=boosting.Settings(rounds=3))
+    score = lambda x: boosting.appended(boosted, x, None, "both").withColumn("p", F.round(F.col("both")[1], 9))
+    written = []
+    monkeypatch.setattr(importance, "kept", lambda df, label: written.append(kept(df, label)) or written[-1])
+    monkeypatch.setattr(importance, "RANGE", 40)  # several ranges of each repetition, and blocks of rows
+    monkeypatch.setattr(importance, "PACK", 500)  # several packs of a batch
+    want = importance.permutation_importance(df, features, score, 4, "t").orderBy("rank").collect()
+    got = importance.trees_importance(df, boosted, 4, "t").orderBy("rank").collect()
+    assert [r.feature for r in got] == [r.feature for r in want] and got[0].drop > 0.1 and {r.feature: r.drop for r in got}["c"] == 0
+    for g, w in zip(got, want, strict=True):
+        assert all(math.isclose(g[c], w[c], abs_tol=1e-12) for c in ("base", "mean", "sd", "drop"))
+    assert max(t.count() for t in written) == 300  # before, 300 x 3 x 4 values in order
+    one = df.withColumn("y", F.lit(1))  # one class: no model, and no AUC
+    none = importance.trees_importance(one, boosting.fitted(one, features, edges=boosted.edges, settings=boosted.settings), 2, "t").collect()
+    assert [(r.rank, r.feature, r.base, r.mean) for r in sorted(none, key=lambda r: r.rank)] == [(1, "a", None, None), (2, "b", None, None), (3, "c", None, None)]
+
+
+def test_values_of_equal_draws_have_one_order():
+    import pyarrow as pa
+
+    items = [(0, 5, 3), (1, 9, 4), (0, 5, 1), (0, 2, 7), (1, 1, 8), (0, 2**64 - 1, 2)]
+    for order in itertools.permutations(items):
+        packs = [(3, np.array([a], np.uint8).tobytes(), np.array([d], np.uint64).tobytes(), np.array([v], np.uint8).tobytes()) for a, d, v in order]
+        group = pa.table(dict(zip(("bucket", "at", "draw", "other"), zip(*packs, strict=True), strict=True)))
+        got = importance._in_order(3, np.dtype(np.uint8))(group).to_pylist()
+        assert [(r["bucket"], r["at"], r["n"], list(r["other"])) for r in got] == [(3, 0, 4, [7, 1, 3, 2]), (3, 1, 2, [8, 4])]
